@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate
+from millrace.llm import decontaminate, rendezvous, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_rendezvous": rendezvous.op6,
+    "op8_token_store": token_store.op8,
     "op10_decontaminate": decontaminate.op10,
 }
 SQL: dict[str, str] = {
