@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, rendezvous, token_store
+from millrace.llm import bsi_topk, decontaminate, rendezvous, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bit_sliced_topk": bsi_topk.op2,
+    "op3_warc_index": warc.op3,
     "op6_rendezvous": rendezvous.op6,
     "op8_token_store": token_store.op8,
     "op10_decontaminate": decontaminate.op10,
 }
 SQL: dict[str, str] = {
+    "op2_bit_sliced_topk": bsi_topk.OP2_SQL,
+    "op3_warc_index": warc.OP3_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }

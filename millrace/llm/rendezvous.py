@@ -60,13 +60,3 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, weights: list[float]
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
-
-
-OP6_SQL = """
-WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, coalesce(text, '') AS t, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
-draws AS (SELECT k, i, -ln((('0x' || substr(md5(k || ':' || i), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE) AS x
-          FROM (SELECT DISTINCT k FROM d), range(0, 41) r(i)),
-won AS (SELECT k, arg_min(i, x) FILTER (WHERE i < 40) AS shard, arg_min(i, x) AS grown_shard FROM draws GROUP BY k)
-SELECT doc_id, size::BIGINT AS size, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard
-FROM d JOIN won USING (k)
-"""
