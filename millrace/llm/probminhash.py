@@ -8,8 +8,9 @@ probability J_P, the probability Jaccard similarity (Jaccard's, where weights ar
 1. Equal texts become one node. Bands of the signature give buckets of candidate nodes.
 2. In every bucket all nodes are compared with its first node only (never all pairs): first by signature, then, from
    ``estimate`` up, exactly by J_P over the texts. Links of at least ``threshold`` form components.
-3. Buckets that still hold several components are compared across components in blocks of bounded size, again by
-   signature first; what passes is verified exactly. So no candidate between two components is left out.
+3. Buckets that still hold several components are compared across components in blocks of bounded size: signatures
+   tell which members have a partner at all, and those are verified inside their block, by an upper bound of J_P
+   and, where that passes, by J_P. Only links leave the block, so no candidate is left out and no pairs are emitted.
 4. Components over all links give the class: the smallest doc_id of its documents.
 
 Bands miss a pair at the threshold with probability (1 - 0.8^5)^30, about 7e-6.
@@ -40,7 +41,9 @@ THRESHOLD = 0.8
 #: Six standard deviations below the threshold: pairs under it by signature are not verified.
 ESTIMATE = 0.6
 #: Members of a bucket that are compared in one block.
-BLOCK = 128
+BLOCK = 512
+GROUP = "bh long, n long, c long, blk int, i int, j int"
+GROUP_COLUMNS = ["bh", "n", "c", "blk", "i", "j"]
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -178,21 +181,8 @@ def _verified(threshold: float):
     return run
 
 
-def _across(least: float):
-    """Pairs of different components in runs of equal (bucket, block, block), as the sorted partition brings them."""
-
-    def pairs(f: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-        i, j = f["i"].iloc[0], f["j"].iloc[0]
-        n, c, blk = f["n"].to_numpy(), f["c"].to_numpy(), f["blk"].to_numpy()
-        sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, PLACES)
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        out = []
-        for x in left:
-            y = right[(c[right] != c[x]) & ((n[right] > n[x]) if i == j else True)]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
-            if len(y):
-                out.append((np.minimum(n[x], n[y]), np.maximum(n[x], n[y])))
-        return out
+def _runs(per_group, columns: list[str]):
+    """Applies ``per_group`` to runs of equal (bucket, block, block), as the sorted partition brings them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -202,16 +192,77 @@ def _across(least: float):
                 continue
             key = f[["bh", "i", "j"]].to_numpy()
             cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-            found = [p for lo, hi in zip(cut[:-1], cut[1:], strict=True) for p in pairs(f.iloc[lo:hi])]
+            found = [x for lo, hi in zip(cut[:-1], cut[1:], strict=True) if len(x := per_group(f.iloc[lo:hi]))]
             rest = f.iloc[cut[-1] :]
             if found:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])}).drop_duplicates()
-        if rest is not None and (found := pairs(rest)):
-            yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
+                yield pd.concat(found)[columns]
+        if rest is not None and len(x := per_group(rest)):
+            yield x[columns]
 
     return run
 
 
+def _sides(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    i, j, blk = f["i"].iloc[0], f["j"].iloc[0], f["blk"].to_numpy()
+    return np.flatnonzero(blk == i), np.flatnonzero(blk == j), bool(i == j)
+
+
+def _active(least: float):
+    """Rows of a group that have a partner of another component, by the signature's estimate."""
+
+    def group(f: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(f)
+        n, c = f["n"].to_numpy(), f["c"].to_numpy()
+        sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, PLACES)
+        live = np.zeros(len(f), bool)
+        for x in left:
+            y = right[(c[right] != c[x]) & ((n[right] > n[x]) if same else True)]
+            y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
+            live[y], live[x] = True, live[x] or len(y) > 0
+        return f[live]
+
+    return group
+
+
+def bounded_similarity(a: tuple[np.ndarray, np.ndarray], doc: np.ndarray, s: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Upper bounds of J_P of one set with n others at once; exact where shared elements weigh the same on both sides."""
+    at = np.minimum(np.searchsorted(a[0], s), len(a[0]) - 1)
+    hit = a[0][at] == s
+    d, x, y = doc[hit], a[1][at[hit]], w[hit]
+    ia, ib = np.bincount(d, x, n), np.bincount(d, y, n)
+    only_a, only_b = a[1].sum() - ia, np.bincount(doc, w, n) - ib
+    return np.bincount(d, 1.0 / (only_a[d] / x + only_b[d] / y + np.maximum(ia[d] / x, ib[d] / y)), n)
+
+
+def _links_across(threshold: float):
+    """Links between components in a group of rows with texts: a bound first, then J_P itself."""
+
+    def group(f: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(f)
+        n, c, texts = f["n"].to_numpy(), f["c"].to_numpy(), f["text"].tolist()
+        doc, s, w = weighted_shingles(texts, WordHashes())
+        start = np.searchsorted(doc, np.arange(len(texts) + 1))
+        own = lambda k: (s[start[k] : start[k + 1]], w[start[k] : start[k + 1]])
+        parent, out = {}, []
+
+        def head(k):
+            while parent.get(k, k) != k:
+                k = parent[k]
+            return k
+
+        for x in left:
+            if start[x] == start[x + 1]:
+                continue
+            high = bounded_similarity(own(x), doc, s, w, len(texts)) >= threshold - 1e-9
+            for y in right[high[right] & (c[right] != c[x])]:
+                if (not same or n[y] > n[x]) and head(c[x]) != head(c[y]) and similarity(own(x), own(y)) >= threshold:
+                    parent[head(c[x])] = head(c[y])
+                    out.append((n[x], n[y]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return group
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", jumps: int = 2) -> DataFrame:
     """``n, c``: connected components of an edge table, c the name of one node of each.
 
@@ -253,16 +304,16 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         pairs = pairs.join(sigs.select(F.col("n").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("n").alias("a"), F.col("sig").alias("sig_a")), "a")
         return pairs.mapInPandas(_estimated(ESTIMATE), "a long, b long")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n"))).distinct().join(nodes.select("n", "doc", "ck"), "n")
+    def texts_of(some: DataFrame) -> DataFrame:
+        needed = some.join(nodes.select("n", "doc", "ck"), "n")
         rows = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").withColumn("_k", _content("text"))
         texts = rows.join(needed, F.col("_d").eqNullSafe(F.col("doc")) & (F.col("_k") == F.col("ck"))).select("n", "text").dropDuplicates(["n"])
-        texts = materialise(texts, "texts")
-        full = pairs.join(texts.select(F.col("n").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("n").alias("a"), F.col("text").alias("text_a")), "a")
-        return materialise(full.mapInArrow(_verified(threshold), "a long, b long"), "links")
+        return materialise(texts, "texts")
 
     first = materialise(compared(members.filter("n <> first").select(F.col("first").alias("a"), F.col("n").alias("b")).distinct()), "pairs")
-    links = linked(first)
+    texts = texts_of(first.select(F.col("a").alias("n")).union(first.select(F.col("b").alias("n"))).distinct())
+    full = first.join(texts.select(F.col("n").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("n").alias("a"), F.col("text").alias("text_a")), "a")
+    links = materialise(full.mapInArrow(_verified(threshold), "a long, b long"), "links")
     parts = components(links)
 
     named = members.join(parts, "n", "left").select("bh", "size", "n", F.coalesce("c", "n").alias("c"))
@@ -271,11 +322,17 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     rest = named.join(mixed, "bh", "left_semi").withColumn("blk", F.pmod(F.xxhash64("n"), blocks).cast("int"))
     rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bh", "n", "c", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.join(sigs, "n").repartition(width, "bh", "i", "j").sortWithinPartitions("bh", "i", "j")
-    more = rest.mapInPandas(_across(ESTIMATE), "a long, b long").distinct()
-    more = materialise(more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        parts = components(links.unionByName(linked(more)))
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(groups: DataFrame) -> DataFrame:
+        return groups.repartition(width, "bh", "i", "j").sortWithinPartitions("bh", "i", "j")
+
+    live = dealt(rest.join(sigs, "n")).mapInPandas(_runs(_active(ESTIMATE), GROUP_COLUMNS), GROUP)
+    live = materialise(live, "live")
+    if live.limit(1).count():
+        groups = dealt(live.join(texts_of(live.select("n").distinct()), "n"))
+        more = materialise(groups.mapInPandas(_runs(_links_across(threshold), ["a", "b"]), "a long, b long").distinct(), "links")
+        parts = components(links.unionByName(more))
 
     owned = nodes.select("n", "ck", "doc").join(parts, "n", "left").withColumn("c", F.coalesce("c", "n"))
     heads = owned.groupBy("c").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "ck")).alias("h"))
