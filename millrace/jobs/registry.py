@@ -1,10 +1,471 @@
-"""Queries and oracle SQL of the document and schema operators."""
+"""Queries and oracle SQL of the document and schema operators, bound to the derived views."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions.lineage import shared
+from millrace.operators import chunking, detect, docs, graph, ir, labels, outline, ranking
+from millrace.sources import files, views
+from millrace.streaming.convert import stream_convert_and_chunk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ",".join(c.strip() for c in ctes) + " "
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- sources, decoding, detection
+
+_RAW = _with(views.RAW_PAYLOADS, detect.KIND_SQL)
+_KIND = "CASE WHEN is_xml THEN 'xml_instance' WHEN is_json THEN 'json_instance' WHEN is_yaml THEN 'yaml_instance' ELSE 'none' END"
+
+
+@query()
+def read_raw_files(spark, sf_dir):
+    return files.read_raw_files(spark, sf_dir, include=["*.parquet"], exclude=["lineitem*"], content=False)
+
+
+@query(_with(views.RAW_PAYLOADS) + "SELECT doc_id, md5(text) AS digest, CASE WHEN length(doc_id) % 7 = 0 THEN 'bad payload' ELSE 'ok' END AS error FROM raw WHERE length(doc_id) % 7 <> 0 UNION ALL SELECT doc_id, 'none', 'bad payload' FROM raw WHERE length(doc_id) % 7 = 0")
+def decode_base64_payload(spark, sf_dir):
+    raw = views.raw_payloads(spark, sf_dir)
+    coded = raw.select("doc_id", F.when(F.length("doc_id") % 7 == 0, F.concat(F.base64(F.col("text").cast("binary")), F.lit("*"))).otherwise(F.base64(F.col("text").cast("binary"))).alias("content_base64"))
+    out = detect.decode_base64_payload(coded)
+    return out.select("doc_id", F.coalesce(F.md5("content"), F.lit("none")).alias("digest"), F.coalesce("error", F.lit("ok")).alias("error"))
+
+
+@query(_with(views.RAW_PAYLOADS) + "SELECT doc_id, md5(text) AS digest, 'utf-8' AS encoding FROM raw")
+def decode_text(spark, sf_dir):
+    raw = views.raw_payloads(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("content"))
+    return detect.decode_text(raw).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "encoding")
+
+
+@query(_RAW + f"SELECT doc_id, {_KIND} AS kind FROM kinds")
+def detect_kind(spark, sf_dir):
+    return detect.detect_kind(views.raw_payloads(spark, sf_dir)).select("doc_id", F.coalesce("kind", F.lit("none")).alias("kind"))
+
+
+@query(_RAW + "SELECT doc_id, is_xml, is_json, is_yaml FROM kinds")
+def kind_predicates(spark, sf_dir):
+    t = F.col("text")
+    return views.raw_payloads(spark, sf_dir).select("doc_id", detect.looks_like_xml(t).alias("is_xml"), detect.looks_like_json(t).alias("is_json"), detect.looks_like_yaml(t).alias("is_yaml"))
+
+
+@query(_RAW + f"SELECT CASE WHEN {_KIND} = 'none' THEN 415 ELSE 200 END::INT AS status, {_KIND} AS kind, count(*) AS n FROM kinds GROUP BY ALL")
+def route_rejects(spark, sf_dir):
+    rows = detect.detect_kind(views.raw_payloads(spark, sf_dir)).withColumn("error", F.lit(None).cast("string"))
+    return detect.route_rejects(rows).groupBy("status", F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- outlines
+
+_SECTIONS = _with(views.ORDER_JSON, outline.JSON_OUTLINE_SQL)
+
+
+@query(_SECTIONS + "SELECT doc_id, array_to_string(ord, '.') AS ord, depth, name, type, coalesce(example, '') AS example FROM secs")
+def json_outline(spark, sf_dir):
+    out = outline.json_outline(views.order_json(spark, sf_dir), depth=5)
+    return out.select("doc_id", F.array_join(F.transform("ord", lambda x: x.cast("string")), ".").alias("ord"), "depth", "name", "type", F.coalesce("example", F.lit("")).alias("example"))
+
+
+@query(_SECTIONS + outline.MARKDOWN_SQL)
+def render_markdown(spark, sf_dir):
+    return outline.render_markdown(outline.json_outline(views.order_json(spark, sf_dir), depth=5))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'date' WHEN event_id % 3 = 1 THEN 'integer' ELSE 'float' END AS type FROM events""")
+def text_value_type(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy/MM/dd")).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" "), F.col("user_id").cast("string"))).otherwise(F.concat(F.col("user_id").cast("string"), F.lit(".5e3")))
+    return e.select("event_id", outline.text_value_type(text).alias("type"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(t) > 42 THEN rtrim(t[1:42]) || '...' ELSE t END AS example FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)""")
+def example_text(spark, sf_dir):
+    return views.table(spark, sf_dir, "conversations").select("conv_id", "turn", outline.one_line(F.col("text"), 42).alias("example"))
+
+
+def _part_schema(spark, sf_dir) -> DataFrame:
+    """A JSON Schema text per part."""
+    q = lambda c: F.col(c).cast("string")
+    text = F.concat(
+        F.lit('{"title":"'), "p_name", F.lit('","type":"object","required":["size","brand"],"properties":{"brand":{"type":"string","maxLength":12,"enum":["'), "p_brand",
+        F.lit('","a","b","c"]},"size":{"type":["null","integer"],"minimum":1,"maximum":'), q("p_size"), F.lit('},"kind":{"const":"'), "p_type", F.lit('"},"tags":{"items":{"$ref":"#/definitions/t"}}}}'),
+    )
+    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+@query("""
+SELECT p_partkey AS doc_id, 0 AS pos, 'brand' AS name, 'string' AS type, 'maxLength=12' AS constraints, true AS required, p_brand || ', a, b, ... (total: 4)' AS enums, 1 AS card_min, '1' AS card_max FROM part
+UNION ALL SELECT p_partkey, 1, 'kind', 'const', '', false, '', 0, '1' FROM part
+UNION ALL SELECT p_partkey, 2, 'size', 'integer | null', 'minimum=1; maximum=' || p_size, true, '', 1, '1' FROM part
+UNION ALL SELECT p_partkey, 3, 'tags', 'array', '', false, '', 0, '*' FROM part""")
+def json_schema_fields(spark, sf_dir):
+    return outline.schema_fields(_part_schema(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS doc_id, true AS is_schema FROM part")
+def is_json_schema(spark, sf_dir):
+    return _part_schema(spark, sf_dir).select("doc_id", detect.is_json_schema(F.col("text")).alias("is_schema"))
+
+
+@query("SELECT p_partkey AS doc_id, p_size % 2 = 0 AS is_schema FROM part")
+def is_xsd(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part")
+    attrs = F.when(F.col("p_size") % 4 == 0, F.lit(f'schema xmlns="{detect.XSD}"')).when(F.col("p_size") % 4 == 2, F.lit(f"xs:schema xmlns:xs='{detect.XSD}'")).when(F.col("p_size") % 4 == 1, F.lit("xs:schema")).otherwise(F.lit("part"))
+    return part.select(F.col("p_partkey").alias("doc_id"), detect.is_xsd(F.concat(F.lit('<?xml version="1.0"?>\n<'), attrs, F.lit(' name="'), "p_name", F.lit('"></x>'))).alias("is_schema"))
+
+
+# --- chunking
+
+_MD = _with(views.SOURCE_MD, chunking.HEADERS_SQL)
+
+
+@query(_MD + "SELECT doc_id, start, level, title FROM headers")
+def md_headers(spark, sf_dir):
+    return chunking.md_headers(views.source_md(spark, sf_dir))
+
+
+@query(_MD + "SELECT doc_id, level, section, size FROM sections")
+def header_section_sizes(spark, sf_dir):
+    return chunking.header_section_sizes(views.source_md(spark, sf_dir))
+
+
+@query(_MD + "SELECT doc_id, arg_min(level, (score, level)) AS level, round(min(score), 6) AS score FROM scores GROUP BY doc_id")
+def choose_header_level(spark, sf_dir):
+    return chunking.choose_header_level(views.source_md(spark, sf_dir))
+
+
+@query("""SELECT source || '/' || (doc_id // 200) AS doc_id, source || ' > ' || lang || ' > doc ' || doc_id AS header_path, 1::BIGINT AS n FROM documents""")
+def header_path(spark, sf_dir):
+    md = views.source_md(spark, sf_dir).withColumn("level", F.lit(3))
+    rows = chunking.split_by_headers(md).withColumn("header_path", chunking.header_path(F.col("headers")))
+    return rows.filter("size(filter(headers, h -> h IS NOT NULL)) = 3").groupBy("doc_id", "header_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def split_by_headers(spark, sf_dir):
+    return chunking.split_by_headers(views.source_md(spark, sf_dir).withColumn("level", F.lit(3)))
+
+
+@query()
+def split_oversize(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("remainder"))
+    return chunking.split_oversize(rows.filter(F.length("remainder") > 6000)).select("doc_id", F.posexplode("pieces").alias("pos", "piece"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return chunking.chunk_documents(views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+
+
+@query()
+def chunk_markdown(spark, sf_dir):
+    return chunking.chunk_documents(views.source_md(spark, sf_dir))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 9 > 6 THEN 'max_header_level' WHEN n_chars < 200 THEN 'max_chars' WHEN n_chars // 2 < 100 THEN 'piece' WHEN doc_id % 500 > n_chars // 2 THEN 'overlap' ELSE 'ok' END AS error FROM documents")
+def chunk_param_check(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", (F.col("doc_id") % 9).alias("max_header_level"), F.col("n_chars").alias("max_chars"), F.floor(F.col("n_chars") / 2).alias("piece"), (F.col("doc_id") % 500).alias("overlap"))
+    return chunking.parameter_rejects(rows).select("doc_id", F.coalesce("error", F.lit("ok")).alias("error"))
+
+
+# --- ranking
+
+_RANK = _with(views.QUERY_CANDIDATES, ranking.CHECKED_SQL)
+_GUARD = 20
+
+
+@query(_RANK + "SELECT query_id, model, coalesce(model_name, '') AS model_name, coalesce(family, '') AS family, max_length, n_passages::BIGINT AS n_passages, coalesce(error, '') AS error FROM checked")
+def rerank_requests(spark, sf_dir):
+    q, p = views.query_candidates(spark, sf_dir)
+    out, _ = ranking.passage_check(ranking.listwise_guard(ranking.effective_max_length(ranking.resolve_model(q)), p, _GUARD), p)
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select("query_id", "model", text("model_name"), text("family"), "max_length", "n_passages", text("error"))
+
+
+@query(_RANK + "SELECT * FROM ranked")
+def rerank(spark, sf_dir):
+    q, p = views.query_candidates(spark, sf_dir)
+    return ranking.rerank(q, p, listwise_most=_GUARD).withColumn("score", F.round("score", 6))
+
+
+@query(_RANK + "SELECT query_id, passage_id, round(1 - (rank - 1) / n * 1e-3, 9) AS score, rank FROM unscored")
+def fallback_score(spark, sf_dir):
+    q, p = views.query_candidates(spark, sf_dir)
+    return ranking.rerank(q, p, scorer=None, listwise_most=_GUARD).withColumn("score", F.round("score", 9))
+
+
+@query(_RANK + "SELECT * FROM ranked WHERE rank <= 5")
+def rerank_top(spark, sf_dir):
+    q, p = views.query_candidates(spark, sf_dir)
+    return ranking.rerank(q, p, listwise_most=_GUARD, top=5).withColumn("score", F.round("score", 6))
+
+
+# --- labels
+
+_SOFT = _with(labels.LOGITS_SQL)
+
+
+def _scored(spark, sf_dir, multi: bool = False) -> DataFrame:
+    rows = labels.centroid_logits(views.table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("scores", labels.score_labels(F.col("logits"), multi))
+
+
+@query(_SOFT + "SELECT doc_id, label, round(score, 6) AS score FROM soft")
+def score_labels(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", F.explode(F.arrays_zip("labels", "scores")).alias("z")).select("doc_id", F.col("z.labels").alias("label"), F.round("z.scores", 6).alias("score"))
+
+
+@query(_SOFT + "SELECT doc_id, label, round(alone, 6) AS score FROM soft")
+def score_labels_multi(spark, sf_dir):
+    return _scored(spark, sf_dir, True).select("doc_id", F.explode(F.arrays_zip("labels", "scores")).alias("z")).select("doc_id", F.col("z.labels").alias("label"), F.round("z.scores", 6).alias("score"))
+
+
+@query(_SOFT + "SELECT doc_id, rank, label, round(score, 6) AS score FROM best WHERE rank <= 3")
+def top_k_labels(spark, sf_dir):
+    top = labels.top_k_labels(F.col("labels"), F.col("scores"), 3)
+    return _scored(spark, sf_dir).select("doc_id", F.posexplode(top).alias("r", "x")).select("doc_id", (F.col("r") + 1).cast("long").alias("rank"), "x.label", F.round("x.score", 6).alias("score"))
+
+
+@query(_SOFT + "SELECT doc_id, label FROM best WHERE score > 0.7")
+def accepted_labels(spark, sf_dir):
+    kept = labels.accepted_labels(labels.top_k_labels(F.col("labels"), F.col("scores")))
+    return _scored(spark, sf_dir).select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.label")
+
+
+@query("""
+WITH w AS (SELECT doc_id, list_distinct(list_filter([trim(x) FOR x IN string_split(lang || ', ' || source || ',,' || lang || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ',x ' END, ',')], lambda x: x <> '' AND x <> source)) AS l FROM documents),
+c AS (SELECT doc_id, list_sort(l) AS l FROM w)
+SELECT doc_id, array_to_string(l, '|') AS labels, CASE WHEN len(l) < 2 THEN 'fewer than two labels' ELSE 'ok' END AS error FROM c""")
+def clean_labels(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", F.filter(F.split(F.concat("lang", F.lit(", ,"), F.lit(",,"), "lang", F.when(F.col("doc_id") % 3 == 0, "").otherwise(",x ")), ","), lambda x: x.isNotNull()).alias("labels"))
+    return labels.label_rejects(rows).select("doc_id", F.array_join(F.array_sort("labels"), "|").alias("labels"), F.coalesce("error", F.lit("ok")).alias("error"))
+
+
+@query("SELECT doc_id, label, pos, 'This example is about ' || label || '.' AS hypothesis FROM (SELECT doc_id, unnest([lang, source]) AS label, unnest([0, 1]) AS pos FROM documents)")
+def label_pairs(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents").select("doc_id", F.array("lang", "source").alias("labels"))
+    return labels.label_pairs(d).select("doc_id", "label", "pos", "hypothesis")
+
+
+# --- graph
+
+@query(graph.INLINE_SQL.format(edges=views.STAR_EDGES.strip()))
+def inline_entities(spark, sf_dir):
+    e = views.star_edges(spark, sf_dir)
+    known = e.select(F.col("src").alias("entity_id")).union(e.select("dst")).filter("entity_id NOT LIKE 'missing:%'").distinct()
+    roots = e.filter("src LIKE 'region:%'").select(F.col("src").alias("entity_id")).distinct()
+    return graph.inline_entities(e, known, roots, 3).withColumn("path", F.array_join("path", ">"))
+
+
+@query(f"WITH RECURSIVE {views.STAR_EDGES.strip()}, r AS (SELECT DISTINCT src AS start, src AS node FROM star_edges WHERE src LIKE 'nation:%' UNION SELECT r.start, e.dst FROM r JOIN star_edges e ON e.src = r.node) SELECT start, count(*) AS n FROM r GROUP BY start")
+def schema_file_closure(spark, sf_dir):
+    e = views.star_edges(spark, sf_dir)
+    starts = e.filter("src LIKE 'nation:%'").select(F.col("src").alias("node")).distinct()
+    return graph.reachable(e, starts).groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_with(views.STAR_EDGES) + "SELECT src AS entity_id, array_to_string(list_sort(list(DISTINCT dst)), ',') AS refs FROM star_edges GROUP BY src")
+def entity_refs(spark, sf_dir):
+    return ir.entity_refs(views.star_edges(spark, sf_dir).withColumn("bundle", F.lit("star"))).select("entity_id", F.array_join("refs", ",").alias("refs"))
+
+
+# --- entity tables
+
+_IR = _with(views.STAR_IR)
+_TYPE = "coalesce('ref:' || regexp_extract(type_ref, '[^#]*$'), type_prim, 'any')"
+_CARD = "'[' || card_min || '..' || coalesce(card_max::VARCHAR, '*') || ']'"
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(trim(text), '\\s+', '_', 'g'), '[^A-Za-z0-9_.:#/-]+', '_', 'g') AS id FROM documents")
+def safe_id(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select("doc_id", ir.safe_id(F.col("text")).alias("id"))
+
+
+@query(_IR + f"SELECT entity_id, pos, {_TYPE} AS type, {_CARD} AS cardinality FROM fields")
+def display_names(spark, sf_dir):
+    _, fields, _ = views.star_ir(spark, sf_dir)
+    return fields.select("entity_id", "pos", ir.type_text(F.col("type_prim"), F.col("type_ref")).alias("type"), ir.cardinality_text(F.col("card_min"), F.col("card_max")).alias("cardinality"))
+
+
+@query(_IR + """, c AS (SELECT bundle, count(*) AS constraints FROM constraints GROUP BY 1), f AS (SELECT bundle, count(*) AS fields FROM fields GROUP BY 1)
+SELECT bundle, count(*) AS entities, count(DISTINCT source_file) AS json_files, 0::BIGINT AS xsd_files, any_value(coalesce(fields, 0)) AS fields, any_value(coalesce(constraints, 0)) AS constraints
+FROM entities LEFT JOIN f USING (bundle) LEFT JOIN c USING (bundle) GROUP BY bundle""")
+def bundle_counts(spark, sf_dir):
+    return ir.bundle_counts(*views.star_ir(spark, sf_dir))
+
+
+@query(_IR + """, loc AS (SELECT bundle, entity_id, 'parts/' || (quantity % 3) || '.json' AS f FROM fields UNION SELECT bundle, entity_id, source_file FROM entities)
+SELECT bundle, entity_id, string_agg(f, ',' ORDER BY f) AS files FROM loc GROUP BY ALL""")
+def entity_sources(spark, sf_dir):
+    entities, fields, _ = views.star_ir(spark, sf_dir)
+    locators = fields.select("bundle", "entity_id", F.concat(F.lit("parts/"), (F.col("quantity") % 3).cast("string"), F.lit(".json :: /q")).alias("locator"))
+    return ir.entity_sources(entities, locators).select("bundle", "entity_id", F.array_join("files", ",").alias("files"))
+
+
+@query("""
+SELECT 'star' AS bundle, c_name AS entity_id, 'customer' AS kind FROM customer
+UNION ALL SELECT 'star', CASE WHEN s_suppkey % 2 = 0 THEN 'two:' ELSE '' END || CASE WHEN s_suppkey % 2 = 0 THEN 'Customer#' ELSE 'Supplier#' END || lpad(s_suppkey::VARCHAR, 9, '0'), 'supplier' FROM supplier""")
+def merge_entities(spark, sf_dir):
+    a = views.table(spark, sf_dir, "customer").select(F.lit("star").alias("bundle"), F.col("c_name").alias("entity_id"), F.lit("customer").alias("kind"), F.col("c_custkey").alias("ord"))
+    name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Customer#").otherwise("Supplier#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))
+    b = views.table(spark, sf_dir, "supplier").select(F.lit("star").alias("bundle"), name.alias("entity_id"), F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("ord"))
+    return ir.merge_entities(a, b.unionByName(b), "two")
+
+
+@query(_IR + """, ex AS (SELECT p_partkey AS example_id, 'ORDERS' AS hint FROM part WHERE p_partkey < 3 UNION ALL SELECT p_partkey, p_partkey::VARCHAR FROM part)
+SELECT bundle, entity_id, string_agg(i::VARCHAR, ',' ORDER BY i) AS examples FROM (
+  SELECT DISTINCT bundle, entity_id, example_id AS i FROM (SELECT bundle, entity_id, unnest(string_split_regex(lower(entity_id), '[#.:/]+')) AS t FROM entities) JOIN ex ON t = lower(hint)) GROUP BY ALL""")
+def enrich_with_examples(spark, sf_dir):
+    entities, _, _ = views.star_ir(spark, sf_dir)
+    part = views.table(spark, sf_dir, "part")
+    hints = part.filter("p_partkey < 3").select(F.col("p_partkey").alias("example_id"), F.lit("ORDERS").alias("hint")).unionByName(part.select(F.col("p_partkey").alias("example_id"), F.col("p_partkey").cast("string").alias("hint")))
+    return ir.enrich_with_examples(entities, hints).select("bundle", "entity_id", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
+@query(_IR + """, rules AS (SELECT bundle AS from_bundle, entity_id AS from_entity, CASE WHEN o % 3 = 0 THEN 'other' ELSE bundle END AS to_bundle, CASE WHEN o % 2 = 0 THEN entity_id ELSE entity_id || 'x' END AS to_entity, 'same' AS relation
+    FROM (SELECT *, substr(entity_id, 8)::BIGINT AS o FROM entities))
+SELECT from_bundle, from_entity, to_bundle, to_entity, relation, CASE WHEN to_bundle <> 'other' AND to_entity LIKE '%x' THEN 'target entity missing' ELSE '' END AS warning FROM rules""")
+def apply_mappings(spark, sf_dir):
+    entities, _, _ = views.star_ir(spark, sf_dir)
+    o = F.substring("entity_id", 8, 20).cast("long")
+    rules = entities.select(
+        F.col("bundle").alias("from_bundle"), F.col("entity_id").alias("from_entity"), F.when(o % 3 == 0, "other").otherwise(F.col("bundle")).alias("to_bundle"),
+        F.when(o % 2 == 0, F.col("entity_id")).otherwise(F.concat("entity_id", F.lit("x"))).alias("to_entity"), F.lit("same").alias("relation"),
+    )
+    foreign = rules.withColumn("from_entity", F.concat(F.lit("gone:"), "from_entity"))
+    return ir.apply_mappings(rules.unionByName(foreign), entities).select("from_bundle", "from_entity", "to_bundle", "to_entity", "relation", F.coalesce("warning", F.lit("")).alias("warning"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n, coalesce(min(CASE WHEN p_size > 10 THEN 'type:' || p_partkey WHEN p_size > 5 THEN 'element:' || p_partkey END), 'unresolved') AS entity_id FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def resolve_qnames(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part")
+    key = [F.lit("star").alias("bundle"), F.lit("part").alias("ns"), F.col("p_partkey").alias("local")]
+    symbols = part.filter("p_size > 10").select(*key, F.lit(1).alias("rank"), F.concat(F.lit("type:"), F.col("p_partkey").cast("string")).alias("entity_id"))
+    symbols = symbols.unionByName(part.filter("p_size > 5").select(*key, F.lit(2).alias("rank"), F.concat(F.lit("element:"), F.col("p_partkey").cast("string")).alias("entity_id")))
+    refs = views.table(spark, sf_dir, "lineitem").select(F.lit("star").alias("bundle"), F.lit("part").alias("ns"), F.col("l_partkey").alias("local"), "l_orderkey", "l_linenumber")
+    return ir.resolve_names(refs, symbols).groupBy("l_orderkey", "l_linenumber", F.col("local").alias("l_partkey")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("entity_id"), F.lit("unresolved")).alias("entity_id"))
+
+
+@query("SELECT o_orderpriority AS bundle, 'f' || o_orderkey AS path FROM orders WHERE o_orderpriority <> '5-LOW' OR o_orderkey % 10 = 0")
+def select_entrypoints(spark, sf_dir):
+    found = views.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("bundle"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), "o_orderkey")
+    listed = found.filter("bundle = '5-LOW' AND o_orderkey % 10 = 0").select("bundle", "path")
+    return ir.select_entrypoints(found.select("bundle", "path"), listed)
+
+
+@query(_IR + "SELECT DISTINCT bundle, entity_id FROM entities WHERE substr(entity_id, 8)::BIGINT IN (SELECT p_partkey FROM part WHERE p_size < 20)")
+def select_inline_roots(spark, sf_dir):
+    entities, _, _ = views.star_ir(spark, sf_dir)
+    key = F.col("p_partkey").cast("string")
+    wanted = views.table(spark, sf_dir, "part").filter("p_size < 20").select(F.when(F.col("p_size") < 7, F.concat(F.lit("orders#"), key)).when(F.col("p_size") < 14, F.concat(F.lit("ORDER "), key)).otherwise(key).alias("wanted"))
+    return ir.select_inline_roots(entities, wanted)
+
+
+@query(_IR + "SELECT bundle, entity_id, pos, name, coalesce(type_prim, '') AS type_prim, coalesce(type_ref, '') AS type_ref, required FROM fields")
+def write_and_read_ir(spark, sf_dir):
+    entities, fields, _ = views.star_ir(spark, sf_dir)
+    nested = ir.nested_entities(entities, fields)
+    path = shared(spark, "ir")
+    nested.write.json(path)
+    rows = ir.flat_fields(spark.read.schema(nested.schema).json(path))
+    return rows.withColumn("type_prim", F.coalesce("type_prim", F.lit(""))).withColumn("type_ref", F.coalesce("type_ref", F.lit("")))
+
+
+# --- documents
+
+_DOC = "bundle, entity_id"
+
+
+@query(_IR + f"SELECT {_DOC}, 'entity_header' AS type, 1 AS part, '# Entity: ' || name || chr(10) || 'EntityId: ' || entity_id || chr(10) || 'Bundle: ' || bundle || ' | Kind: ' || kind || chr(10) || 'Source files: ' || source_file || coalesce(chr(10) || chr(10) || 'Description:' || chr(10) || description, '') || chr(10) AS text FROM entities")
+def entity_header_docs(spark, sf_dir):
+    return docs.entity_header_docs(views.star_ir(spark, sf_dir)[0])
+
+
+_BLOCK = f"'- ' || name || ' : ' || {_TYPE} || ' ' || {_CARD} || CASE WHEN required THEN ' required' ELSE '' END"
+
+
+@query(_IR + f", p AS (SELECT *, (pos - 1) // 3 + 1 AS part, count(*) OVER (PARTITION BY {_DOC}) AS n, {_BLOCK} || coalesce(chr(10) || '  - description: ' || description, '') AS block FROM fields) SELECT p.bundle, p.entity_id, 'entity_fields' AS type, part::INT AS part, '## Fields for ' || any_value(e.name) || ' (' || part || '/' || ((any_value(n) + 2) // 3) || ')' || chr(10) || string_agg(block, chr(10) ORDER BY pos) || chr(10) AS text FROM p JOIN entities e USING (bundle, entity_id) GROUP BY p.bundle, p.entity_id, part")
+def entity_fields_docs(spark, sf_dir):
+    entities, fields, _ = views.star_ir(spark, sf_dir)
+    return docs.entity_fields_docs(fields, entities, max_fields=3)
+
+
+@query(f"WITH RECURSIVE {views.STAR_IR.strip()}, l AS (SELECT {_DOC}, pos, length({_BLOCK}) AS n FROM fields), p AS (SELECT {_DOC}, pos, 1 AS part, 1 AS c, n + 1 AS chars FROM l WHERE pos = 1 UNION ALL SELECT l.bundle, l.entity_id, l.pos, CASE WHEN p.c >= 4 OR p.chars + l.n + 1 > 100 THEN p.part + 1 ELSE p.part END, CASE WHEN p.c >= 4 OR p.chars + l.n + 1 > 100 THEN 1 ELSE p.c + 1 END, CASE WHEN p.c >= 4 OR p.chars + l.n + 1 > 100 THEN l.n + 1 ELSE p.chars + l.n + 1 END FROM p JOIN l ON l.bundle = p.bundle AND l.entity_id = p.entity_id AND l.pos = p.pos + 1) SELECT {_DOC}, pos, part::INT AS part FROM p")
+def pack_fields(spark, sf_dir):
+    return docs.pack_fields(views.star_ir(spark, sf_dir)[1], 4, 100).select("bundle", "entity_id", "pos", "part")
+
+
+@query(_IR + f"SELECT c.bundle, c.entity_id, 'entity_constraints' AS type, 1 AS part, '## Constraints for ' || any_value(e.name) || chr(10) || string_agg('  - kind=' || c.kind || ' target=' || e.name || '.' || field_name || ' range=[' || minimum || ',' || maximum || ']', chr(10) ORDER BY pos) || chr(10) AS text FROM constraints c JOIN entities e USING (bundle, entity_id) GROUP BY {', '.join('c.' + k for k in ('bundle', 'entity_id'))}")
+def entity_constraints_docs(spark, sf_dir):
+    entities, _, constraints = views.star_ir(spark, sf_dir)
+    return docs.entity_constraints_docs(constraints, entities)
+
+
+@query(_IR + f", r AS (SELECT {_DOC}, string_agg('- ' || type_ref, chr(10) ORDER BY type_ref) AS refs FROM (SELECT DISTINCT {_DOC}, type_ref FROM fields WHERE type_ref IS NOT NULL) GROUP BY ALL) SELECT {_DOC}, 'entity_relationships' AS type, 1 AS part, '## Relationships for ' || name || coalesce(chr(10) || 'References:' || chr(10) || refs, '') || chr(10) || 'Provenance files:' || chr(10) || '- ' || source_file || chr(10) AS text FROM entities LEFT JOIN r USING (bundle, entity_id)")
+def entity_relationships_docs(spark, sf_dir):
+    entities, fields, _ = views.star_ir(spark, sf_dir)
+    return docs.entity_relationships_docs(entities, fields)
+
+
+@query(_IR + f"SELECT f.bundle, f.entity_id, 'field_fact' AS type, f.pos AS part, '# Field: ' || e.name || '.' || f.name || chr(10) || 'Type: ' || {_TYPE} || ' ' || {_CARD} || coalesce(chr(10) || 'Description: ' || f.description, '') || CASE WHEN quantity > 25 THEN chr(10) || 'Constraints: range' ELSE '' END || chr(10) AS text FROM fields f JOIN entities e USING (bundle, entity_id)")
+def field_fact_docs(spark, sf_dir):
+    entities, fields, constraints = views.star_ir(spark, sf_dir)
+    return docs.field_fact_docs(fields, entities, constraints)
+
+
+@query(_IR + "SELECT bundle, lower(name) AS name_key, entity_id, '- ' || name || ' (' || kind || ') id=' || entity_id || coalesce(' — ' || description, '') AS line FROM entities")
+def glossary_lines(spark, sf_dir):
+    return docs.glossary_lines(views.star_ir(spark, sf_dir)[0])
+
+
+@query()
+def glossary_docs(spark, sf_dir):
+    return docs.glossary_docs(views.star_ir(spark, sf_dir)[0])
+
+
+@query()
+def entity_inline_docs(spark, sf_dir):
+    e = views.star_edges(spark, sf_dir)
+    known = e.select(F.col("src").alias("entity_id")).union(e.select("dst")).filter("entity_id NOT LIKE 'missing:%'").distinct()
+    roots = e.filter("src LIKE 'nation:%'").select(F.col("src").alias("entity_id")).distinct()
+    return docs.entity_inline_docs(graph.inline_entities(e, known, roots, 3))
+
+
+@query()
+def build_docs(spark, sf_dir):
+    return docs.build_docs(*views.star_ir(spark, sf_dir))
+
+
+@query("SELECT o_orderkey::VARCHAR AS entity, count(*) OVER () > 0 AS written FROM orders")
+def write_docs_jsonl(spark, sf_dir):
+    path = shared(spark, "jsonl")
+    docs.write_docs_jsonl(docs.entity_header_docs(views.star_ir(spark, sf_dir)[0]), path)
+    back = spark.read.schema("entity_id string, part int, text string, bundle string, type string").json(path)
+    return back.select(F.substring("entity_id", 8, 20).alias("entity"), F.col("text").isNotNull().alias("written"))
+
+
+# --- streaming
+
+@query("SELECT doc_id::VARCHAR AS doc_id, CASE WHEN regexp_matches(text, '(?m)^\\s*---\\s*$') OR regexp_matches(text, '(?m)^\\s*[\\w\"''\\-]+\\s*:\\s+.+$') OR regexp_matches(text, '(?m)^\\s*-\\s+.+$') THEN 'yaml_instance' ELSE 'none' END AS kind FROM documents")
+def stream_convert_and_chunk_kinds(spark, sf_dir):
+    out = stream_convert_and_chunk(spark, f"{sf_dir}/documents.parque[t]", "doc_id long, text string", shared(spark, "stream"))
+    return spark.read.parquet(f"{out}/kinds").select("doc_id", "kind")
