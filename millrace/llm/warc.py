@@ -73,6 +73,12 @@ def with_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
     return joined.withColumn("refers_to", F.when(~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first"))).drop("_first")
 
 
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows as a frame; ids with nulls stay exact integers, never doubles."""
+    kinds = [c.split() for c in schema.split(", ")]
+    return pd.DataFrame({name: pd.array(list(values), dtype="Int64" if kind == "long" else "object") for (name, kind), values in zip(kinds, zip(*rows, strict=True), strict=True)})
+
+
 def _writer(folder: str, roll_bytes: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = file_system(folder)
@@ -93,8 +99,7 @@ def _writer(folder: str, roll_bytes: int):
                     rows.append((page_id, r.url, r.payload_digest, r.payload_bytes, "response" if refers is None else "revisit", refers, name, at, len(raw)))
                     at += len(raw)
                 if rows:
-                    got = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
-                    yield got.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield _frame(rows, INDEX)
         finally:
             if out is not None:
                 out.close()
@@ -145,7 +150,7 @@ def _reader(folder: str, gap: int, most: int):
             if group:
                 rows += fetch(stream, group)
             if rows:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield _frame(rows, READ)
         if stream is not None:
             stream.close()
 
