@@ -1,0 +1,411 @@
+"""Corpus operators against brute force, round trips and held-out accuracy, and their defined edge cases."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF, duck, rows_of
+from millrace.llm import bsi_topk, decontaminate, mixing, pii_surrogates, probminhash, quality, registry, rendezvous, token_store, toxicity, warc
+from millrace.llm._common import scratch
+
+MID = "/root/testdata/sf0.01"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, _row int, _d string, h string"
+
+
+def odd_docs(spark, n=None):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing extra columns."""
+    long = " ".join(f"w{i % 997}" for i in range(60000))
+    rows = [
+        (1, "plain text of a few words, ending here.", "en", "s", 5, 1, "x", "y"), (1, "plain text of a few words, ending here.", "en", "s", 5, 1, "x", "y"),
+        (2, None, None, None, None, None, None, None), (3, "", "en", "s", 0, 1, "x", "y"), (None, "no id", "en", None, 5, 1, "x", "y"), (4, long, None, "s", 9, 1, "x", "y"),
+        (5, "!!! ***", "en", "s", 1, 1, "x", "y"), (6, "É ÀÉ 中文 \u0000 z", "fr", "t", 1, 1, "x", "y"), (1, "same id, other text", "en", "s", 5, 1, "x", "y"), (2**60 + 1, "big id", "en", "s", 5, 1, "x", "y"),
+    ]
+    return spark.createDataFrame(rows if n is None else rows[:n], DOC)
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_against_duckdb(spark, name):
+    assert rows_of(registry.QUERIES[name](spark, SF)) == duck(registry.SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
+def test_whole_table(spark, name):
+    df = registry.QUERIES[name](spark, SF)
+    assert df.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+# --- 1 toxicity
+
+
+def test_toxicity_held_out(spark):
+    got = {r.doc_id: r for r in toxicity.op1(spark, "/root/testdata/sf0.1").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for i, r in got.items())
+    held = [(got[x.doc_id].predicted, x.toxic) for x in labels if got[x.doc_id].held_out]
+    hits = sum(p and t for p, t in held)
+    assert hits / sum(t for _, t in held) > 0.8 and hits / sum(p for p, _ in held) > 0.95
+
+
+def test_toxicity_edges(spark):
+    docs = odd_docs(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score_texts(docs, model).collect()
+    assert len(out) == docs.count() and len({r.score for r in out}) == 1
+    voters = toxicity.Voters(["bad", "2+^vile"])
+    assert voters.votes("Bad vilest vilely") == ([0, 1], 3) and voters.votes("vilest good") == ([], 2) and voters.votes(None) == ([], 0)
+    model = {"names": ["bad"], "weights": np.array([3.0, 0, 0, 0, -2.0]), "prior": 0.1}
+    s = {r.doc_id: r.score for r in toxicity.score_texts(spark.createDataFrame([(1, "bad"), (2, None), (3, "")], "doc_id long, text string"), model).collect()}
+    assert s[1] > s[2] == s[3]
+    assert toxicity.score_texts(docs.limit(0), model).count() == 0
+
+
+def test_label_model_recovers_classes():
+    rng = np.random.default_rng(0)
+    y = rng.random(3000) < 0.2
+    votes = np.stack([(rng.random(3000) < np.where(y, 0.7, 0.05)) for _ in range(6)], 1).astype(np.float32)
+    known = np.where(rng.random(3000) < 0.3, y, np.nan)
+    q, _ = toxicity.label_model(votes, known)
+    assert ((q > 0.5) == y).mean() > 0.97
+
+
+# --- 2 top-k
+
+
+def test_bsi_against_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([-0.5, -0.25, 0.0, 0.125, 0.5, 1.5]) for _ in range(5)], 1) for i in range(400)]
+    rows += [(400, None, 1), (401, [1.0, None, 0.0, 0.0, 0.0], 1), (402, [float("nan")] * 5, 1), (403, [float("inf")] * 5, 1), (None, [1.0] * 5, 1), (404, [], 1), (10, [9.0] * 5, 1), (11, [0.25] * 3, 1), (405, [0.5] * 3, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = collections.defaultdict(list)
+    for r in bsi_topk.top_k(df, df.filter("vec_id % 10 = 0"), 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    expected = collections.defaultdict(list)
+    for qi, q in good:
+        if qi % 10 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in good if i != qi and len(v) == len(q))
+            expected[qi] += [(-s, i) for s, i in scored[:5]]
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in expected.items()}
+    assert bsi_topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_bsi_parts():
+    q = np.array([[-300, -7, 0, 1, 5, 255]])
+    assert ((bsi_topk.digits(q) * (1 << np.arange(bsi_topk.digits(q).shape[-1]))).sum(-1) == q).all()
+
+
+# --- 3 WARC
+
+
+def test_warc_round_trip(spark):
+    rows = [(2**60 + 1, "u", "x" * 200, 1), (2**60 + 2, None, "x" * 200, 1), (None, "a", "x" * 200, 1), (5, "b\nc", None, 1), (6, "b", "", 1), (7, "c", "é" * 60, 1), (8, "c", "é" * 60, 1), (8, "c", "é" * 60, 1), (9, "d", "short", 1), (10, "d", "short", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, file int")
+    folder = scratch(spark, "test")
+    index = warc.write_archives(df, folder)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(index, folder, gap=0).collect()), key=repr)
+    first = {"x" * 200: 2**60 + 1, "é" * 60: 7}
+    expected = []
+    for i, _, h, _ in rows:
+        raw = (h or "").encode()
+        f = first.get(h)
+        revisit = f is not None and f != i
+        expected.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", f if revisit else None))
+    assert got == sorted(expected, key=repr)
+    some = warc.read_records(index.filter("page_id = 7"), folder).collect()
+    assert [(r.page_id, r.payload_bytes) for r in some] == [(7, 120)]
+    empty = scratch(spark, "test")
+    assert warc.read_records(warc.write_archives(df.limit(0), empty), empty).count() == 0
+
+
+# --- 4 mixing
+
+
+def test_raking_meets_targets(spark):
+    p = mixing.op4(spark, MID).toPandas()
+    t = p.assign(e=p.tokens * p.p)
+    t = t[t.tokens > 0]
+    for d in mixing.DIMS:
+        goal, share = mixing.tempered(t.groupby(d).tokens.sum().to_dict(), mixing.TEMPER[d]), t.groupby(d).e.sum() / t.e.sum()
+        assert max(abs(share[k] - goal[k]) for k in goal) < 0.01
+    assert abs(p[p.kept].tokens.sum() - t.e.sum()) < 0.05 * t.tokens.sum()
+
+
+def test_mixing_edges_and_distributed_raking(spark, monkeypatch):
+    docs = odd_docs(spark)
+    out = mixing.drawn(docs).collect()
+    assert len(out) == docs.count() and all(r.kept and r.topic == "-1" for r in out if not r.tokens)
+    assert len({r.kept for r in out if r._row.doc_id == 1 and r._row.text.startswith("plain")}) == 1
+    assert mixing.sample_mixture(docs).columns == docs.columns
+    assert mixing.drawn(docs.limit(0)).count() == 0
+    base = spark.createDataFrame([(f"s{i % 3}", f"l{i % 2}", str(i % 4), 100 + 37 * i) for i in range(24)], "source string, lang string, topic string, t long")
+    cells = base.groupBy(*mixing.DIMS).agg(F.sum("t").alias("t"))
+    near = {tuple(r[:3]): r.p for r in mixing.inclusion(cells).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    far = {tuple(r[:3]): r.p for r in mixing.inclusion(cells).collect()}
+    assert max(abs(near[k] - far[k]) for k in near) < 0.02
+
+
+# --- 5 near duplicates
+
+
+def brute_classes(rows, threshold=0.8):
+    memory = probminhash.WordHashes()
+    sets = {k: probminhash.weighted_shingles([t], memory)[1:] for k, t in rows.items() if t}
+    parent = {k: k for k in rows}
+
+    def head(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if rows[a] == rows[b] or probminhash.similarity(sets[a], sets[b]) >= threshold:
+            x, y = sorted((head(a), head(b)))
+            parent[y] = x
+    return {k: head(k) for k in rows}
+
+
+def test_classes_against_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+
+    def edited(base, k):
+        base = list(base)
+        for _ in range(k):
+            base[rng.randrange(len(base))] = rng.choice(words)
+        return " ".join(base)
+
+    one, two = rng.choices(words, k=220), rng.choices("abcdefgh", k=100)
+    texts = [edited(one, rng.randint(1, 8)) for _ in range(90)] + [edited(two, rng.choice([1, 2, 3, 4, 6])) for _ in range(50)] + [" ".join(rng.choices(words, k=60)) for _ in range(20)]
+    texts += [texts[0], texts[100], "a b c", "A b, c", "a b d", "!!!", "!!!", "", None, ""]
+    rows = dict(enumerate(texts))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(6)
+    assert {r.doc_id: r.class_id for r in probminhash.near_duplicate_classes(df).collect()} == brute_classes(rows)
+
+
+def test_similarity_by_definition_and_bound():
+    rng = np.random.default_rng(1)
+    memory = probminhash.WordHashes()
+    for _ in range(60):
+        texts = [" ".join(rng.choice(list("abcd"), rng.integers(1, 40))) for _ in range(4)]
+        doc, s, w = probminhash.weighted_shingles(texts, memory)
+        at = np.searchsorted(doc, np.arange(5))
+        own = [(s[at[k] : at[k + 1]], w[at[k] : at[k + 1]]) for k in range(4)]
+        a = dict(zip(*own[0]))
+        bound = probminhash.bounded_similarity(own[0], doc, s, w, 4)
+        for k in range(4):
+            b = dict(zip(*own[k]))
+            every = a.keys() | b.keys()
+            exact = sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in every) for i in a.keys() & b.keys())
+            assert abs(exact - probminhash.similarity(own[0], own[k])) < 1e-9 and bound[k] >= exact - 1e-9
+
+
+def test_signature_estimates():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(50)]
+    base = rng.choices(words, k=300)
+    texts = [" ".join(base), " ".join(base[:270] + rng.choices(words, k=30))]
+    sig, has = probminhash.signatures(texts, probminhash.WordHashes())
+    memory = probminhash.WordHashes()
+    exact = probminhash.similarity(*[probminhash.weighted_shingles([t], memory)[1:] for t in texts])
+    assert has.all() and abs((sig[0] == sig[1]).mean() - exact) < 0.15
+
+
+def test_dedup_edges(spark):
+    docs = odd_docs(spark)
+    assert probminhash.near_duplicate_classes(docs).count() == docs.count()
+    kept = probminhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((r.doc_id or 0, r.text or "") for r in docs.dropDuplicates(["doc_id", "text"]).collect())
+    assert probminhash.deduplicate(docs.limit(0)).count() == 0
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    assert {(r.n, r.c) for r in probminhash.components(chain).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+# --- 6 sharding
+
+
+def test_rendezvous(spark):
+    rows = rendezvous.op6(spark, MID).collect()
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 40)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) == 40
+    moved = sum(r.grown_shard == 40 for r in rows) / len(rows)
+    assert 0 < moved < 0.06
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{MID}/documents.parquet").collect()}
+
+    def draw(k, i):
+        return -np.log((int(hashlib.md5(f"{k}:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48)
+
+    for r in rows[:300]:
+        assert r.shard == min(range(40), key=lambda i: draw(r.doc_id, i)) and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) and r.size == len(text[r.doc_id].encode()) + 16
+
+
+def test_rendezvous_weights_and_edges(spark):
+    docs = odd_docs(spark)
+    out = rendezvous.shard_documents(docs, 3).collect()
+    assert len(out) == docs.count() and {r.size for r in out if r.doc_id in (2, 3)} == {16} and len({r.shard for r in out if r.doc_id == 1}) == 1
+    assert rendezvous.shard_documents(docs.limit(0), 3).count() == 0
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    n = {r.shard: r["count"] for r in rendezvous.shard_documents(many, weights=[1.0, 3.0]).groupBy("shard").count().collect()}
+    assert 2.6 < n[1] / n[0] < 3.4
+
+
+# --- 7 quality
+
+
+def test_quality_held_out(spark):
+    got = {r.doc_id: r for r in quality.op7(spark, "/root/testdata/sf0.1").collect()}
+    held = [(got[x.doc_id].keep, x.quality) for x in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if zlib.crc32(str(x.doc_id).encode()) % 3 == 1]
+    assert sum(k == bool(q) for k, q in held) / len(held) > 0.97
+
+
+def test_quality_shrinks_sparse_sites(spark):
+    rows = [("good", "a", 0.95)] * 400 + [("bad", "a", 0.1)] * 400 + [("new", "a", 0.1)] + [(None, None, 0.5)]
+    shift = {(r.host, r.path): r.shift for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
+    assert shift["good", "a"] > 1 and shift["bad", "a"] < -1 and abs(shift["new", "a"]) < abs(shift["bad", "a"]) and len(shift) == 4
+
+
+def test_quality_edges(spark):
+    docs = odd_docs(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, none)
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+    assert quality.keep_good(docs.limit(0), none).count() == 0
+    assert len(quality.shape_features(None)) == quality.FEATURES == len(quality.shape_features("a b\n"))
+
+
+# --- 8 token store
+
+
+def test_pieces_equal_whole_texts():
+    rng = random.Random(8)
+    enc = token_store.PieceEncoder(token_store.tokenizer_file())
+    bits = ["'s", "'", "a", "É", "é", " ", "\n", "\t", "\x1c", "\x85", ".", "!!", "<|endoftext|>", "<|ENDOFTEXT|>", "ß", "İ", "Σ", "中", "१", "²", "Ⅷ", "don't", "A.", "_", " ", "µ", "×", "̀", "ǅ", "K", "ﬁ", "word,"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(5000)] + [None, "", " "]
+    flat, at = enc.encode(texts)
+    whole = enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert all(flat[at[i] : at[i + 1]].tolist() == w.ids + [1] for i, w in enumerate(whole))
+
+
+def test_store_round_trip(spark, monkeypatch):
+    docs = odd_docs(spark)
+    path = token_store.write_store(docs, scratch(spark, "store"), token_store.tokenizer_file(), partitions=3, page_bytes=1024)
+    out = sorted(token_store.digests(spark, path).collect(), key=lambda r: r.start)
+    enc = token_store.PieceEncoder(token_store.tokenizer_file())
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    assert [r.doc_id for r in out] == [r.doc_id for r in rows]
+    start = 0
+    for r in out:
+        assert r.start == start
+        start += r.n_tokens
+    ids = {t: enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in {r.text for r in rows}}
+    assert sorted(r.ids_crc32 for r in out) == sorted(zlib.crc32(np.array(ids[r.text], "<u4").tobytes()) for r in rows)
+    assert [r.doc_id for r in token_store.read_tokens(spark, path, 3, 4).orderBy("doc_id").collect()] == [3, 4]
+    assert token_store.encode_documents(docs.limit(0)).count() == 0
+    monkeypatch.setattr(token_store, "CACHE_PIECES", 5)
+    small = token_store.PieceEncoder(token_store.tokenizer_file())
+    for t in ("a b c d", "e f g a", "a e"):
+        assert small.encode([t])[0].tolist() == enc.encode([t])[0].tolist()
+
+
+# --- 9 surrogates
+
+
+def test_surrogates(spark):
+    text = "Mail x.24@mail4.example.com or X.24@MAIL4.EXAMPLE.COM, +1 (640) 555-0953, 180.194.127.198. Card 4111 1111 1111 1111 and 4111111111111111; token 58ed55e8cc700f5a0109593b09891d0a1a8ca26f. Mrs Anna Berg met Mr John Berg."
+    kinds = [k for _, _, k in pii_surrogates.find_entities(text)]
+    assert kinds == ["email", "email", "phone", "ipv4", "card", "card", "secret", "person_f", "person_m"]
+    docs = spark.createDataFrame([(1, text, 1), (2, None, 1), (3, "", 1), (None, "call +1 (640) 555-0953", 1), (1, text, 1), (4, "none, 9.5. 2024-01-02", 1)], "doc_id long, text string, n_entities int")
+    out = pii_surrogates.with_surrogates(docs, "k").collect()
+    by = {r.doc_id: r for r in out}
+    new = by[1].text
+    assert len(out) == 6 and by[2].text is None and by[4].text == "none, 9.5. 2024-01-02" and by[4].n_entities == 0
+    old, got = [[t[s:e] for s, e, _ in pii_surrogates.find_entities(t)] for t in (text, new)]
+    assert [k for _, _, k in pii_surrogates.find_entities(new)] == kinds and not set(old) & set(got)
+    assert got[0].upper() == got[1] and re.sub(" ", "", got[4]) == got[5] and got[4].count(" ") == 3
+    assert pii_surrogates.luhn_digit(got[5][:-1]) == int(got[5][-1])
+    assert got[2] in by[None].text and got[7].split()[0] in pii_surrogates.GIVEN["f", "latin"] and got[7].split()[1] == got[8].split()[1]
+    assert pii_surrogates.with_surrogates(docs.limit(0), "k").count() == 0
+
+
+def test_permutations_and_collisions(spark):
+    assert len({pii_surrogates.permute(i, 1000, "k", "t") for i in range(1000)}) == 1000
+    assert len({pii_surrogates.surrogate("ssn", f"{i:09d}", "k") for i in range(3000)}) == 3000
+    # given names are few, so people of one family name collide and must be told apart
+    known = spark.createDataFrame([("person_m", f"{n} Ng") for n in ("Al", "Bo", "Cy", "Di", "Ed")], "kind string, value string")
+    tried, base = pii_surrogates.resolve_collisions(known, "k")
+    got = {pii_surrogates.surrogate("person_m", f"{n} Ng", "k", tried.get(("person_m", f"{n} Ng"), base)) for n in ("Al", "Bo", "Cy", "Di", "Ed")}
+    assert len(got) == 5
+
+
+# --- 10 decontamination
+
+
+def brute_contamination(docs, items, window=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    wins = [(i, tuple(w[s : s + window])) for i, t in items for w in [words(t)] for s in range(max(1, len(w) - window + 1)) if w]
+    out = []
+    for d, t in docs:
+        w, hit, found = words(t), set(), set()
+        for i, x in wins:
+            for s in range(len(w) - len(x) + 1):
+                if tuple(w[s : s + len(x)]) == x:
+                    hit |= set(range(s, s + len(x)))
+                    found |= {str(i)} if i is not None else set()
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+def test_contamination_against_brute_force(spark):
+    rng = random.Random(10)
+    pick = lambda n: " ".join(rng.choices(["a", "b", "É", "c9"], k=n))
+    items = [(1, pick(3)), (2, pick(14)), (3, pick(11)), (12, pick(10)), (4, ""), (5, None), (6, "!!"), (7, "A"), (None, pick(12)), (8, pick(4)), (8, pick(12)), (9, pick(2))]
+    docs = [(i, pick(rng.randint(0, 60))) for i in range(30)] + [(50, items[1][1] + " x"), (51, "x " + items[2][1].upper().replace("É", "é")), (52, None), (53, ""), (54, items[8][1]), (50, items[1][1] + " x"), (50, "b"), (None, items[3][1])]
+    d = spark.createDataFrame([(*x, 1, 2) for x in docs], "doc_id long, text string, n_words int, item int")
+    b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, w int")
+    out = decontaminate.contamination(d, b).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256), "contaminated")
+    assert sorted(map(tuple, out.collect()), key=repr) == brute_contamination(docs, items)
+    kept = decontaminate.drop_contaminated(d, b)
+    assert kept.columns == d.columns and kept.count() == sum(not r[-1] for r in brute_contamination(docs, items))
+    assert decontaminate.contamination(d.limit(0), b).count() == 0
+    assert decontaminate.contamination(d, b.limit(0)).filter("contaminated").count() == 0
+
+
+def test_contamination_by_shuffled_joins(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert rows_of(decontaminate.op10(spark, SF)) == duck(decontaminate.OP10_SQL)
+
+
+# --- pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5 and corpus_pipeline.ORACLE_SQL is None
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before, columns = docs.count(), docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, SF)
+        path = scratch(spark, "stage")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.count() <= before
+        before = docs.count()
+        if k < 4:
+            assert docs.columns == columns
+    assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and before > 0
+    total = docs.agg(F.max(F.col("start") + F.col("n_tokens")).alias("a"), F.sum("n_tokens").alias("b")).first()
+    assert total.a == total.b
