@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.lineage import shared
-from millrace.operators import chunking, detect, docs, graph, ir, labels, outline, ranking
+from millrace.operators import chunking, detect, docs, graph, ir, labels, outline, ranking, trees
 from millrace.sources import files, views
 from millrace.streaming.convert import stream_convert_and_chunk
 
@@ -131,6 +131,42 @@ def is_xsd(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("doc_id"), detect.is_xsd(F.concat(F.lit('<?xml version="1.0"?>\n<'), attrs, F.lit(' name="'), "p_name", F.lit('"></x>'))).alias("is_schema"))
 
 
+def _order_xml(spark, sf_dir) -> DataFrame:
+    """An XML text per order with one element per line."""
+    q = lambda c: F.col(c).cast("string")
+    line = F.concat(F.lit("<line><part>"), q("l_partkey"), F.lit("</part><flag>"), F.col("l_returnflag"), F.lit("</flag></line>"))
+    lines = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("lines"))
+    orders = views.table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("k"), "left")
+    text = F.concat(F.lit('<o:order xmlns:o="urn:x" key="'), q("o_orderkey"), F.lit('"><status>'), "o_orderstatus", F.lit("</status>"), F.coalesce("lines", F.lit("")), F.lit("<date>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</date></o:order>"))
+    return orders.select(q("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k, count(*) AS n, min('<line><part>' || l_partkey || '</part><flag>' || l_returnflag || '</flag></line>') AS x FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey::VARCHAR AS doc_id, o_orderstatus AS s, strftime(o_orderdate, '%Y-%m-%d') AS d, coalesce(n, 0) AS n, regexp_extract(x, '<part>(\\d+)', 1) AS part, regexp_extract(x, '<flag>(.)', 1) AS flag FROM orders LEFT JOIN l ON o_orderkey = k)
+SELECT doc_id, 1 AS depth, 'order' AS name, 'object' AS type, '' AS example FROM o
+UNION ALL SELECT doc_id, 2, '@key', 'integer', doc_id FROM o UNION ALL SELECT doc_id, 2, 'status', 'string', s FROM o UNION ALL SELECT doc_id, 2, 'date', 'date', d FROM o
+UNION ALL SELECT doc_id, 2, 'line', 'list', '[{...}, ...]' FROM o WHERE n > 1
+UNION ALL SELECT doc_id, CASE WHEN n > 1 THEN 3 ELSE 2 END, CASE WHEN n > 1 THEN 'items' ELSE 'line' END, 'object', '' FROM o WHERE n > 0
+UNION ALL SELECT doc_id, CASE WHEN n > 1 THEN 4 ELSE 3 END, 'part', 'integer', part FROM o WHERE n > 0
+UNION ALL SELECT doc_id, CASE WHEN n > 1 THEN 4 ELSE 3 END, 'flag', 'string', flag FROM o WHERE n > 0""")
+def xml_outline(spark, sf_dir):
+    return trees.xml_outline(_order_xml(spark, sf_dir)).select("doc_id", "depth", "name", "type", F.coalesce("example", F.lit("")).alias("example"))
+
+
+@query("""
+SELECT event_id AS doc_id, 1 AS depth, 'yaml instance' AS name, 'object' AS type, '' AS example FROM events
+UNION ALL SELECT event_id, 2, 'user', 'integer', user_id::VARCHAR FROM events UNION ALL SELECT event_id, 2, 'when', 'date', strftime(ts, '%Y-%m-%d') FROM events
+UNION ALL SELECT event_id, 2, 'native', 'string', strftime(ts, '%Y-%m-%d') FROM events UNION ALL SELECT event_id, 2, 'tags', 'list', '[' || event_type || ', ...]' FROM events
+UNION ALL SELECT event_id, 3, 'items', 'string', event_type FROM events""")
+def yaml_outline(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    text = F.concat(F.lit("user: '"), F.col("user_id").cast("string"), F.lit("'\nwhen: '"), day, F.lit("'\nnative: "), day, F.lit("\ntags:\n  - "), "event_type", F.lit("\n  - x\n"))
+    out = trees.yaml_outline(e.select(F.col("event_id").alias("doc_id"), text.alias("text")), depth=4)
+    return out.select("doc_id", "depth", "name", "type", F.coalesce("example", F.lit("")).alias("example"))
+
+
 # --- chunking
 
 _MD = _with(views.SOURCE_MD, chunking.HEADERS_SQL)

@@ -51,23 +51,28 @@ def example_text(v: Column, most: int = EXAMPLE, nested: int = 3) -> Column:
     return F.when(kind.startswith("OBJECT"), None).when(kind.startswith("ARRAY"), shown).when(F.is_variant_null(v), "null").when(kind == "STRING", one_line(text, most)).otherwise(text)
 
 
-def json_outline(docs: DataFrame, root: str = "json instance", most: int = EXAMPLE, sample_lists: bool = True, depth: int = MAX_DEPTH) -> DataFrame:
-    """``doc_id, ord, depth, name, type, example`` of every section of a JSON text; keys are sorted, lists sampled at 0.
-
-    Texts that are no JSON give no rows.
-    """
+def walk(docs: DataFrame, root: str, sample_lists: bool, depth: int) -> DataFrame:
+    """``doc_id, ord, depth, name, v``: the sections of JSON texts, level by level; keys are sorted, lists sampled at 0."""
     spark = docs.sparkSession
     level = docs.select("doc_id", F.array().cast("array<int>").alias("ord"), F.lit(1).alias("depth"), F.lit(root).alias("name"), F.try_parse_json("text").alias("v")).filter("v IS NOT NULL")
-    section = lambda d: d.select("doc_id", "ord", "depth", "name", value_type(F.col("v")).alias("type"), example_text(F.col("v"), most).alias("example"))
-    out = section(level)
+    out = level
     for _ in range(depth - 1):
         name = f"_level_{id(level)}"
         level.createOrReplaceTempView(name)
         level = spark.sql(f"SELECT l.doc_id, concat(l.ord, array(c.pos)) AS ord, l.depth + 1 AS depth, coalesce(c.key, 'items') AS name, c.value AS v FROM {name} l, LATERAL variant_explode(l.v) c WHERE c.key IS NOT NULL OR (c.pos = 0 AND {str(sample_lists).lower()})")
-        out = out.unionByName(section(level))
+        out = out.unionByName(level)
     return out
 
 
+def json_outline(docs: DataFrame, root: str = "json instance", most: int = EXAMPLE, sample_lists: bool = True, depth: int = MAX_DEPTH) -> DataFrame:
+    """``doc_id, ord, depth, name, type, example`` of every section of a JSON text.
+
+    Texts that are no JSON give no rows.
+    """
+    rows = walk(docs, root, sample_lists, depth)
+    return rows.select("doc_id", "ord", "depth", "name", value_type(F.col("v")).alias("type"), example_text(F.col("v"), most).alias("example"))
+
+
 def render_markdown(sections: DataFrame) -> DataFrame:
     """``doc_id, markdown`` from section rows: headings, bullets, all lower-case; one shuffle by doc_id."""
     head = F.concat(F.repeat(F.lit("#"), F.least("depth", F.lit(6))), F.lit(" "), "name", F.lit("\n- type: "), "type")
