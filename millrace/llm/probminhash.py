@@ -61,7 +61,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -208,16 +208,20 @@ def _sides(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
 
 
 def _active(least: float):
-    """Rows of a group that have a partner of another component, by the signature's estimate."""
+    """Rows of a group that have a partner of another component, by the signature's estimate.
+
+    A pair counts in the first band that it shares only.
+    """
 
     def group(f: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(f)
         n, c = f["n"].to_numpy(), f["c"].to_numpy()
         sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, PLACES)
-        live = np.zeros(len(f), bool)
+        live, band = np.zeros(len(f), bool), f["band"].iloc[0]
         for x in left:
             y = right[(c[right] != c[x]) & ((n[right] > n[x]) if same else True)]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
+            same_place = sig[y] == sig[x]
+            y = y[(same_place.mean(axis=1) >= least) & (same_place.reshape(-1, BANDS, ROWS_A_BAND).all(axis=2).argmax(axis=1) == band)]
             live[y], live[x] = True, live[x] or len(y) > 0
         return f[live]
 
@@ -236,11 +240,12 @@ def bounded_similarity(a: tuple[np.ndarray, np.ndarray], doc: np.ndarray, s: np.
 
 def _links_across(threshold: float):
     """Links between components in a group of rows with texts: a bound first, then J_P itself."""
+    memory = WordHashes()
 
     def group(f: pd.DataFrame) -> pd.DataFrame:
         left, right, same = _sides(f)
         n, c, texts = f["n"].to_numpy(), f["c"].to_numpy(), f["text"].tolist()
-        doc, s, w = weighted_shingles(texts, WordHashes())
+        doc, s, w = weighted_shingles(texts, memory)
         start = np.searchsorted(doc, np.arange(len(texts) + 1))
         own = lambda k: (s[start[k] : start[k + 1]], w[start[k] : start[k + 1]])
         parent, out = {}, []
@@ -294,7 +299,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     nodes = materialise(nodes, "nodes")
 
     band = lambda k: F.xxhash64(k, F.substring("sig", k * (4 * ROWS_A_BAND) + 1, F.lit(4 * ROWS_A_BAND)))
-    bands = nodes.filter("sig IS NOT NULL").select("n", F.explode_outer(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bh"))
+    bands = nodes.filter("sig IS NOT NULL").select("n", F.posexplode_outer(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("band", "bh"))
     buckets = bands.groupBy("bh").agg(F.min("n").alias("first"), F.max("n").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
     members = materialise(bands.join(buckets.select("bh", "first", "size"), "bh"), "members")
 
@@ -316,11 +321,11 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     links = materialise(full.mapInArrow(_verified(threshold), "a long, b long"), "links")
     parts = components(links)
 
-    named = members.join(parts, "n", "left").select("bh", "size", "n", F.coalesce("c", "n").alias("c"))
+    named = members.join(parts, "n", "left").select("bh", "band", "size", "n", F.coalesce("c", "n").alias("c"))
     mixed = named.groupBy("bh").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("bh")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rest = named.join(mixed, "bh", "left_semi").withColumn("blk", F.pmod(F.xxhash64("n"), blocks).cast("int"))
-    rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bh", "n", "c", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+    rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bh", "band", "n", "c", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,8 +7,8 @@ reader fetch a doc_id range or metadata alone without touching other token pages
 
 Ids come from the ``tokenizers`` library on whole texts. Text between plain spaces and line feeds is encoded
 piece by piece and remembered: the vocabulary's pre-tokenizer never joins across white space, so the ids are those
-of the whole text (the tests compare them). A piece of Latin letters followed only by plain punctuation is split
-once more between the two, as the pre-tokenizer does.
+of the whole text (the tests compare them). Leading Latin letters are split from ASCII punctuation or digits after them, as
+the pre-tokenizer does.
 
 Defined cases: null and empty texts give the end id alone; repeated doc_ids keep one entry per row, ordered by
 text; null doc_ids come first; an empty table gives an empty store. Extra columns are ignored.
@@ -17,22 +17,29 @@ text; null doc_ids come first; an empty table gives an empty store. Extra column
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._common import scratch, table
 
 END_ID = 1
-#: Pieces remembered in a worker; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+#: Pieces remembered in a worker (about 150 bytes each); beyond it the memory starts anew.
+CACHE_PIECES = 600_000
+#: Pieces encoded at once, to bound what the library holds.
+LEARN_AT_ONCE = 2_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PUNCT = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation without the apostrophe
-_PIECES = re.compile(rf"[{_LETTERS}]+(?=[{_PUNCT}]*(?:[ \n]|\Z))|[{_PUNCT}]+(?=[ \n]|\Z)|[^ \n]+")
+#: A piece: Latin letters before white space or another ASCII character, where the pre-tokenizer splits anyway; else all
+#: up to white space.
+_PIECES = re.compile(rf"[{_LETTERS}]++(?![^\x00-\x7f])|[^ \n]+")
+_PLAIN = re.compile(rf"[{_LETTERS}]+")
 SCHEMA = "doc_id long, n_tokens long, tokens array<int>"
 
 
@@ -43,6 +50,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -51,41 +61,60 @@ class PieceEncoder:
         self.starts, self.lens, self.flat = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.index) + len(pieces) > CACHE_PIECES:
-            self._reset()
+        """Remembers the ids of new pieces. Plain words are encoded as one text, which its end-of-word tokens divide again."""
+        plain, rest = [], []
+        for p in pieces:
+            (plain if _PLAIN.fullmatch(p) else rest).append(p)
+        flat, lens, names = [self.flat], [], []
+        for at in range(0, len(plain), LEARN_AT_ONCE):
+            words = plain[at : at + LEARN_AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                flat.append(ids)
+                lens.append(np.diff(ends, prepend=0))
+                names += words
+            else:
+                rest += words
+        for at in range(0, len(rest), LEARN_AT_ONCE):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(rest[at : at + LEARN_AT_ONCE], add_special_tokens=False)]
+            flat.append(np.array([i for ids in got for i in ids], np.int32))
+            lens.append(np.array([len(ids) for ids in got], np.int64))
+        names += rest
         n = len(self.index)
-        self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
+        self.index.update(zip(names, range(n, n + len(names)), strict=True))
+        lens = np.concatenate(lens) if lens else np.zeros(0, np.int64)
         self.starts = np.concatenate([self.starts, self.flat.size + np.cumsum(lens) - lens])
         self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.int32, int(lens.sum()))])
+        self.flat = np.concatenate(flat)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by the end id; and the offsets of the texts."""
-        split: list[list[str]] = []
-        for t in texts:
+        pieces: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
             t = t or ""
             if "<|" not in t and _latin(t):
                 t = t.lower()
-            split.append(_PIECES.findall(t))
-        wanted = set().union(*split) if split else set()
-        fresh = [p for p in wanted if p not in self.index]
-        if fresh and len(self.index) + len(fresh) > CACHE_PIECES:
-            self._reset()
-            fresh = list(wanted)
-        if fresh:
+            found = _PIECES.findall(t)
+            counts[i] = len(found)
+            pieces += found
+        idx = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(idx < 0)
+        if len(missing):
+            fresh = list({pieces[i] for i in missing})
+            if len(self.index) + len(fresh) > CACHE_PIECES:
+                self._reset()
+                fresh, missing = list(set(pieces)), np.arange(len(pieces))
             self._learn(fresh)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = self.index
-        idx = np.fromiter((at[p] for s in split for p in s), np.int64, int(counts.sum()))
+            idx[missing] = [self.index[pieces[i]] for i in missing]
         lens = self.lens[idx]
         bounds = np.concatenate([[0], np.cumsum(counts)])
         running = np.concatenate([[0], np.cumsum(lens)])
         per_text = running[bounds[1:]] - running[bounds[:-1]] + 1
         offsets = np.concatenate([[0], np.cumsum(per_text)])
         # each piece starts after the ids before it and the end ids of the texts before its own
-        target = running[:-1] + np.repeat(np.arange(len(split)), counts)
+        target = running[:-1] + np.repeat(np.arange(len(texts)), counts)
         out = np.full(int(offsets[-1]), END_ID, np.int32)
         total = int(lens.sum())
         step = np.arange(total) - np.repeat(running[:-1], lens)
@@ -103,20 +132,28 @@ def _latin(t: str) -> bool:
     return True
 
 
-def _encode_batches(path: str, chars: int = 2_000_000):
+def _worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of this worker process: what it remembers serves all its tasks."""
+    kept = sys.__dict__.setdefault("_millrace_encoders", {})
+    if path not in kept:
+        kept[path] = PieceEncoder(path)
+    return kept[path]
+
+
+def _encode_batches(path: str, size: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in batches:
-            encoder = encoder or PieceEncoder(path)
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            start, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= chars or i == len(texts) - 1:
-                    flat, offsets = encoder.encode(texts[start : i + 1])
-                    tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([ids.slice(start, i + 1 - start), pa.array(np.diff(offsets)), tokens], ["doc_id", "n_tokens", "tokens"])
-                    start, size = i + 1, 0
+            encoder = _worker_encoder(path)
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < len(ids):
+                done = sizes[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(sizes, done + size, side="right")))
+                flat, offsets = encoder.encode(texts.slice(start, end - start).to_pylist())
+                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(np.diff(offsets)), tokens], ["doc_id", "n_tokens", "tokens"])
+                start = end
 
     return run
 
