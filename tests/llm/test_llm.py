@@ -153,6 +153,24 @@ def test_mixing_edges_and_distributed_raking(spark, monkeypatch):
     assert max(abs(near[k] - far[k]) for k in near) < 0.02
 
 
+def skewed_cells():
+    """A third of the tokens in one source, 20 equal sources, a stray document and a null language."""
+    sources, langs = [("hot", 10**7), *[(f"s{i:02}", 10**6) for i in range(20)]], [("en", 12), ("de", 4), ("fr", 3), ("es", 1)]
+    rows = [(s, lang, str(k), n * m * (10 + k)) for s, n in sources for lang, m in langs for k in range(8)]
+    return [*rows, ("stray", "en", "3", 30), ("hot", None, "3", 30)]
+
+
+def test_rare_categories_leave_the_budget(spark):
+    cells = spark.createDataFrame(skewed_cells(), "source string, lang string, topic string, t long")
+    p = {tuple(r[:3]): r.p for r in mixing.inclusion(cells).collect()}
+    total = sum(r[3] for r in skewed_cells())
+    assert abs(sum(p[r[:3]] * r[3] for r in skewed_cells()) - 0.9 * total) < 1e-6 * total
+    assert p["stray", "en", "3"] > 0.999 and p["hot", None, "3"] > 0.999
+    few = {"source": {"hot": 1, "s00": 1, "gone": 3}, "lang": {"en": 1, "de": 1}, "topic": {str(k): 1 for k in range(8)}}
+    p = {tuple(r[:3]): r.p for r in mixing.inclusion(cells, few).collect()}
+    assert all(abs(x - (k[0] in few["source"] and k[1] in few["lang"])) < 1e-9 for k, x in p.items())
+
+
 # --- 5 near duplicates
 
 
