@@ -4,7 +4,12 @@ Detected: e-mail addresses, phone numbers, IPv4 addresses, payment cards, social
 strings) and persons behind a title. A surrogate comes from a keyed permutation of the entity's own format: every
 character moves within its class (vowels, consonants, digits, hex digits, by script and case), so lengths, punctuation
 and scripts stay, and two entities of a format never share a surrogate. Cards keep whether their check digit is
-right, addresses their private or public range, e-mails a consistent domain, persons their title's gender.
+right, addresses their private or public range, e-mails a consistent domain, persons their title's gender. Letters of
+names outside the classes move among the letters of their Unicode neighbourhood with the same case.
+
+A family name moves by a permutation without fixed points that depends on the key alone, so a family stays together,
+two families never meet and none keeps its name. Given names come from a short list first; who finds none free there
+gets a permutation of the own given name, so there is one for everybody.
 
 Coreference: the surrogate depends on key, type and canonical value alone. Distinctness is checked over the table of all
 distinct entities: where two share a surrogate, or one equals its original, all but the smallest try again with the
@@ -19,7 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +36,8 @@ from millrace.llm._common import materialise, table
 
 #: Exceptions up to which they travel with the tasks.
 MAX_EXCEPTIONS = 100_000
+#: Attempts at a given name from the list before the own one is permuted.
+LISTED = 2
 KEY = "development key: pass your own"
 
 # fixed values: titles and given names by gender and script
@@ -96,30 +105,53 @@ def _round_key(key: str, tweak: str) -> bytes:
     return hashlib.blake2b(f"{key}|{tweak}".encode(), digest_size=32).digest()
 
 
-def permute(n: int, domain: int, key: str, tweak: str) -> int:
-    """A keyed permutation of range(domain): a Feistel network, walked until it lands inside."""
-    if domain < 2:
-        return n
+def _feistel(n: int, domain: int, k: bytes, back: bool = False) -> int:
+    """A keyed permutation of range(domain) or its inverse: a Feistel network, walked until it lands inside."""
     half = max(1, ((domain - 1).bit_length() + 1) // 2)
-    mask, k = (1 << half) - 1, _round_key(key, tweak)
+    mask = (1 << half) - 1
+
+    def mix(x: int, r: int) -> int:
+        h = hashlib.blake2b(x.to_bytes((half + 7) // 8, "little") + bytes([r]), key=k, digest_size=min(64, (half + 7) // 8 + 8)).digest()
+        return int.from_bytes(h, "little") & mask
+
     while True:
         left, right = n >> half, n & mask
         for r in range(8):
-            h = hashlib.blake2b(right.to_bytes((half + 7) // 8, "little") + bytes([r]), key=k, digest_size=min(64, (half + 7) // 8 + 8)).digest()
-            left, right = right, left ^ (int.from_bytes(h, "little") & mask)
+            left, right = (right ^ mix(left, 7 - r), left) if back else (right, left ^ mix(right, r))
         n = (left << half) | right
         if n < domain:
             return n
 
 
-def permute_text(value: str, key: str, tweak: str, classes: tuple[str, ...] = CLASSES) -> str:
-    """All characters that belong to a class move within it, by one permutation of the whole string."""
-    slots = [(c, next((k for k in classes if c in k), None)) for c in value]
+def permute(n: int, domain: int, key: str, tweak: str) -> int:
+    """A keyed permutation of range(domain)."""
+    return n if domain < 2 else _feistel(n, domain, _round_key(key, tweak))
+
+
+def derange(n: int, domain: int, key: str, tweak: str) -> int:
+    """A keyed permutation of range(domain) without fixed points: the next one in a keyed order."""
+    if domain < 2:
+        return n
+    k = _round_key(key, tweak)
+    return _feistel((_feistel(n, domain, k, back=True) + 1) % domain, domain, k)
+
+
+@cache
+def _neighbours(c: str) -> str:
+    """Letters outside CLASSES of the same 256 code points, category and case; empty for other characters."""
+    like = lambda x: (x.isalnum(), unicodedata.category(x), x.isupper())
+    start = ord(c) & ~255
+    return "".join(x for x in map(chr, range(start, start + 256)) if like(x) == like(c) and not any(x in k for k in CLASSES)) if c.isalnum() else ""
+
+
+def permute_text(value: str, key: str, tweak: str, classes: tuple[str, ...] = CLASSES, move: Callable = permute, names: bool = False) -> str:
+    """All characters that belong to a class move within it, by one permutation of the whole string; in names all letters move."""
+    slots = [(c, next((k for k in classes if c in k), names and _neighbours(c) or None)) for c in value]
     n, domain = 0, 1
     for c, k in slots:
         if k:
             n, domain = n * len(k) + k.index(c), domain * len(k)
-    n = permute(n, domain, key, f"{tweak}|{''.join('.' if k is None else k[0] for _, k in slots)}")
+    n = move(n, domain, key, f"{tweak}|{''.join('.' if k is None else k[0] for _, k in slots)}")
     out = []
     for c, k in reversed(slots):
         if k:
@@ -167,9 +199,13 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
         return ".".join(map(str, n.to_bytes(4, "big")))
     names = value.split(" ")
     script = "cyrillic" if re.search("[А-я]", value) else "latin"
-    given = GIVEN[kind[-1], script]
-    pick = given[int.from_bytes(hashlib.blake2b(value.encode(), key=_round_key(key, tweak), digest_size=8).digest(), "big") % len(given)]
-    return " ".join([*([pick] if len(names) > 1 else []), permute_text(names[-1], key, "family")])
+    family = permute_text(names[-1], key, "family", move=derange, names=True)
+    if len(names) == 1:
+        return family
+    if attempt < LISTED:
+        given = GIVEN[kind[-1], script]
+        return f"{given[int.from_bytes(hashlib.blake2b(value.encode(), key=_round_key(key, tweak), digest_size=8).digest(), 'big') % len(given)]} {family}"
+    return f"{permute_text(names[0], key, tweak, move=derange, names=True)} {family}"
 
 
 def fit_layout(kind: str, mention: str, new: str) -> str:

@@ -367,6 +367,20 @@ def test_permutations_and_collisions(spark):
     assert len(got) == 5
 
 
+def test_large_families_and_short_names(spark):
+    upper = [c for c in map(chr, range(0x250)) if c.isupper()] + list("ΑΒΓΔΘΛΞΠΣΦΨΩЁЪЬІҐ\u2183")
+    names = {f"{c}{v}{d} Smith" for c in "BCDFG" for v in "ae" for d in "lnrs"} | {f"{c} Ng" for c in upper} | set(upper) | {"Li", "Łukasz Šimić"}
+    docs = spark.createDataFrame(list(enumerate(f"we met Mr {n}." for n in sorted(names))), "doc_id long, text string")
+    new = {r.doc_id: r.text[len("we met Mr ") : -1] for r in pii_surrogates.with_surrogates(docs, "k").collect()}
+    pairs = [(n, new[i]) for i, n in enumerate(sorted(names))]
+    assert len({x for _, x in pairs}) == len(names) and all(n != x and len(n.split(" ")) == len(x.split(" ")) for n, x in pairs)
+    assert all(n.split(" ")[-1] != x.split(" ")[-1] for n, x in pairs)
+    assert len({x.split(" ")[1] for n, x in pairs if n.endswith(" Smith")}) == len({x.split(" ")[1] for n, x in pairs if n.endswith(" Ng")}) == 1
+    for n in (2, 5, 21, 1000):
+        moved = [pii_surrogates.derange(i, n, "k", "t") for i in range(n)]
+        assert sorted(moved) == list(range(n)) and all(i != x for i, x in enumerate(moved))
+
+
 # --- 10 decontamination
 
 
