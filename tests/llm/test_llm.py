@@ -171,6 +171,16 @@ def test_rare_categories_leave_the_budget(spark):
     assert all(abs(x - (k[0] in few["source"] and k[1] in few["lang"])) < 1e-9 for k, x in p.items())
 
 
+def test_both_raking_paths_agree(spark, monkeypatch):
+    rows = [(f"s{i:02}", ["en", "de", None][j], str(k), 10**6 // (1 + i) ** 2 * (1 + (i * 7 + j * 3 + k) % 5) + 1) for i in range(30) for j in range(3) for k in range(3) if (i + j + k) % 4]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, t long")
+    near = {tuple(r[:3]): r.p for r in mixing.inclusion(cells).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    far = {tuple(r[:3]): r.p for r in mixing.inclusion(cells).collect()}
+    assert sum(p > 0.999 for p in near.values()) > 50
+    assert near.keys() == far.keys() and max(abs(near[k] - far[k]) for k in near) < 1e-6
+
+
 # --- 5 near duplicates
 
 
