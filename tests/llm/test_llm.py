@@ -97,6 +97,22 @@ def test_bsi_against_brute_force(spark):
     assert bsi_topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[1.0, 1e5, 1e5], [1.0, 1e5, 1e9, 1e15, 1e17, 1e200, 1.7e308]])
+def test_bsi_takes_every_finite_vector(spark, sizes):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice(sizes[: 2 + i % 6]) * rng.choice([-1, -0.5, 0.25, 1]) for _ in range(4)]) for i in range(120)]
+    rows += [(120 + i, rows[i][1]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = {i: [int(np.floor(256 * x)) if abs(x) < 1e300 else int(x) * 256 for x in v] for i, v in rows}
+    expected = []
+    for i in range(0, 140, 4):
+        scored = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i)[:5]
+        expected += [(i, rank + 1, j, -s if -(1 << 63) <= -s < 1 << 63 else None) for rank, (s, j) in enumerate(scored)]
+    got = bsi_topk.top_k(df, df.filter("vec_id % 4 = 0")).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == expected
+    assert any(r[3] is None for r in expected) == (max(sizes) > 1e5)
+
+
 def test_bsi_parts():
     q = np.array([[-300, -7, 0, 1, 5, 255]])
     assert ((bsi_topk.digits(q) * (1 << np.arange(bsi_topk.digits(q).shape[-1]))).sum(-1) == q).all()
