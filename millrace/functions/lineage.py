@@ -7,14 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where spark.checkpoint.dir is unset on one machine: a temporary folder for each application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; a local folder stands in where it is unset."""
+    """A fresh path below spark.checkpoint.dir; a local folder stands in where it is unset on a local master."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-millrace-", dir="/tmp")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-millrace-", dir="/tmp")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
 
 
@@ -22,4 +28,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again."""
     path = shared(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` made, once nothing will read them any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
