@@ -1,42 +1,21 @@
-"""Helpers shared by the corpus operators: the shared scratch folder, row identity, bounded broadcasts."""
+"""Helpers shared by the corpus operators: scratch tables, row identity, bounded broadcasts, slices of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import sys
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_FALLBACK: dict[str, str] = {}
+from millrace.functions.lineage import discard, shared, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where the setting is absent, as in tests on one machine, a temporary folder stands in.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FALLBACK:
-        _LOCAL_FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="spark-millrace-", dir="/tmp")
-    return _LOCAL_FALLBACK[app]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+scratch, materialise = shared, written
+__all__ = ["byte_slices", "discard", "held_out", "hinted", "materialise", "scratch", "table", "text_key", "worker_memory"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +36,26 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the third of rows whose labels must never be learned from."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def byte_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of rows with at most ``size`` bytes of text; a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield start, end
+        start = end
+
+
+def worker_memory(owner: Hashable = None, make: Callable[[], Any] = lambda: None) -> Any:
+    """What this worker process keeps for the tasks of one owner: another owner's call drops it, none keeps nothing.
+
+    Spark reuses workers, so without this a stage would hold its memory for all stages after it.
+    """
+    kept = sys.__dict__.get("_millrace_memory")
+    if kept is None or kept[0] != owner:
+        sys.__dict__.pop("_millrace_memory", None)
+        kept = sys.__dict__["_millrace_memory"] = (owner, make())
+    return kept[1]

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,21 +333,29 @@ def test_quality_edges(spark):
 # --- 8 token store
 
 
-def test_pieces_equal_whole_texts():
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_equal_whole_texts(name):
     rng = random.Random(8)
-    enc = token_store.PieceEncoder(token_store.tokenizer_file())
-    bits = ["'s", "'", "a", "É", "é", " ", "\n", "\t", "\x1c", "\x85", ".", "!!", "<|endoftext|>", "<|ENDOFTEXT|>", "ß", "İ", "Σ", "中", "१", "²", "Ⅷ", "don't", "A.", "_", " ", "µ", "×", "̀", "ǅ", "K", "ﬁ", "word,"]
-    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(5000)] + [None, "", " "]
-    flat, at = enc.encode(texts)
+    enc = token_store.PieceEncoder(token_store.tokenizer_file(name))
+    assert enc.by_piece == (name == token_store.TOKENIZER)
+    bits = ["'s", "'", "a", "É", "é", " ", "\n", "\t", "\x1c", "\x85", ".", "!!", "<|endoftext|>", "<|ENDOFTEXT|>", "ß", "İ", "Σ", "中", "१", "²", "Ⅷ", "don't", "A.", "_", " ", "µ", "×", "̀", "ǅ", "K", "ﬁ", "word,", "é, ", "x. ", ", ", ". ", "\u0307", "I"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(5000)] + [None, "", " ", "long " * 50_000, "x" * 100_000]
+    plain = [t for t in texts if "<|" not in (t or "")]  # a slice without special tokens is lower-cased first
+    check_encoder(enc, texts)
+    check_encoder(enc, plain)
+
+
+def check_encoder(enc, texts):
+    flat, at = enc.encode(pa.array(texts))
     whole = enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     assert all(flat[at[i] : at[i + 1]].tolist() == w.ids + [1] for i, w in enumerate(whole))
 
 
 def test_store_round_trip(spark, monkeypatch):
     docs = odd_docs(spark)
-    path = token_store.write_store(docs, scratch(spark, "store"), token_store.tokenizer_file(), partitions=3, page_bytes=1024)
+    path = token_store.write_store(docs, scratch(spark, "store"), token_store.tokenizer_file(token_store.TOKENIZER), partitions=3, page_bytes=1024)
     out = sorted(token_store.digests(spark, path).collect(), key=lambda r: r.start)
-    enc = token_store.PieceEncoder(token_store.tokenizer_file())
+    enc = token_store.PieceEncoder(token_store.tokenizer_file(token_store.TOKENIZER))
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     assert [r.doc_id for r in out] == [r.doc_id for r in rows]
     start = 0
@@ -358,9 +367,9 @@ def test_store_round_trip(spark, monkeypatch):
     assert [r.doc_id for r in token_store.read_tokens(spark, path, 3, 4).orderBy("doc_id").collect()] == [3, 4]
     assert token_store.encode_documents(docs.limit(0)).count() == 0
     monkeypatch.setattr(token_store, "CACHE_PIECES", 5)
-    small = token_store.PieceEncoder(token_store.tokenizer_file())
+    small = token_store.PieceEncoder(token_store.tokenizer_file(token_store.TOKENIZER))
     for t in ("a b c d", "e f g a", "a e"):
-        assert small.encode([t])[0].tolist() == enc.encode([t])[0].tolist()
+        assert small.encode(pa.array([t]))[0].tolist() == enc.encode(pa.array([t]))[0].tolist()
 
 
 # --- 9 surrogates
