@@ -1,87 +1,109 @@
 """PII replaced by keyed, type-consistent surrogates.
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, payment cards, social security numbers, secrets (long hex
-strings) and persons behind a title. A surrogate comes from a keyed permutation of the entity's own format: every
-character moves within its class (vowels, consonants, digits, hex digits, by script and case), so lengths, punctuation
-and scripts stay, and two entities of a format never share a surrogate. Cards keep whether their check digit is
-right, addresses their private or public range, e-mails a consistent domain, persons their title's gender. Letters of
-names outside the classes move among the letters of their Unicode neighbourhood with the same case.
+Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards (by issuer digit and check digit),
+social security numbers, secrets (long hex strings, keys with a vendor's prefix) and persons behind a title. A surrogate
+comes from a keyed permutation of the entity's own format: every character moves within its class (vowels, consonants,
+digits, hex digits, by script and case), so lengths, punctuation and scripts stay, and two entities of a format never
+share a surrogate. Cards keep their valid check digit, addresses their private or public range, e-mails a consistent
+domain, persons their title's gender. Letters outside the classes move among the letters of their Unicode neighbourhood
+with the same case.
 
 A family name moves by a permutation without fixed points that depends on the key alone, so a family stays together,
-two families never meet and none keeps its name. Given names come from a short list first; who finds none free there
-gets a permutation of the own given name, so there is one for everybody.
+two families never meet and none keeps its name. Given names are made of keyed syllables with an ending of the title's
+gender, some ten million for each, in Latin or Cyrillic; in other scripts the own given name moves.
 
 Coreference: the surrogate depends on key, type and canonical value alone. Distinctness is checked over the table of all
 distinct entities: where two share a surrogate, or one equals its original, all but the smallest try again with the
-next tweak, until none is left; those few exceptions are kept in a table that the replacing tasks receive. Should they
-exceed a bound, the whole key moves to its next tweak instead.
+next tweak until none is left; from ``LAST`` tweaks on, what is left takes keyed letters instead of its own format. Such
+exceptions travel with the replacing tasks up to a bound, beyond it they are joined to the documents that hold them.
 
-Defined cases: null texts stay null with 0 entities; repeated rows give equal texts; an empty table gives no rows.
-Extra columns are ignored.
+Defined cases: null texts stay null with 0 entities; repeated rows give equal texts; an empty table gives no rows;
+entities may be of any length. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import materialise, table
+from millrace.llm._common import byte_slices, discard, materialise, table, text_key, worker_memory
 
-#: Exceptions up to which they travel with the tasks.
+#: Exceptions up to which they travel with the tasks; beyond, they are joined to documents, with the same result.
 MAX_EXCEPTIONS = 100_000
-#: Attempts at a given name from the list before the own one is permuted.
-LISTED = 2
+#: Attempts after which a surrogate no longer keeps its entity's own format, and the most attempts of all.
+LAST = 8
+ATTEMPTS = 40
+#: Surrogates remembered by a task.
+REMEMBERED = 50_000
+SLICE_BYTES = 4 << 20
 KEY = "development key: pass your own"
 
-# fixed values: titles and given names by gender and script
-TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа")}
-GIVEN = {
-    ("m", "latin"): ("Adam", "Boris", "Carl", "Daniel", "Emil", "Felix", "Hugo", "Jonas", "Karim", "Leo", "Marco", "Nils", "Oscar", "Paul", "Rafael", "Simon"),
-    ("f", "latin"): ("Alma", "Bella", "Clara", "Dora", "Elena", "Flora", "Greta", "Ida", "Julia", "Lena", "Maria", "Nora", "Olga", "Paula", "Rosa", "Sofia"),
-    ("m", "cyrillic"): ("Антон", "Борис", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев"),
-    ("f", "cyrillic"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Ольга", "Софья"),
-}
+# fixed values: titles by gender, n for either
+TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"), "n": ("Dr", "Prof", "Professor")}
+#: Onsets and vowels of given names by script, and endings by gender.
+SYLLABLES = {"latin": ("b c d f g k l m n p r s t v".split(), "a e i o u".split()), "cyrillic": ("б в г д к л м н п р с т ф".split(), "а е и о у".split())}
+ENDINGS = {("m", "latin"): "n s r rd x l".split(), ("f", "latin"): "na la ra lia sa tta".split(), ("m", "cyrillic"): "н р л с й м".split(), ("f", "cyrillic"): "на ла ра са ня та".split()}
 CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜÝ", "çðñþß", "ÇÐÑÞ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 HEX = ("0123456789abcdef", "0123456789ABCDEF")
 
 _DIGIT = re.compile(r"\d")
-_DOMAIN = re.compile(r"@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
-_LOCAL = re.compile(r"[\w.%+-]+\Z")
+_EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]++@(?:[\w-]++\.)+[^\W\d_]{2,}")
 _NUMBERS = (
-    ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[A-Fa-f]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")),
-    ("card", re.compile(r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])")),
+    ("key", re.compile(r"(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{16}|gh[opsur]_[0-9A-Za-z]{30,}+|sk-[0-9A-Za-z_-]{20,}+|xox[abprs]-[0-9A-Za-z-]{10,}+)(?![0-9A-Za-z_-])")),
+    ("card", re.compile(r"(?<![\d+])[2-6](?:[ -]?\d){12,18}(?!\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("ipv4", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)")),
-    ("phone", re.compile(r"(?<![\w])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)")),
+    ("ipv6", re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]{1,34}(?![\w:])")),
+    ("phone", re.compile(r"(?<![\w])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)")),
+    ("phone", re.compile(r"(?<![\w+.-])(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}([ .-])\d{3}\1\d{4}|0\d{2,4} \d{3,4} \d{3,4})(?![\w-])")),
 )
 _ALL_TITLES = tuple(t for ts in TITLES.values() for t in ts)
-_PERSON = re.compile(r"\b(" + "|".join(map(re.escape, _ALL_TITLES)) + r")\.? ((?:[^\W\d_]+-)?[^\W\d_]+(?: [^\W\d_]+)?)")
+_NAME = r"[^\W\d_]+(?:['’-](?![^\W\d_]\b)[^\W\d_]+)*"
+_PERSON = re.compile(rf"\b({'|'.join(map(re.escape, _ALL_TITLES))})\.? ({_NAME}(?: {_NAME}){{0,2}})")
+
+
+def is_entity(kind: str, value: str) -> bool:
+    """What a pattern alone can't tell: a card's check digit, and that an address is one."""
+    if kind == "card":
+        digits = re.sub(r"\D", "", value)
+        return luhn_digit(digits[:-1]) == int(digits[-1])
+    if kind == "ipv6":
+        try:
+            return bool(_DIGIT.search(value)) and ipaddress.IPv6Address(value) != 0
+        except ValueError:
+            return False
+    return True
 
 
 def find_entities(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, type), in order and without overlaps."""
     t, found = text or "", []
     if "@" in t:
-        for m in _DOMAIN.finditer(t):
-            if local := _LOCAL.search(t[max(0, m.start() - 64) : m.start()]):
-                found.append((m.start() - len(local[0]), m.end(), "email"))
-    if _DIGIT.search(t):
-        for kind, pattern in _NUMBERS:
-            found += [(*m.span(), kind) for m in pattern.finditer(t)]
+        found += [(*m.span(), "email") for m in _EMAIL.finditer(t)]
+    digits = _DIGIT.search(t)
+    for kind, pattern in _NUMBERS:
+        if digits or kind == "key":
+            found += [(*m.span(), kind) for m in pattern.finditer(t) if is_entity(kind, m[0])]
     if any(title in t for title in _ALL_TITLES):
         for m in _PERSON.finditer(t):
-            names = m[2].split(" ")
-            names = names if names[-1][:1].isupper() else names[:1]
-            if names[0][:1].isupper():
+            names = []
+            for name in m[2].split(" "):
+                if name[:1].islower():
+                    break
+                names.append(name)
+            if names:
                 found.append((m.start(2), m.start(2) + len(" ".join(names)), "person_" + next(g for g, ts in TITLES.items() if m[1] in ts)))
-    order = {"email": 0, "secret": 1, "card": 2, "ssn": 3, "ipv4": 4, "phone": 5}
+    order = {"email": 0, "secret": 1, "key": 2, "card": 3, "ssn": 4, "ipv4": 5, "ipv6": 6, "phone": 7}
     out, end = [], 0
     for s, e, kind in sorted(found, key=lambda x: (x[0], order.get(x[2], 9), -x[1])):
         if s >= end:
@@ -94,6 +116,8 @@ def canonical(kind: str, value: str) -> str:
     """What makes two mentions the same entity."""
     if kind == "email" or kind == "secret":
         return value.lower()
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(value))
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", value)
     if kind == "phone":
@@ -171,25 +195,48 @@ def _ip_range(n: int) -> str:
     return "private" if a == 10 or a == 172 and 16 <= b < 32 or a == 192 and b == 168 else "local" if a in (0, 127) or a >= 224 else "public"
 
 
+def _letters(n: int, kind: str, value: str, key: str, tweak: str) -> str:
+    """n keyed letters for a value."""
+    h = hashlib.blake2b(f"{kind}|{value}".encode(), key=_round_key(key, "letters|" + tweak), digest_size=n).digest()
+    return "".join(chr(97 + x % 26) for x in h)
+
+
+def given_name(value: str, gender: str, script: str, key: str, tweak: str) -> str:
+    """Keyed syllables with the ending of a gender; a name of neutral title takes either."""
+    h = int.from_bytes(hashlib.blake2b(value.encode(), key=_round_key(key, "given|" + tweak), digest_size=16).digest(), "big")
+    onsets, vowels = SYLLABLES[script]
+    h, which = divmod(h, 2)
+    endings = ENDINGS["mf"[which] if gender == "n" else gender, script]
+    out = ""
+    for _ in range(3):
+        h, a = divmod(h, len(onsets))
+        h, b = divmod(h, len(vowels))
+        out += onsets[a] + vowels[b]
+    return (out + endings[h % len(endings)]).capitalize()
+
+
 def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     """The surrogate of a canonical value."""
     tweak = f"{kind}|{attempt}"
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
-        return f"{permute_text(local, key, tweak + '|' + domain)}@{permute_text(host, key, tweak)}.{top}"
+        if attempt >= LAST:
+            return f"{_letters(12, kind, value, key, tweak)}@{_letters(8, kind, domain, key, 'domain')}.{top}"
+        return f"{permute_text(local, key, tweak + '|' + domain, names=True)}@{permute_text(host, key, tweak, names=True)}.{top}"
     if kind == "secret":
         return permute_text(value, key, tweak, HEX[:1])
+    if kind == "key":
+        at = 4 if value.startswith(("AKIA", "gh")) else value.index("-") + 1
+        return value[:at] + permute_text(value[at:], key, tweak + value[:at])
     if kind == "card":
-        body = permute_text(value[:-1], key, tweak)
-        return body + str((luhn_digit(body) + int(value[-1]) - luhn_digit(value[:-1])) % 10)
+        body = value[0] + permute_text(value[1:-1], key, tweak + value[0])
+        return body + str(luhn_digit(body))
     if kind == "ssn":
         return permute_text(value, key, tweak)
     if kind == "phone":
-        if value.startswith("+"):
-            keep = 2 if value.startswith(("+1", "+7")) else 3
-            return value[:keep] + permute_text(value[keep:], key, tweak + value[:keep])
-        return permute_text(value, key, tweak)
+        keep = 2 if value.startswith(("+1", "+7")) else 3 if value.startswith("+") else int(value.startswith("0"))
+        return value[:keep] + permute_text(value[keep:], key, tweak + value[:keep])
     if kind == "ipv4":
         n = int.from_bytes(bytes(map(int, value.split("."))), "big")
         same = _ip_range(n)
@@ -197,15 +244,24 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
         while _ip_range(n) != same:
             n = permute(n, 1 << 32, key, tweak)
         return ".".join(map(str, n.to_bytes(4, "big")))
+    if kind == "ipv6":
+        n = int(ipaddress.IPv6Address(value))
+        network = n >> 112
+        return str(ipaddress.IPv6Address(network << 112 | permute(n & (1 << 112) - 1, 1 << 112, key, f"{tweak}|{network}")))
     names = value.split(" ")
-    script = "cyrillic" if re.search("[А-я]", value) else "latin"
+    gender, script = kind[-1], "cyrillic" if re.search("[А-яЁё]", value) else "latin" if re.search("[A-Za-zÀ-ɏ]", value) else "other"
     family = permute_text(names[-1], key, "family", move=derange, names=True)
+    if family == names[-1] or len(names) == 1 and attempt >= LAST:
+        family = _letters(9, "family", names[-1], key, tweak if len(names) == 1 else "").capitalize()
+    middle = [permute_text(n, key, "middle", move=derange, names=True) for n in names[1:-1]]
     if len(names) == 1:
         return family
-    if attempt < LISTED:
-        given = GIVEN[kind[-1], script]
-        return f"{given[int.from_bytes(hashlib.blake2b(value.encode(), key=_round_key(key, tweak), digest_size=8).digest(), 'big') % len(given)]} {family}"
-    return f"{permute_text(names[0], key, tweak, move=derange, names=True)} {family}"
+    if script == "other":
+        first = permute_text(names[0], key, tweak, move=derange, names=True)
+        first = _letters(9, kind, value, key, tweak).capitalize() if attempt >= LAST or first == names[0] else first
+    else:
+        first = given_name(value, gender, script, key, tweak)
+    return " ".join([first, *middle, family])
 
 
 def fit_layout(kind: str, mention: str, new: str) -> str:
@@ -213,77 +269,101 @@ def fit_layout(kind: str, mention: str, new: str) -> str:
     if kind in ("card", "ssn", "phone"):
         digits = iter(re.sub(r"\D", "", new))
         return re.sub(r"\d", lambda _: next(digits), mention)
-    return new.upper() if kind in ("email", "secret") and mention.isupper() else new
+    return new.upper() if kind in ("email", "secret", "ipv6") and mention.isupper() else new
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``kind, value``: the distinct entities of all texts."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = {(k, canonical(k, t[s:e])) for t in f["text"] for s, e, k in find_entities(t)}
-            yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
+        for batch in batches:
+            texts = batch.column("text")
+            for lo, hi in byte_slices(texts, SLICE_BYTES):
+                rows = sorted({(k, canonical(k, t[s:e])) for t in texts.slice(lo, hi - lo).to_pylist() for s, e, k in find_entities(t)})
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "kind string, value string").distinct()
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, value string").distinct()
 
 
-def resolve_collisions(known: DataFrame, key: str) -> tuple[dict[tuple[str, str], int], int]:
-    """({(kind, value): attempt} of the exceptions, base attempt): so that all surrogates differ and none is an original's own."""
+def resolve_collisions(known: DataFrame, key: str) -> DataFrame:
+    """``kind, value, attempt`` of the exceptions, so that all surrogates differ and none is an original's own."""
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f.assign(new=[surrogate(k, v, key, a) for k, v, a in zip(f["kind"], f["value"], f["attempt"], strict=True)])
 
     schema = "kind string, value string, attempt int, new string"
-    base = 0
-    while True:
-        now = materialise(known.select("kind", "value", F.lit(base).alias("attempt")).mapInPandas(draw, schema), "surrogates")
-        tried: dict[tuple[str, str], int] = {}
-        while True:
-            shared = now.groupBy("kind", "new").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-            clash = now.join(shared, ["kind", "new"], "left").filter("value = new OR (n > 1 AND value <> first)").select("kind", "value", "attempt", "new")
-            bad = clash.limit(MAX_EXCEPTIONS + 1).collect()
-            if not bad:
-                return tried, base
-            if len(tried) + len(bad) > MAX_EXCEPTIONS or max(r.attempt for r in bad) > base + 40:
-                break
-            tried |= {(r.kind, r.value): r.attempt + 1 for r in bad}
-            again = clash.select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInPandas(draw, schema)
-            now = materialise(now.join(clash.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(again), "surrogates")
-        base += 64
-        if base > 64 * 8:
-            raise ValueError("surrogates stay ambiguous: a format has too few values")
-
-
-def replace_entities(text: str | None, key: str, exceptions: dict, base: int, memory: dict) -> tuple[str | None, int]:
+    now = materialise(known.select("kind", "value", F.lit(0).alias("attempt")).mapInPandas(draw, schema), "surrogates")
+    for _ in range(ATTEMPTS):
+        shared = now.groupBy("kind", "new").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        clash = now.join(shared, ["kind", "new"], "left").filter("value = new OR (n > 1 AND value <> first)").select("kind", "value", "attempt")
+        clash = materialise(clash, "clash")
+        if not clash.limit(1).count():
+            return now.filter("attempt > 0").select("kind", "value", "attempt")
+        again = clash.withColumn("attempt", F.col("attempt") + 1).mapInPandas(draw, schema)
+        before, now = now, materialise(now.join(clash.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(again), "surrogates")
+        discard(before, clash)
+    raise ValueError("surrogates stay ambiguous: a format has too few values")
+
+
+def replace_entities(text: str | None, key: str, exceptions: dict, memory: dict) -> tuple[str | None, int]:
     """The text with surrogates, and how many entities it had."""
     if text is None:
         return None, 0
     out, at, found = [], 0, find_entities(text)
     for s, e, kind in found:
         who = (kind, canonical(kind, text[s:e]))
-        if who not in memory:
-            if len(memory) > 200_000:
+        asked = (*who, exceptions.get(who, 0))
+        if asked not in memory:
+            if len(memory) > REMEMBERED:
                 memory.clear()
-            memory[who] = surrogate(*who, key, exceptions.get(who, base))
-        out += [text[at:s], fit_layout(kind, text[s:e], memory[who])]
+            memory[asked] = surrogate(*who, key, asked[2])
+        out += [text[at:s], fit_layout(kind, text[s:e], memory[asked])]
         at = e
     return "".join([*out, text[at:]]), len(found)
 
 
-def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``doc_id, text, n_entities``: all texts with their entities replaced."""
-    exceptions, base = resolve_collisions(materialise(entities(docs), "entities"), key)
+def _replacing(key: str, exceptions: dict):
+    """Batches (doc_id, text and, where exceptions are joined, own) to doc_id, text, n_entities."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         memory: dict = {}
-        for f in frames:
-            got = [replace_entities(t, key, exceptions, base, memory) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "text": [t for t, _ in got], "n_entities": pd.Series([n for _, n in got], dtype="int64")})
+        for batch in batches:
+            texts = batch.column("text")
+            own = batch.column("own") if "own" in batch.schema.names else None
+            for lo, hi in byte_slices(texts, SLICE_BYTES):
+                theirs = [None] * (hi - lo) if own is None else own.slice(lo, hi - lo).to_pylist()
+                known = (exceptions if x is None else {(r["kind"], r["value"]): r["attempt"] for r in x} for x in theirs)
+                got = [replace_entities(t, key, k, memory) for t, k in zip(texts.slice(lo, hi - lo).to_pylist(), known, strict=True)]
+                columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array([t for t, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_entities"])
+
+    return run
+
 
-    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text: nulls would turn longs into doubles
-    out = ids.mapInPandas(run, "doc_id string, text string, n_entities long")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_entities")
+def _held_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text")
+        for lo, hi in byte_slices(texts, SLICE_BYTES):
+            rows = [(k, kind, value) for k, t in zip(batch.column("k").slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist(), strict=True) for kind, value in sorted({(kind, canonical(kind, t[s:e])) for s, e, kind in find_entities(t)})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))], ["k", "kind", "value"])
+
+
+def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``doc_id, text, n_entities``: all texts with their entities replaced."""
+    exceptions = resolve_collisions(materialise(entities(docs), "entities"), key)
+    some = exceptions.limit(MAX_EXCEPTIONS + 1).collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, text string, n_entities long"
+    if len(some) <= MAX_EXCEPTIONS:
+        return rows.mapInArrow(_replacing(key, {(r.kind, r.value): r.attempt for r in some}), schema)
+    # equal texts hold equal entities: exceptions are gathered by the text's hash
+    held = docs.select(text_key("text").alias("k"), "text").mapInArrow(_held_entities, "k long, kind string, value string").distinct()
+    own = held.join(exceptions, ["kind", "value"]).groupBy("k").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("own"))
+    joined = rows.withColumn("k", text_key("text")).join(own, "k", "left").select("doc_id", "text", F.coalesce("own", F.expr("cast(array() as array<struct<kind:string,value:string,attempt:int>>)")).alias("own"))
+    return joined.mapInArrow(_replacing(key, {}), schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
