@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import materialise, table
+from millrace.llm._common import byte_slices, discard, materialise, table, worker_memory
 
 SHINGLE = 5
 PLACES = 150
@@ -55,13 +56,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+#: Text bytes signed at once, and words whose hashes a task remembers (about 150 bytes each).
+SLICE_BYTES = 1 << 20
+REMEMBERED_WORDS = 150_000
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -71,7 +77,7 @@ def weighted_shingles(texts: list[str], memory: WordHashes) -> tuple[np.ndarray,
     """(document, shingle, weight) over distinct shingles, ordered by document and shingle."""
     words = [_WORD.findall(t.lower()) for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
-    h = np.fromiter((memory[w] for ws in words for w in ws), _U, int(counts.sum()))
+    h = np.fromiter(map(memory.__getitem__, chain.from_iterable(words)), _U, int(counts.sum()))
     n = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
     first = np.repeat(np.cumsum(counts) - counts, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     doc = np.repeat(np.arange(len(words)), n)
@@ -99,7 +105,9 @@ def signatures(texts: list[str], memory: WordHashes) -> tuple[np.ndarray, np.nda
     while len(s):
         u = _mix(s + _U((rounds * 2 + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
         t = t - np.log(((u >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)) / w
-        keep = t < best.reshape(-1, PLACES).max(axis=1)[doc] if len(texts) else t < 0
+        new = np.append(True, doc[1:] != doc[:-1])  # documents stay in order: the latest place of each, once
+        latest = best.reshape(-1, PLACES)[doc[new]].max(axis=1)
+        keep = t < latest[np.cumsum(new) - 1]
         doc, s, w, t, u = doc[keep], s[keep], w[keep], t[keep], u[keep]
         place = doc * PLACES + (_mix(u + _U(0x632BE59BD9B4E019)) % _U(PLACES)).astype(np.int64)
         np.minimum.at(best, place, t)
@@ -127,21 +135,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / ((sx[-1] - sx[below] + more_a) / x + (sy[below] + more_b) / y)).sum())
 
 
-def _by_chars(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most or i == len(texts) - 1:
-            yield start, i + 1
-            start, size = i + 1, 0
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_memory()
     memory = WordHashes()
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for lo, hi in _by_chars(texts):
-            who, has = signatures(texts[lo:hi], memory)
+        texts = batch.column("text")
+        for lo, hi in byte_slices(texts, SLICE_BYTES):
+            who, has = signatures(texts.slice(lo, hi - lo).to_pylist(), memory)
             sig = pa.array([w.tobytes() if ok else None for w, ok in zip(who, has, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("ck").slice(lo, hi - lo), batch.column("doc").slice(lo, hi - lo), sig], ["ck", "doc", "sig"])
 
@@ -167,6 +167,7 @@ def _estimated(least: float):
 
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         memory, last, seen = WordHashes(), None, None
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
@@ -185,6 +186,7 @@ def _runs(per_group, columns: list[str]):
     """Applies ``per_group`` to runs of equal (bucket, block, block), as the sorted partition brings them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memory()
         rest = None
         for f in frames:
             f = f if rest is None else pd.concat([rest, f], ignore_index=True)
@@ -278,8 +280,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", jumps: int = 2) ->
     edges = materialise(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     labels = None
     while edges.limit(1).count():
+        old = [edges, labels]
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        to = materialise(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "names")
+        to = near = materialise(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "names")
         for _ in range(jumps):
             far = to.select(F.col("u").alias("p"), F.col("p").alias("q"))
             to = to.join(far, "p", "left").select("u", F.coalesce("q", "p").alias("p"))
@@ -288,6 +291,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", jumps: int = 2) ->
         labels = materialise(labels, "labels")
         edges = edges.join(to, "u").select(F.col("p").alias("x"), F.col("v").alias("u")).join(to, "u").select("x", F.col("p").alias("y")).filter("x <> y")
         edges = materialise(edges.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
+        discard(near, to, *old)
     return labels if labels is not None else edges.select(F.col("u").alias("n"), F.col("v").alias("c"))
 
 
@@ -320,6 +324,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     full = first.join(texts.select(F.col("n").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("n").alias("a"), F.col("text").alias("text_a")), "a")
     links = materialise(full.mapInArrow(_verified(threshold), "a long, b long"), "links")
     parts = components(links)
+    discard(first, texts)
 
     named = members.join(parts, "n", "left").select("bh", "band", "size", "n", F.coalesce("c", "n").alias("c"))
     mixed = named.groupBy("bh").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("bh")
@@ -327,7 +332,6 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     rest = named.join(mixed, "bh", "left_semi").withColumn("blk", F.pmod(F.xxhash64("n"), blocks).cast("int"))
     rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bh", "band", "n", "c", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(groups: DataFrame) -> DataFrame:
         return groups.repartition(width, "bh", "i", "j").sortWithinPartitions("bh", "i", "j")
@@ -335,9 +339,12 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     live = dealt(rest.join(sigs, "n")).mapInPandas(_runs(_active(ESTIMATE), GROUP_COLUMNS), GROUP)
     live = materialise(live, "live")
     if live.limit(1).count():
-        groups = dealt(live.join(texts_of(live.select("n").distinct()), "n"))
+        live_texts = texts_of(live.select("n").distinct())
+        groups = dealt(live.join(live_texts, "n"))
         more = materialise(groups.mapInPandas(_runs(_links_across(threshold), ["a", "b"]), "a long, b long").distinct(), "links")
         parts = components(links.unionByName(more))
+        discard(more, live_texts)
+    discard(members, links, live)
 
     owned = nodes.select("n", "ck", "doc").join(parts, "n", "left").withColumn("c", F.coalesce("c", "n"))
     heads = owned.groupBy("c").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "ck")).alias("h"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import held_out, hinted, materialise, table
+from millrace.llm._common import discard, held_out, hinted, materialise, table, worker_memory
 from millrace.llm._linear import fit_logistic, predict_logistic
 
 #: The most labelled rows the model is fitted on, the first by a hash of doc_id.
@@ -81,6 +81,7 @@ def document_evidence(text: Column, weights: np.ndarray | None) -> Column:
 
     @F.pandas_udf("double")
     def p(texts: pd.Series) -> pd.Series:
+        worker_memory()
         if weights is None:
             return pd.Series(np.full(len(texts), 0.5))
         return pd.Series(predict_logistic(weights, _features(texts)))
