@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.lineage import shared
-from millrace.operators import chunking, detect, docs, graph, ir, labels, outline, ranking, trees
+from millrace.operators import chunking, classes, convert, detect, docs, graph, ir, labels, outline, ranking, schemas, trees
 from millrace.sources import files, views
 from millrace.streaming.convert import stream_convert_and_chunk
 
@@ -79,13 +79,13 @@ _SECTIONS = _with(views.ORDER_JSON, outline.JSON_OUTLINE_SQL)
 
 @query(_SECTIONS + "SELECT doc_id, array_to_string(ord, '.') AS ord, depth, name, type, coalesce(example, '') AS example FROM secs")
 def json_outline(spark, sf_dir):
-    out = outline.json_outline(views.order_json(spark, sf_dir), depth=5)
+    out = outline.json_outline(views.order_json(spark, sf_dir))
     return out.select("doc_id", F.array_join(F.transform("ord", lambda x: x.cast("string")), ".").alias("ord"), "depth", "name", "type", F.coalesce("example", F.lit("")).alias("example"))
 
 
 @query(_SECTIONS + outline.MARKDOWN_SQL)
 def render_markdown(spark, sf_dir):
-    return outline.render_markdown(outline.json_outline(views.order_json(spark, sf_dir), depth=5))
+    return outline.render_markdown(outline.json_outline(views.order_json(spark, sf_dir)))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'date' WHEN event_id % 3 = 1 THEN 'integer' ELSE 'float' END AS type FROM events""")
@@ -163,10 +163,127 @@ def yaml_outline(spark, sf_dir):
     e = views.table(spark, sf_dir, "events")
     day = F.date_format("ts", "yyyy-MM-dd")
     text = F.concat(F.lit("user: '"), F.col("user_id").cast("string"), F.lit("'\nwhen: '"), day, F.lit("'\nnative: "), day, F.lit("\ntags:\n  - "), "event_type", F.lit("\n  - x\n"))
-    out = trees.yaml_outline(e.select(F.col("event_id").alias("doc_id"), text.alias("text")), depth=4)
+    out = trees.yaml_outline(e.select(F.col("event_id").alias("doc_id"), text.alias("text")))
     return out.select("doc_id", "depth", "name", "type", F.coalesce("example", F.lit("")).alias("example"))
 
 
+_NL = "chr(10)"
+
+
+def _md_sections(*rows: tuple[str, str, str, str, str], table: str, key: str) -> str:
+    """SQL of section rows: (depth, name, bullets) expressions, one SELECT each; ``where`` last."""
+    return " UNION ALL ".join(f"SELECT {key} AS doc_id, {d} AS depth, {n} AS name, {b} AS bullets FROM {table} {w}" for d, n, b, w in rows)
+
+
+@query(
+    _md_sections(
+        ("1", "p_name", "'- type: object|- required: brand, size'", ""), ("2", "'brand'", "'- type: string|- constraint: maxLength=12|- required: true|- enums: ' || p_brand || ', a, ... (total: 4)'", ""),
+        ("2", "'kind'", "'- type: const|- required: false'", ""), ("2", "'size'", "'- type: integer | null|- constraint: minimum=1; maximum=' || p_size || '|- required: true'", ""),
+        ("2", "'tags'", "'- type: array|- required: false'", ""), ("3", "'items'", "'- type: ref #/definitions/t|- constraint: $ref=#/definitions/t'", ""), table="part", key="p_partkey",
+    )
+)
+def json_schema_outline(spark, sf_dir):
+    out = schemas.json_schema_outline(_part_schema(spark, sf_dir), max_enums=2)
+    return out.select("doc_id", "depth", "name", F.array_join("bullets", "|").alias("bullets"))
+
+
+def _part_xsd(spark, sf_dir) -> DataFrame:
+    """An XSD text per part: a global element of a named type, with an attribute of an enumerated one."""
+    q = lambda c: F.col(c).cast("string")
+    text = F.concat(
+        F.lit(f'<xs:schema xmlns:xs="{detect.XSD}" xmlns:t="urn:p" targetNamespace="urn:p"><xs:element name="part" type="t:P"><xs:annotation><xs:documentation>Part  no '), q("p_partkey"),
+        F.lit('</xs:documentation></xs:annotation></xs:element><xs:complexType name="P"><xs:sequence><xs:element name="size" type="xs:int" minOccurs="0" default="'), q("p_size"),
+        F.lit('"/><xs:element name="next" type="t:P" maxOccurs="unbounded"/></xs:sequence><xs:attribute name="brand" type="t:B" use="required"/></xs:complexType>'
+              '<xs:simpleType name="B"><xs:restriction base="xs:string"><xs:enumeration value="'), "p_brand", F.lit('"/><xs:maxLength value="12"/></xs:restriction></xs:simpleType></xs:schema>'),
+    )
+    return views.table(spark, sf_dir, "part").select(q("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+def _xsd_type(depth: int, name: str) -> list[tuple[str, str, str, str]]:
+    size, brand = "'- type: int|- constraint: minoccurs=0; default=' || p_size || '|- required: false'", "'- type: string|- constraint: base=string; maxLength=12|- enums: ' || p_brand"
+    d = lambda n: str(depth + n)
+    return [
+        (d(0), name, "'- type: object'", ""), (d(1), "'sequence'", "'- type: sequence'", ""), (d(2), "'size'", size, ""), (d(2), "'next'", "'- type: P|- constraint: maxoccurs=unbounded|- required: true'", ""),
+        (d(1), "'@brand'", "'- type: B|- constraint: use=required|- required: true'", ""), (d(2), "'type: B'", brand, ""), (d(3), "'restriction'", brand, ""),
+    ]
+
+
+_XSD_BRAND = "'- type: string|- constraint: base=string; maxLength=12|- enums: ' || p_brand"
+
+
+@query(
+    _md_sections(
+        ("1", "'urn:p'", "'- type: schema urn:p'", ""), ("2", "'elements'", "''", ""), ("2", "'complextypes'", "''", ""), ("2", "'simpletypes'", "''", ""),
+        ("3", "'part'", "'- description: Part no ' || p_partkey || '|- type: P|- required: true'", ""), *_xsd_type(4, "'type: P'"), *_xsd_type(3, "'P'"),
+        ("3", "'B'", _XSD_BRAND, ""), ("4", "'restriction'", _XSD_BRAND, ""), table="part", key="p_partkey::VARCHAR",
+    )
+)
+def xsd_outline(spark, sf_dir):
+    out = schemas.xsd_outline(_part_xsd(spark, sf_dir))
+    return out.select("doc_id", "depth", "name", F.array_join("bullets", "|").alias("bullets"))
+
+
+def _part_models(spark, sf_dir) -> DataFrame:
+    """A Python file per part: pydantic models or dataclasses that name each other, a cycle for even sizes."""
+    q = lambda c: F.col(c).cast("string")
+    even, model = F.col("p_size") % 2 == 0, F.col("p_partkey") % 2 == 0
+    head, base = F.when(model, "from pydantic import BaseModel\n").otherwise("from dataclasses import dataclass\n"), F.when(model, "(BaseModel)").otherwise("")
+    mark = F.when(model, "").otherwise("@dataclass\n")
+    text = F.concat(
+        head, mark, F.lit("class Top"), base, F.lit(":  # first\n    part: 'Part'\n    size: int = "), q("p_size"), F.lit("\n"), mark, F.lit("class Part"), base, F.lit(":\n    brand: Brand\n"),
+        F.when(model, "    class Inner(BaseModel):\n        x: int\n").otherwise(""), mark, F.lit("class Brand"), base, F.lit(":\n    name: str\n"), F.when(even, "    owner: Top | None\n").otherwise(""), F.lit("class Other:\n    y: Top\n"),
+    )
+    kind = F.when(model, detect.KINDS[0]).otherwise(detect.KINDS[1])
+    return views.table(spark, sf_dir, "part").select(q("p_partkey").alias("doc_id"), kind.alias("kind"), text.alias("text"))
+
+
+_MODELS = """
+WITH m AS (SELECT p_partkey::VARCHAR AS doc_id, p_partkey % 2 = 0 AS model, p_size % 2 = 0 AS even, p_size FROM part),
+c AS (SELECT doc_id, even, CASE WHEN model THEN '(BaseModel)' ELSE '' END AS base, model, p_size, unnest(['Top', 'Part', 'Brand', 'Part.Inner']) AS name FROM m)
+"""
+
+
+@query(
+    _MODELS
+    + """SELECT doc_id, CASE WHEN model THEN 'pydantic_model' ELSE 'dataclass_model' END AS kind, name, CASE WHEN name = 'Part.Inner' THEN 'Part' ELSE '' END AS parent, CASE name
+    WHEN 'Top' THEN 'class Top' || base || ':' || repeat(' ', 9) || chr(10) || '    part: ''Part''' || chr(10) || '    size: int = ' || p_size
+    WHEN 'Part' THEN 'class Part' || base || ':' || chr(10) || '    brand: Brand' || CASE WHEN model THEN chr(10) || '    class Inner(BaseModel):' || chr(10) || '        x: int' ELSE '' END
+    WHEN 'Brand' THEN 'class Brand' || base || ':' || chr(10) || '    name: str' || CASE WHEN even THEN chr(10) || '    owner: Top | None' ELSE '' END
+    ELSE 'class Inner(BaseModel):' || chr(10) || '        x: int' END AS code FROM c WHERE model OR name <> 'Part.Inner'"""
+)
+def class_outline(spark, sf_dir):
+    out = classes.class_outline(_part_models(spark, sf_dir))
+    return out.select("doc_id", "kind", "name", F.coalesce("parent", F.lit("")).alias("parent"), "code")
+
+
+@query(_MODELS + "SELECT doc_id, name, CASE WHEN even THEN CASE name WHEN 'Brand' THEN 0 WHEN 'Part' THEN 1 ELSE 2 END ELSE CASE name WHEN 'Brand' THEN 0 WHEN 'Part' THEN 1 ELSE 2 END END AS round FROM c WHERE name <> 'Part.Inner'")
+def class_dependency_order(spark, sf_dir):
+    return classes.class_dependency_order(classes.class_outline(_part_models(spark, sf_dir)))
+
+
+_SCHEMA_MD = """lower('# ' || p_name || chr(10) || '- type: object' || chr(10) || '- required: brand, size' || chr(10) || chr(10) || '## brand' || chr(10) || '- type: string' || chr(10) || '- constraint: maxlength=12'
+    || chr(10) || '- required: true' || chr(10) || '- enums: ' || p_brand || ', a, b, c' || chr(10) || chr(10) || '## kind' || chr(10) || '- type: const' || chr(10) || '- required: false' || chr(10) || chr(10)
+    || '## size' || chr(10) || '- type: integer | null' || chr(10) || '- constraint: minimum=1; maximum=' || p_size || chr(10) || '- required: true' || chr(10) || chr(10) || '## tags' || chr(10) || '- type: array' || chr(10)
+    || '- required: false' || chr(10) || chr(10) || '### items' || chr(10) || '- type: ref #/definitions/t' || chr(10) || '- constraint: $ref=#/definitions/t' || chr(10))"""
+
+
+@query(
+    _with(views.ORDER_JSON, outline.JSON_OUTLINE_SQL, f"order_md AS ({outline.MARKDOWN_SQL})")
+    + f"""SELECT 'order:' || doc_id AS doc_id, 'json_instance' AS kind, 200 AS status, md5(markdown) AS digest FROM order_md
+    UNION ALL SELECT 'part:' || p_partkey, 'json_schema', 200, md5({_SCHEMA_MD}) FROM part
+    UNION ALL SELECT 'plain:' || p_partkey, '', 415, '' FROM part UNION ALL SELECT 'broken:' || p_partkey, '', 422, '' FROM part UNION ALL SELECT 'payload:' || p_partkey, '', 400, '' FROM part"""
+)
+def convert_to_markdown(spark, sf_dir):
+    named = lambda df, name: df.select(F.concat(F.lit(name), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.lit(None).cast("string").alias("error"))
+    part = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    broken = part.withColumn("text", F.concat(F.lit("<a><b>"), "text", F.lit("</a>")))
+    rows = named(views.order_json(spark, sf_dir), "order:").unionByName(named(_part_schema(spark, sf_dir), "part:")).unionByName(named(part, "plain:")).unionByName(named(broken, "broken:"))
+    rows = rows.unionByName(named(part, "payload:").withColumn("error", F.lit("bad payload")))
+    done, rejects = convert.convert_to_markdown(rows)
+    none = F.lit("")
+    return done.select("doc_id", "kind", F.lit(200).alias("status"), F.md5(F.col("markdown").cast("binary")).alias("digest")).unionByName(rejects.select("doc_id", none.alias("kind"), "status", none.alias("digest")))
+
+
 # --- chunking
 
 _MD = _with(views.SOURCE_MD, chunking.HEADERS_SQL)
@@ -431,7 +548,7 @@ def write_and_read_ir(spark, sf_dir):
 _DOC = "bundle, entity_id"
 
 
-@query(_IR + f"SELECT {_DOC}, 'entity_header' AS type, 1 AS part, '# Entity: ' || name || chr(10) || 'EntityId: ' || entity_id || chr(10) || 'Bundle: ' || bundle || ' | Kind: ' || kind || chr(10) || 'Source files: ' || source_file || coalesce(chr(10) || chr(10) || 'Description:' || chr(10) || description, '') || chr(10) AS text FROM entities")
+@query(_IR + f"SELECT {_DOC}, 'entity_header' AS type, 1 AS part, '# Entity: ' || name || chr(10) || 'EntityId: ' || entity_id || chr(10) || 'Bundle: ' || bundle || ' | Source: star 1 | Kind: ' || kind || chr(10) || 'Source files: ' || source_file || coalesce(chr(10) || chr(10) || 'Description:' || chr(10) || description, '') || chr(10) AS text FROM entities")
 def entity_header_docs(spark, sf_dir):
     return docs.entity_header_docs(views.star_ir(spark, sf_dir)[0])
 
@@ -439,33 +556,63 @@ def entity_header_docs(spark, sf_dir):
 _BLOCK = f"'- ' || name || ' : ' || {_TYPE} || ' ' || {_CARD} || CASE WHEN required THEN ' required' ELSE '' END"
 
 
-@query(_IR + f", p AS (SELECT *, (pos - 1) // 3 + 1 AS part, count(*) OVER (PARTITION BY {_DOC}) AS n, {_BLOCK} || coalesce(chr(10) || '  - description: ' || description, '') AS block FROM fields) SELECT p.bundle, p.entity_id, 'entity_fields' AS type, part::INT AS part, '## Fields for ' || any_value(e.name) || ' (' || part || '/' || ((any_value(n) + 2) // 3) || ')' || chr(10) || string_agg(block, chr(10) ORDER BY pos) || chr(10) AS text FROM p JOIN entities e USING (bundle, entity_id) GROUP BY p.bundle, p.entity_id, part")
+@query(
+    _IR
+    + f""", p AS (SELECT *, (pos - 1) // 3 + 1 AS part, count(*) OVER (PARTITION BY {_DOC}) AS n,
+    {_BLOCK} || coalesce(chr(10) || '  - description: ' || description, '') || CASE WHEN quantity > 25 THEN chr(10) || '  - constraints: range' ELSE '' END AS block FROM fields)
+SELECT p.bundle, p.entity_id, part::INT AS part, '## Fields for ' || any_value(e.name) || ' (' || part || '/' || ((any_value(n) + 2) // 3) || ')' || chr(10) || string_agg(block, chr(10) ORDER BY pos) || chr(10) AS text,
+       string_agg(e.name || '.' || p.name, ',' ORDER BY pos) AS paths
+FROM p JOIN entities e USING (bundle, entity_id) GROUP BY p.bundle, p.entity_id, part"""
+)
 def entity_fields_docs(spark, sf_dir):
-    entities, fields, _ = views.star_ir(spark, sf_dir)
-    return docs.entity_fields_docs(fields, entities, max_fields=3)
-
-
-@query(f"WITH RECURSIVE {views.STAR_IR.strip()}, l AS (SELECT {_DOC}, pos, length({_BLOCK}) AS n FROM fields), p AS (SELECT {_DOC}, pos, 1 AS part, 1 AS c, n + 1 AS chars FROM l WHERE pos = 1 UNION ALL SELECT l.bundle, l.entity_id, l.pos, CASE WHEN p.c >= 4 OR p.chars + l.n + 1 > 100 THEN p.part + 1 ELSE p.part END, CASE WHEN p.c >= 4 OR p.chars + l.n + 1 > 100 THEN 1 ELSE p.c + 1 END, CASE WHEN p.c >= 4 OR p.chars + l.n + 1 > 100 THEN l.n + 1 ELSE p.chars + l.n + 1 END FROM p JOIN l ON l.bundle = p.bundle AND l.entity_id = p.entity_id AND l.pos = p.pos + 1) SELECT {_DOC}, pos, part::INT AS part FROM p")
+    entities, fields, constraints = views.star_ir(spark, sf_dir)
+    out = docs.entity_fields_docs(fields, entities, max_fields=3, constraints=constraints)
+    return out.select("bundle", "entity_id", "part", "text", F.array_join("paths", ",").alias("paths"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {views.STAR_IR.strip()}, l AS (SELECT {_DOC}, pos, length({_BLOCK}) AS n FROM fields),
+p AS (SELECT {_DOC}, pos, 1 AS part, 1 AS c, n + 1 AS chars FROM l WHERE pos = 1
+      UNION ALL SELECT l.bundle, l.entity_id, l.pos, CASE WHEN p.c >= 4 OR p.chars >= 100 THEN p.part + 1 ELSE p.part END,
+             CASE WHEN p.c >= 4 OR p.chars >= 100 THEN 1 ELSE p.c + 1 END, CASE WHEN p.c >= 4 OR p.chars >= 100 THEN l.n + 1 ELSE p.chars + l.n + 1 END
+      FROM p JOIN l ON l.bundle = p.bundle AND l.entity_id = p.entity_id AND l.pos = p.pos + 1)
+SELECT {_DOC}, pos, part::INT AS part FROM p"""
+)
 def pack_fields(spark, sf_dir):
     return docs.pack_fields(views.star_ir(spark, sf_dir)[1], 4, 100).select("bundle", "entity_id", "pos", "part")
 
 
-@query(_IR + f"SELECT c.bundle, c.entity_id, 'entity_constraints' AS type, 1 AS part, '## Constraints for ' || any_value(e.name) || chr(10) || string_agg('  - kind=' || c.kind || ' target=' || e.name || '.' || field_name || ' range=[' || minimum || ',' || maximum || ']', chr(10) ORDER BY pos) || chr(10) AS text FROM constraints c JOIN entities e USING (bundle, entity_id) GROUP BY {', '.join('c.' + k for k in ('bundle', 'entity_id'))}")
+@query(
+    _with(views.STAR_IR, views.STAR_CONSTRAINTS)
+    + """, l AS (SELECT r.bundle, r.entity_id, e.name, pos, '  - kind=' || r.kind || coalesce(' target=' || coalesce(target, e.name || '.' || field_name), '')
+        || coalesce(' values=[' || array_to_string(list_transform(values[1:20], lambda v: chr(39) || v || chr(39)), ', ') || ']' || CASE WHEN len(values) > 20 THEN '...' ELSE '' END, '')
+        || coalesce(' pattern=' || pattern, '') || CASE WHEN minimum IS NOT NULL THEN ' range=[' || minimum || ',' || maximum || ']' ELSE '' END
+        || coalesce(' length=[' || min_length || ',None]', '') || coalesce(' format=' || format, '') || coalesce(' const=' || const, '') || coalesce(' message=' || message, '') AS line
+    FROM rich r JOIN entities e USING (bundle, entity_id))
+SELECT bundle, entity_id, 'entity_constraints' AS type, 1 AS part, '## Constraints for ' || any_value(name) || chr(10) || string_agg(line, chr(10) ORDER BY pos, line) || chr(10) AS text FROM l GROUP BY bundle, entity_id"""
+)
 def entity_constraints_docs(spark, sf_dir):
-    entities, _, constraints = views.star_ir(spark, sf_dir)
-    return docs.entity_constraints_docs(constraints, entities)
+    return docs.entity_constraints_docs(views.star_constraints(spark, sf_dir), views.star_ir(spark, sf_dir)[0])
 
 
-@query(_IR + f", r AS (SELECT {_DOC}, string_agg('- ' || type_ref, chr(10) ORDER BY type_ref) AS refs FROM (SELECT DISTINCT {_DOC}, type_ref FROM fields WHERE type_ref IS NOT NULL) GROUP BY ALL) SELECT {_DOC}, 'entity_relationships' AS type, 1 AS part, '## Relationships for ' || name || coalesce(chr(10) || 'References:' || chr(10) || refs, '') || chr(10) || 'Provenance files:' || chr(10) || '- ' || source_file || chr(10) AS text FROM entities LEFT JOIN r USING (bundle, entity_id)")
+@query(
+    _with(views.STAR_IR, views.STAR_RELATIONS)
+    + f""", r AS (SELECT {_DOC}, string_agg('- ' || t, chr(10) ORDER BY t) AS refs FROM
+    (SELECT DISTINCT {_DOC}, type_ref AS t FROM fields WHERE type_ref IS NOT NULL UNION SELECT {_DOC}, target FROM relations) GROUP BY ALL)
+SELECT e.bundle, e.entity_id, 'entity_relationships' AS type, 1 AS part, '## Relationships for ' || name || coalesce(chr(10) || 'Extends:' || chr(10) || '- ref:' || x.target, '')
+    || coalesce(chr(10) || 'References:' || chr(10) || refs, '') || chr(10) || 'Provenance files:' || chr(10) || '- ' || source_file || chr(10) AS text
+FROM entities e LEFT JOIN r USING (bundle, entity_id) LEFT JOIN (SELECT * FROM relations WHERE role = 'extends') x USING (bundle, entity_id)"""
+)
 def entity_relationships_docs(spark, sf_dir):
     entities, fields, _ = views.star_ir(spark, sf_dir)
-    return docs.entity_relationships_docs(entities, fields)
+    return docs.entity_relationships_docs(entities, fields, views.star_relations(spark, sf_dir))
 
 
 @query(_IR + f"SELECT f.bundle, f.entity_id, 'field_fact' AS type, f.pos AS part, '# Field: ' || e.name || '.' || f.name || chr(10) || 'Type: ' || {_TYPE} || ' ' || {_CARD} || coalesce(chr(10) || 'Description: ' || f.description, '') || CASE WHEN quantity > 25 THEN chr(10) || 'Constraints: range' ELSE '' END || chr(10) AS text FROM fields f JOIN entities e USING (bundle, entity_id)")
 def field_fact_docs(spark, sf_dir):
     entities, fields, constraints = views.star_ir(spark, sf_dir)
-    return docs.field_fact_docs(fields, entities, constraints)
+    return docs.field_fact_docs(fields, entities, constraints).drop("name", "path")
 
 
 @query(_IR + "SELECT bundle, lower(name) AS name_key, entity_id, '- ' || name || ' (' || kind || ') id=' || entity_id || coalesce(' — ' || description, '') AS line FROM entities")
@@ -478,17 +625,30 @@ def glossary_docs(spark, sf_dir):
     return docs.glossary_docs(views.star_ir(spark, sf_dir)[0])
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {views.STAR_EDGES.strip()}, {views.STAR_INLINE.strip()},"
+    + """
+x AS (SELECT DISTINCT src AS root, src AS node, [src] AS path, []::INT[] AS ord, 0 AS depth, 'ok' AS status FROM f WHERE src LIKE 'nation:%'
+      UNION ALL SELECT x.root, f.dst, list_append(x.path, f.dst), x.ord || [f.pos, 1], x.depth + 1,
+             CASE WHEN x.depth + 1 > 2 THEN 'cut' WHEN list_contains(x.path, f.dst) THEN 'cycle' WHEN f.dst LIKE 'missing:%' THEN 'missing' ELSE 'ok' END
+      FROM x JOIN f ON f.src = x.node WHERE x.status = 'ok'),
+ok AS (SELECT * FROM x WHERE status = 'ok'),
+l AS (SELECT root, ord, repeat('    ', depth) || '- ' || split_part(node, ':', 2) || ' (' || split_part(node, ':', 1) || ')' AS line FROM ok
+      UNION ALL SELECT ok.root, ok.ord || [f.pos, 0], repeat('    ', ok.depth) || '  * ' || f.name || ': ' || CASE WHEN c.root IS NULL THEN 'ref:' || split_part(f.dst, ':', 2) ELSE 'any' END || ' [0..*]'
+      FROM ok JOIN f ON f.src = ok.node LEFT JOIN ok c ON c.root = ok.root AND c.ord = ok.ord || [f.pos, 1]),
+r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ord) AS k FROM l)
+SELECT root, string_agg(line, chr(10) ORDER BY k) AS text FROM r WHERE k <= 1200 GROUP BY root"""
+)
 def entity_inline_docs(spark, sf_dir):
-    e = views.star_edges(spark, sf_dir)
-    known = e.select(F.col("src").alias("entity_id")).union(e.select("dst")).filter("entity_id NOT LIKE 'missing:%'").distinct()
-    roots = e.filter("src LIKE 'nation:%'").select(F.col("src").alias("entity_id")).distinct()
-    return docs.entity_inline_docs(graph.inline_entities(e, known, roots, 3))
+    edges, entities, fields = views.star_inline(spark, sf_dir)
+    roots = entities.filter("entity_id LIKE 'nation:%'").select("entity_id")
+    return docs.entity_inline_docs(graph.inline_entities(edges, entities, roots, 2), entities, fields)
 
 
 @query()
 def build_docs(spark, sf_dir):
-    return docs.build_docs(*views.star_ir(spark, sf_dir))
+    entities, fields, _ = views.star_ir(spark, sf_dir)
+    return docs.build_docs(entities, fields, views.star_constraints(spark, sf_dir), views.star_relations(spark, sf_dir))
 
 
 @query("SELECT o_orderkey::VARCHAR AS entity, count(*) OVER () > 0 AS written FROM orders")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.lineage import written
+from millrace.functions.lineage import discard, written
 
 #: Edges up to which (counted) they are broadcast in every round.
 BROADCAST_EDGES = 500_000
@@ -16,42 +16,48 @@ def _small(edges: DataFrame) -> DataFrame:
     return F.broadcast(edges) if n <= BROADCAST_EDGES else edges
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 100) -> DataFrame:
-    """``start, node`` for all nodes reached over edges (src, dst): semi-naive, only new pairs go on."""
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``start, node`` for all nodes reached over edges (src, dst): semi-naive, only new pairs go on, until none is new."""
     edges = _small(edges.select("src", "dst").distinct())
     new = written(starts.select(F.col("node").alias("start"), "node").distinct(), "frontier")
     seen = new
-    for _ in range(rounds):
+    while True:
         found = new.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        new = written(found.join(seen, ["start", "node"], "left_anti"), "frontier")
-        if not new.limit(1).count():
-            break
-        seen = written(seen.unionByName(new), "seen")
-    return seen
+        fresh = written(found.join(seen, ["start", "node"], "left_anti"), "frontier")
+        if not fresh.limit(1).count():
+            return seen
+        both = written(seen.unionByName(fresh), "seen")
+        discard(new, seen)
+        new, seen = fresh, both
 
 
-def inline_entities(edges: DataFrame, entities: DataFrame, roots: DataFrame, max_depth: int = 4) -> DataFrame:
-    """Expands references from roots: ``root, path, depth, entity_id, role, status``.
+def inline_entities(edges: DataFrame, entities: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Expands references from roots: ``root, path, depth, entity_id, role, status``, and ``places`` if edges have a ``pos``.
 
-    status: ok, depth_cutoff (its references are left out), cycle (already on the path), missing (no such entity).
-    Expansion is bounded by ``max_depth`` and a path never enters an entity twice.
+    status: ok, depth_cutoff (deeper than ``max_depth``, so not expanded), cycle (already on the path), missing (no such
+    entity). A path never enters an entity twice, so without ``max_depth`` expansion ends by itself. Each level is
+    written once and the next one starts from there.
     """
-    edges = _small(edges)
+    placed = "pos" in edges.columns
+    edges = _small(edges if placed else edges.withColumn("pos", F.lit(0)))
     known = entities.select(F.col("entity_id").alias("_known")).distinct()
 
     def marked(rows: DataFrame, depth: int) -> DataFrame:
         cycle = F.array_contains(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))), F.col("entity_id"))
         rows = rows.join(known, F.col("entity_id") == F.col("_known"), "left")
-        status = F.when(F.lit(depth) >= max_depth, "depth_cutoff").when(cycle, "cycle").when(F.col("_known").isNull(), "missing").otherwise("ok")
-        return rows.select("root", "path", F.lit(depth).alias("depth"), "entity_id", "role", status.alias("status"))
+        status = F.when(F.lit(max_depth is not None and depth > (max_depth or 0)), "depth_cutoff").when(cycle, "cycle").when(F.col("_known").isNull(), "missing").otherwise("ok")
+        return written(rows.select("root", "path", F.lit(depth).alias("depth"), "entity_id", "role", status.alias("status"), "places"), "level")
 
-    level = marked(roots.select(F.col("entity_id").alias("root"), F.array("entity_id").alias("path"), "entity_id", F.lit("root").alias("role")), 0)
-    out = level
-    for depth in range(1, max_depth + 1):
-        step = level.filter("status = 'ok'").select("root", "path", F.col("entity_id").alias("at")).join(edges, F.col("at") == F.col("src"))
-        level = marked(step.select("root", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("entity_id"), "role"), depth)
+    start = roots.select(F.col("entity_id").alias("root"), F.array("entity_id").alias("path"), "entity_id", F.lit("root").alias("role"), F.array().cast("array<int>").alias("places"))
+    level = out = marked(start, 0)
+    depth = 0
+    while level.filter("status = 'ok'").limit(1).count():
+        depth += 1
+        step = level.filter("status = 'ok'").select("root", "path", "places", F.col("entity_id").alias("at")).join(edges, F.col("at") == F.col("src"))
+        places = F.concat("places", F.array(F.col("pos").cast("int")))
+        level = marked(step.select("root", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("entity_id"), "role", places.alias("places")), depth)
         out = out.unionByName(level)
-    return out
+    return out if placed else out.drop("places")
 
 
 INLINE_SQL = """
@@ -60,6 +66,6 @@ x AS (
     SELECT src AS root, [src] AS path, 0 AS depth, src AS entity_id, 'root' AS role, 'ok' AS status FROM (SELECT DISTINCT src FROM star_edges WHERE src LIKE 'region:%')
     UNION ALL
     SELECT x.root, list_append(x.path, e.dst), x.depth + 1, e.dst, e.role,
-           CASE WHEN x.depth + 1 >= 3 THEN 'depth_cutoff' WHEN list_contains(x.path, e.dst) THEN 'cycle' WHEN e.dst LIKE 'missing:%' THEN 'missing' ELSE 'ok' END
+           CASE WHEN x.depth + 1 > 3 THEN 'depth_cutoff' WHEN list_contains(x.path, e.dst) THEN 'cycle' WHEN e.dst LIKE 'missing:%' THEN 'missing' ELSE 'ok' END
     FROM x JOIN star_edges e ON e.src = x.entity_id WHERE x.status = 'ok')
 SELECT root, array_to_string(path, '>') AS path, depth, entity_id, role, status FROM x"""

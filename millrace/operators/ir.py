@@ -1,8 +1,8 @@
 """The entity tables: ids, references, sources, merging, examples, mappings, counts, nested output and back.
 
 Tables: entities(bundle, entity_id, kind, name, description, source_file), fields(bundle, entity_id, pos, name,
-type_prim, type_ref, ...), constraints(bundle, entity_id, field_name, pos, kind, minimum, maximum),
-edges(bundle, src, dst, role).
+type_prim, type_ref, ...), relations(bundle, entity_id, pos, role, target), constraints(bundle, entity_id, field_name,
+pos, kind, and what the kind needs), edges(bundle, src, dst, role, pos).
 """
 
 from __future__ import annotations
@@ -35,9 +35,15 @@ def type_text(prim: Column, ref: Column) -> Column:
     return F.coalesce(F.concat(F.lit("ref:"), short_id(ref)), prim, F.lit("any"))
 
 
-def entity_edges(fields: DataFrame) -> DataFrame:
-    """Reference edges of the field tables; other roles are united in by the caller."""
-    return fields.filter("type_ref IS NOT NULL").select("bundle", F.col("entity_id").alias("src"), F.col("type_ref").alias("dst"), F.lit("field").alias("role"))
+def entity_edges(fields: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Reference edges ``bundle, src, dst, role, pos``: of fields, and of relations (bundle, entity_id, pos, role, target).
+
+    Roles of relations are extends, element (of an array) and choice (an option of a union).
+    """
+    out = fields.filter("type_ref IS NOT NULL").select("bundle", F.col("entity_id").alias("src"), F.col("type_ref").alias("dst"), F.lit("field").alias("role"), "pos")
+    if relations is None:
+        return out
+    return out.unionByName(relations.filter("target IS NOT NULL").select("bundle", F.col("entity_id").alias("src"), F.col("target").alias("dst"), "role", "pos"))
 
 
 def entity_refs(edges: DataFrame) -> DataFrame:

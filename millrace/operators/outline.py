@@ -1,16 +1,19 @@
 """Documents as outlines: a JSON tree becomes section rows, section rows become markdown.
 
-The walk goes level by level with variant_explode; only sampled list elements are exploded and nothing is shuffled
-before the sections of a document are put together.
+The walk goes level by level with variant_explode: a text is parsed once, each level is written once and the next one
+starts from it, until one is empty. Only sampled list elements are exploded and nothing is shuffled before the sections
+of a document are put together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels that are walked; deeper values are summarised by their parent's section.
-MAX_DEPTH = 12
+from millrace.functions.lineage import discard, written
+
 # fixed values: what counts as a date, a number in text, and cuts
 DATE = r"^(\d{4}|\d{2})[-/](0[1-9]|1[0-2])[-/](0[1-9]|[12]\d|3[01])$"
 INTEGER = r"^[+-]?\d+$"
@@ -51,25 +54,40 @@ def example_text(v: Column, most: int = EXAMPLE, nested: int = 3) -> Column:
     return F.when(kind.startswith("OBJECT"), None).when(kind.startswith("ARRAY"), shown).when(F.is_variant_null(v), "null").when(kind == "STRING", one_line(text, most)).otherwise(text)
 
 
-def walk(docs: DataFrame, root: str, sample_lists: bool, depth: int) -> DataFrame:
-    """``doc_id, ord, depth, name, v``: the sections of JSON texts, level by level; keys are sorted, lists sampled at 0."""
-    spark = docs.sparkSession
-    level = docs.select("doc_id", F.array().cast("array<int>").alias("ord"), F.lit(1).alias("depth"), F.lit(root).alias("name"), F.try_parse_json("text").alias("v")).filter("v IS NOT NULL")
-    out = level
-    for _ in range(depth - 1):
-        name = f"_level_{id(level)}"
-        level.createOrReplaceTempView(name)
-        level = spark.sql(f"SELECT l.doc_id, concat(l.ord, array(c.pos)) AS ord, l.depth + 1 AS depth, coalesce(c.key, 'items') AS name, c.value AS v FROM {name} l, LATERAL variant_explode(l.v) c WHERE c.key IS NOT NULL OR (c.pos = 0 AND {str(sample_lists).lower()})")
+def by_levels(level: DataFrame, below: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A first level and all levels below it; each is written once, the last is the first empty one."""
+    level = out = written(level, "level")
+    while True:
+        level = written(below(level), "level")
+        if not level.limit(1).count():
+            discard(level)
+            return out
         out = out.unionByName(level)
-    return out
 
 
-def json_outline(docs: DataFrame, root: str = "json instance", most: int = EXAMPLE, sample_lists: bool = True, depth: int = MAX_DEPTH) -> DataFrame:
+def children_of(rows: DataFrame) -> DataFrame:
+    """Rows times the members of their variant ``v``: ``_pos, _key`` (null in lists)`` , _value``."""
+    members = rows.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_key", "_value")
+    return rows.lateralJoin(members)
+
+
+def walk(docs: DataFrame, root: str, sample_lists: bool) -> DataFrame:
+    """``doc_id, ord, depth, name, v``: the sections of JSON texts at any depth; keys are sorted, lists sampled at 0."""
+
+    def below(level: DataFrame) -> DataFrame:
+        rows = children_of(level).filter(F.col("_key").isNotNull() | ((F.col("_pos") == 0) & F.lit(sample_lists)))
+        return rows.select("doc_id", F.concat("ord", F.array("_pos")).alias("ord"), (F.col("depth") + 1).alias("depth"), F.coalesce("_key", F.lit("items")).alias("name"), F.col("_value").alias("v"))
+
+    first = docs.select("doc_id", F.array().cast("array<int>").alias("ord"), F.lit(1).alias("depth"), F.lit(root).alias("name"), F.try_parse_json("text").alias("v"))
+    return by_levels(first.filter("v IS NOT NULL"), below)
+
+
+def json_outline(docs: DataFrame, root: str = "json instance", most: int = EXAMPLE, sample_lists: bool = True) -> DataFrame:
     """``doc_id, ord, depth, name, type, example`` of every section of a JSON text.
 
     Texts that are no JSON give no rows.
     """
-    rows = walk(docs, root, sample_lists, depth)
+    rows = walk(docs, root, sample_lists)
     return rows.select("doc_id", "ord", "depth", "name", value_type(F.col("v")).alias("type"), example_text(F.col("v"), most).alias("example"))
 
 
@@ -118,10 +136,9 @@ def enum_preview(values: Column, most: int = ENUMS) -> Column:
 
 def schema_fields(schemas: DataFrame) -> DataFrame:
     """Properties of JSON Schema texts as field rows: type, constraints, required, enumeration, cardinality."""
-    spark = schemas.sparkSession
-    name = f"_schemas_{id(schemas)}"
-    schemas.select("doc_id", F.try_parse_json("text").alias("v")).createOrReplaceTempView(name)
-    rows = spark.sql(f"SELECT s.doc_id, s.v AS parent, c.pos, c.key AS name, c.value AS v FROM {name} s, LATERAL variant_explode(try_variant_get(s.v, '$.properties', 'variant')) c")
+    parsed = schemas.select("doc_id", F.try_parse_json("text").alias("parent"))
+    members = children_of(parsed.withColumn("v", F.try_variant_get("parent", "$.properties", "variant")))
+    rows = members.select("doc_id", "parent", F.col("_pos").alias("pos"), F.col("_key").alias("name"), F.col("_value").alias("v"))
     required = F.coalesce(F.array_contains(F.try_variant_get("parent", "$.required", "array<string>"), F.col("name")), F.lit(False))
     kind = schema_type(F.col("v"))
     return rows.select(

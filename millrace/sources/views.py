@@ -109,6 +109,7 @@ def star_ir(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     entities = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").select(
         F.col("o_orderpriority").alias("bundle"), eid.alias("entity_id"), F.lit("object").alias("kind"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("name"),
         F.concat("c_name", F.lit(" in segment "), "c_mktsegment").alias("description"), F.concat(F.lit("orders/"), F.col("o_orderstatus"), F.lit(".json")).alias("source_file"),
+        F.lit("star").alias("source_id"), F.lit("1").alias("version"),
     )
     line = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     every = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -127,7 +128,7 @@ def star_ir(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 STAR_IR = """
 entities AS (SELECT o_orderpriority AS bundle, 'orders#' || o_orderkey AS entity_id, 'object' AS kind, 'Order ' || o_orderkey AS name,
-             c_name || ' in segment ' || c_mktsegment AS description, 'orders/' || o_orderstatus || '.json' AS source_file
+             c_name || ' in segment ' || c_mktsegment AS description, 'orders/' || o_orderstatus || '.json' AS source_file, 'star' AS source_id, '1' AS version
              FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
 fields AS (SELECT o_orderpriority AS bundle, 'orders#' || o_orderkey AS entity_id, pos, 'line_' || pos AS name,
            CASE WHEN l_returnflag = 'N' THEN 'integer' END AS type_prim, CASE WHEN l_returnflag <> 'N' THEN 'part#' || l_partkey END AS type_ref,
@@ -138,6 +139,63 @@ fields AS (SELECT o_orderpriority AS bundle, 'orders#' || o_orderkey AS entity_i
 constraints AS (SELECT bundle, entity_id, name AS field_name, pos, 'range' AS kind, 1 AS minimum, quantity AS maximum FROM fields WHERE quantity > 25)"""
 
 
+def star_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bundle, entity_id, pos, role, target``: an order extends, holds or chooses by its status."""
+    orders = table(spark, sf_dir, "orders")
+    status, customer = F.col("o_orderstatus"), F.concat(F.lit("customer#"), F.col("o_custkey").cast("string"))
+    role = F.when(status == "F", "extends").when(status == "O", "element").otherwise("choice")
+    targets = F.when(status == "P", F.array(customer, F.concat(F.lit("priority#"), "o_orderpriority"))).otherwise(F.array(customer))
+    rows = orders.select(F.col("o_orderpriority").alias("bundle"), F.concat(F.lit("orders#"), F.col("o_orderkey").cast("string")).alias("entity_id"), role.alias("role"), F.posexplode_outer(targets).alias("pos", "target"))
+    return rows.select("bundle", "entity_id", "pos", "role", "target")
+
+
+STAR_RELATIONS = """
+relations AS (
+    SELECT o_orderpriority AS bundle, 'orders#' || o_orderkey AS entity_id, 0 AS pos, CASE o_orderstatus WHEN 'F' THEN 'extends' WHEN 'O' THEN 'element' ELSE 'choice' END AS role, 'customer#' || o_custkey AS target FROM orders
+    UNION ALL SELECT o_orderpriority, 'orders#' || o_orderkey, 1, 'choice', 'priority#' || o_orderpriority FROM orders WHERE o_orderstatus = 'P')"""
+
+
+def star_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constraints of every kind: an enumeration for every fifth order, and one kind a field by its position."""
+    entities, fields, ranges = star_ir(spark, sf_dir)
+    at = F.col("pos")
+    kind = F.when(at == 2, "length").when(at == 3, "pattern").when(at == 4, "format").when(at == 5, "const").when(at == 6, "rule")
+    of = fields.withColumn("kind", kind).filter("kind IS NOT NULL").select(
+        "bundle", "entity_id", F.col("name").alias("field_name"), "pos", "kind", F.when(at == 2, 1).alias("min_length"), F.when(at == 3, "^[0-9]+$").alias("pattern"),
+        F.when(at == 4, "date").alias("format"), F.when(at == 5, F.col("quantity").cast("string")).alias("const"), F.when(at == 6, "checked").alias("message"), F.when(at == 6, "other.path").alias("target"),
+    )
+    key = F.substring("entity_id", 8, 20).cast("long")
+    values = F.transform(F.sequence(F.lit(1), (key % 25 + 1).cast("int")), lambda i: F.concat(F.lit("v"), i.cast("string")))
+    enums = entities.filter(key % 5 == 0).select("bundle", "entity_id", F.lit(0).alias("pos"), F.lit("enum").alias("kind"), values.alias("values"))
+    return ranges.unionByName(of.withColumn("max_length", F.lit(None).cast("int")), True).unionByName(enums, True)
+
+
+STAR_CONSTRAINTS = """
+rich AS (SELECT *, NULL::INT AS min_length, NULL AS pattern, NULL AS format, NULL AS const, NULL AS message, NULL AS target, NULL::VARCHAR[] AS values FROM constraints
+    UNION ALL SELECT bundle, entity_id, name, pos, CASE pos WHEN 2 THEN 'length' WHEN 3 THEN 'pattern' WHEN 4 THEN 'format' WHEN 5 THEN 'const' ELSE 'rule' END, NULL, NULL, CASE WHEN pos = 2 THEN 1 END,
+        CASE WHEN pos = 3 THEN '^[0-9]+$' END, CASE WHEN pos = 4 THEN 'date' END, CASE WHEN pos = 5 THEN quantity::VARCHAR END, CASE WHEN pos = 6 THEN 'checked' END, CASE WHEN pos = 6 THEN 'other.path' END, NULL
+        FROM fields WHERE pos BETWEEN 2 AND 6
+    UNION ALL SELECT bundle, entity_id, NULL, 0, 'enum', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, list_transform(range(1, substr(entity_id, 8)::BIGINT % 25 + 2), lambda i: 'v' || i)
+        FROM entities WHERE substr(entity_id, 8)::BIGINT % 5 = 0)"""
+
+
+def star_inline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, entities, fields) of the star: every edge is a field of its source."""
+    e = star_edges(spark, sf_dir)
+    key = F.element_at(F.split("dst", ":"), -1)
+    code = F.when(F.col("role") == "field", 0).when(F.col("role") == "choice", 1).when(F.col("role") == "element", 2).otherwise(3)
+    e = e.select("src", "dst", F.concat("role", F.lit("_"), key).alias("name"), (key.cast("int") * 4 + code).alias("pos"))
+    ids = e.select(F.col("src").alias("entity_id")).union(e.select("dst")).filter("entity_id NOT LIKE 'missing:%'").distinct()
+    entities = ids.select("entity_id", F.lit("").alias("name"), F.element_at(F.split("entity_id", ":"), 1).alias("kind"))
+    none = F.lit(None).cast("int")
+    fields = e.select(F.col("src").alias("entity_id"), "pos", "name", F.lit(None).cast("string").alias("type_prim"), F.col("dst").alias("type_ref"), F.lit(0).alias("card_min"), none.alias("card_max"))
+    return e.select("src", "dst", F.lit("field").alias("role"), "pos"), entities, fields
+
+
+STAR_INLINE = """
+f AS (SELECT src, dst, role || '_' || split_part(dst, ':', 2) AS name, split_part(dst, ':', 2)::INT * 4 + CASE role WHEN 'field' THEN 0 WHEN 'choice' THEN 1 WHEN 'element' THEN 2 ELSE 3 END AS pos FROM star_edges)"""
+
+
 def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text``: JSON, markdown, HTML and chat texts under one id space."""
     t = lambda n: table(spark, sf_dir, n)

@@ -1,4 +1,4 @@
-"""Documents arriving as files: detect, chunk what is markdown or text, set rejects aside."""
+"""Documents arriving as files: detect, convert to markdown, chunk that or plain text, set rejects aside."""
 
 from __future__ import annotations
 
@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.chunking import chunk_documents
-from millrace.operators.detect import detect_kind
+from millrace.operators.convert import convert_to_markdown
 
 
 def stream_convert_and_chunk(spark: SparkSession, source: str, schema: str, out: str, **chunking) -> str:
-    """Runs all files that are there through the batch plan, one micro-batch after another, into ``out/chunks``
-    and ``out/kinds``. Every batch overwrites its own folder, so a replay after a failure repeats nothing."""
+    """Runs all files that are there through the batch plan, one micro-batch after another.
+
+    ``out/chunks`` has the chunks of converted markdown, and of texts of no kind as they are; ``out/kinds`` every text's
+    kind; ``out/rejects`` what no kind fits (415) or what could not be converted (422, not chunked). Every batch
+    overwrites its own folders, so a replay after a failure repeats nothing.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         rows = df.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-        chunk_documents(rows, **chunking).write.mode("overwrite").parquet(f"{out}/chunks/batch_id={batch_id}")
-        kinds = detect_kind(rows).select("doc_id", F.coalesce("kind", F.lit("none")).alias("kind"))
-        kinds.write.mode("overwrite").parquet(f"{out}/kinds/batch_id={batch_id}")
+        markdown, rejects = convert_to_markdown(rows)
+        put = lambda table, name: table.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        put(rejects, "rejects")
+        kinds = markdown.select("doc_id", "kind").unionByName(rejects.select("doc_id", F.coalesce(F.regexp_extract("error", "not convertible as (.*)", 1), F.lit("")).alias("kind")))
+        put(kinds.select("doc_id", F.when(F.col("kind") == "", "none").otherwise(F.col("kind")).alias("kind")), "kinds")
+        plain = rows.join(rejects.filter("status = 415").select("doc_id"), "doc_id", "left_semi")
+        put(chunk_documents(markdown.select("doc_id", F.col("markdown").alias("text")).unionByName(plain), **chunking), "chunks")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(source)
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()

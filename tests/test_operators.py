@@ -106,12 +106,12 @@ def test_decoding_order(spark):
 
 def test_json_outline_rules(spark):
     text = '{"b":[1,2.5],"a":{"x":null,"y":true,"d":"2024-01-02"},"q":"12","e":[],"o":[{"k":1}],"s":"","n":[[1]]}'
-    got = {(r.depth, r.name): (r.type, r.example) for r in outline.json_outline(one(spark, text), depth=5).collect()}
+    got = {(r.depth, r.name): (r.type, r.example) for r in outline.json_outline(one(spark, text)).collect()}
     assert got[1, "json instance"] == ("object", None)
     assert got[2, "b"] == ("list", "[1, ...]") and got[2, "e"] == ("list", "[]") and got[2, "o"] == ("list", "[{...}, ...]") and got[2, "n"] == ("list", "[[1, ...], ...]")
     assert got[3, "d"] == ("date", "2024-01-02") and got[3, "x"] == ("string", "null") and got[3, "y"] == ("string", "true") and got[2, "q"] == ("string", "12")
     assert sum(1 for k in got if k[0] == 1) == 1
-    md = outline.render_markdown(outline.json_outline(one(spark, text), depth=5)).first().markdown
+    md = outline.render_markdown(outline.json_outline(one(spark, text))).first().markdown
     assert md.startswith("# json instance\n- type: object\n\n## a\n") and md == md.lower()
     assert outline.json_outline(one(spark, "not json")).count() == 0
 
