@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.lineage import shared
-from millrace.operators import chunking, classes, convert, detect, docs, graph, ir, labels, outline, ranking, schemas, trees
+from millrace.operators import chunking, classes, convert, detect, docs, graph, ir, labels, outline, ranking, schema_ir, schemas, trees
 from millrace.sources import files, views
 from millrace.streaming.convert import stream_convert_and_chunk
 
@@ -441,6 +441,81 @@ def entity_refs(spark, sf_dir):
     return ir.entity_refs(views.star_edges(spark, sf_dir).withColumn("bundle", F.lit("star"))).select("entity_id", F.array_join("refs", ",").alias("refs"))
 
 
+# --- schemas to entity tables
+
+def _schema_files(spark, sf_dir) -> DataFrame:
+    return _part_schema(spark, sf_dir).select(F.col("doc_id").cast("string").alias("bundle"), F.lit("schemas/part.json").alias("path"), "text")
+
+
+_PART_IDS = "WITH p AS (SELECT *, p_partkey::VARCHAR AS bundle, regexp_replace(regexp_replace(trim(p_name), '\\s+', '_', 'g'), '[^A-Za-z0-9_.:#/-]+', '_', 'g') AS e FROM part) "
+_FOUR = "(VALUES ('', 'object'), ('.brand', 'enum'), ('.kind', 'object'), ('.size', 'integer'), ('.tags', 'object')) t(s, kind)"
+
+
+@query(_PART_IDS + f"SELECT bundle, e || s AS entity_id, kind, CASE WHEN s = '' THEN p_name ELSE '' END AS name, 'schemas/part.json' AS source_file FROM p, {_FOUR}")
+def json_schema_entities(spark, sf_dir):
+    out = schema_ir.json_schema_ir(_schema_files(spark, sf_dir))["entities"]
+    return out.select("bundle", "entity_id", "kind", F.coalesce("name", F.lit("")).alias("name"), "source_file")
+
+
+@query(
+    _PART_IDS
+    + """SELECT bundle, e AS entity_id, pos::INT AS pos, n AS name, e || '.' || n AS type_ref, r AS required, r::INT AS card_min, 1 AS card_max, 'schemas/part.json :: properties.' || n AS locator
+    FROM p, (VALUES (0, 'brand', true), (1, 'kind', false), (2, 'size', true), (3, 'tags', false)) t(pos, n, r)"""
+)
+def json_schema_field_rows(spark, sf_dir):
+    out = schema_ir.json_schema_ir(_schema_files(spark, sf_dir))["fields"]
+    return out.select("bundle", "entity_id", "pos", "name", "type_ref", "required", "card_min", "card_max", "locator")
+
+
+@query(
+    _PART_IDS
+    + """, c AS (SELECT bundle, e || '.brand' AS entity_id, '' AS field_name, '' AS target, 'enum' AS kind, p_brand || ',a,b,c' AS what FROM p
+    UNION ALL SELECT bundle, e || '.brand', '', e || '.brand', 'enum', p_brand || ',a,b,c' FROM p UNION ALL SELECT bundle, e || '.brand', '', e || '.brand', 'length', '12' FROM p
+    UNION ALL SELECT bundle, e || '.size', '', e || '.size', 'range', '1..' || p_size FROM p UNION ALL SELECT bundle, e, 'brand', e || '.brand', 'enum', p_brand || ',a,b,c' FROM p
+    UNION ALL SELECT bundle, e, 'brand', e || '.brand', 'length', '12' FROM p UNION ALL SELECT bundle, e, 'kind', e || '.kind', 'const', p_type FROM p
+    UNION ALL SELECT bundle, e, 'size', e || '.size', 'range', '1..' || p_size FROM p) SELECT * FROM c"""
+)
+def schema_constraint_rows(spark, sf_dir):
+    out = schema_ir.json_schema_ir(_schema_files(spark, sf_dir))["constraints"]
+    what = F.coalesce(F.array_join("values", ","), "max_length", "const", F.concat("minimum", F.lit(".."), "maximum"))
+    return out.select("bundle", "entity_id", F.coalesce("field_name", F.lit("")).alias("field_name"), F.coalesce("target", F.lit("")).alias("target"), "kind", what.alias("what"))
+
+
+@query("""
+SELECT p_partkey::VARCHAR AS bundle, CASE p_size % 5 WHEN 0 THEN 'x/schemas/part.json' WHEN 1 THEN 'x/other.json' WHEN 2 THEN 'x/other.json' WHEN 3 THEN '' ELSE 'x/schemas/gone.json' END AS target_path,
+       CASE p_size % 5 WHEN 0 THEN '#/properties/a~1b' WHEN 1 THEN '#/definitions/t' WHEN 2 THEN '#' WHEN 3 THEN '' ELSE '#' END AS target_ptr, CASE WHEN p_size % 5 < 2 THEN p_name WHEN p_size % 5 = 2 THEN 'root' ELSE '' END AS found FROM part""")
+def resolve_schema_refs(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part").withColumn("bundle", F.col("p_partkey").cast("string"))
+    first = part.select("bundle", F.lit("x/schemas/part.json").alias("path"), F.concat(F.lit('{"properties":{"a/b":{"title":"'), "p_name", F.lit('"}}}')).alias("text"))
+    second = part.select("bundle", F.lit("x/other.json").alias("path"), F.concat(F.lit('{"title":"root","definitions":{"t":{"title":"'), "p_name", F.lit('"}}}')).alias("text"))
+    url = F.concat(F.lit("https://e.org/"), "bundle")
+    n = F.col("p_size") % 5
+    ref = F.when(n == 0, "#/properties/a~1b").when(n == 1, "../other.json#/definitions/t").when(n == 2, url).when(n == 3, "urn:unknown").otherwise("./gone.json")
+    asked = part.select("bundle", F.lit("x/schemas/part.json").alias("path"), ref.alias("ref"))
+    out = schema_ir.resolve_schema_refs(asked, schema_ir.pointer_nodes(first.unionByName(second)), part.select("bundle", url.alias("url"), F.lit("x/other.json").alias("mapped")))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return out.select("bundle", text("target_path").alias("target_path"), text("target_ptr").alias("target_ptr"), text(F.try_variant_get("target", "$.title", "string")).alias("found"))
+
+
+def _xsd_files(spark, sf_dir) -> DataFrame:
+    return _part_xsd(spark, sf_dir).select(F.col("doc_id").alias("bundle"), F.lit("part.xsd").alias("path"), "text", F.lit("src").alias("source_id"))
+
+
+@query("SELECT p_partkey::VARCHAR AS bundle, 'src:urn:p#P' AS entity_id, 'object' AS kind, '' AS what FROM part UNION ALL SELECT p_partkey::VARCHAR, 'src:urn:p#B', 'enum', p_brand FROM part")
+def xsd_entities(spark, sf_dir):
+    out = schema_ir.xsd_ir(_xsd_files(spark, sf_dir))
+    rows = out["entities"].join(out["constraints"].select("bundle", "entity_id", F.array_join("values", ",").alias("what")), ["bundle", "entity_id"], "left")
+    return rows.select("bundle", "entity_id", "kind", F.coalesce("what", F.lit("")).alias("what"))
+
+
+@query("""
+SELECT p_partkey::VARCHAR AS bundle, 'src:urn:p#P' AS entity_id, 1 AS pos, 'size' AS name, 'integer' AS type, false AS required, 0 AS card_min, '1' AS card_max FROM part
+UNION ALL SELECT p_partkey::VARCHAR, 'src:urn:p#P', 2, 'next', 'src:urn:p#P', true, 1, '*' FROM part""")
+def xsd_fields(spark, sf_dir):
+    out = schema_ir.xsd_ir(_xsd_files(spark, sf_dir))["fields"]
+    return out.select("bundle", "entity_id", "pos", "name", F.coalesce("type_ref", "type_prim").alias("type"), "required", "card_min", F.coalesce(F.col("card_max").cast("string"), F.lit("*")).alias("card_max"))
+
+
 # --- entity tables
 
 _IR = _with(views.STAR_IR)

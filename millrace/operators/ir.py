@@ -43,6 +43,7 @@ def entity_edges(fields: DataFrame, relations: DataFrame | None = None) -> DataF
     out = fields.filter("type_ref IS NOT NULL").select("bundle", F.col("entity_id").alias("src"), F.col("type_ref").alias("dst"), F.lit("field").alias("role"), "pos")
     if relations is None:
         return out
+    relations = relations.filter("is_ref") if "is_ref" in relations.columns else relations
     return out.unionByName(relations.filter("target IS NOT NULL").select("bundle", F.col("entity_id").alias("src"), F.col("target").alias("dst"), "role", "pos"))
 
 
