@@ -271,7 +271,7 @@ def chunk_documents(
     min_chars: int = 900,
     target: int | None = None,
 ) -> DataFrame:
-    """The whole job: ``doc_id, section, piece, level, header_path, is_subchunk, text``."""
+    """The whole job: ``doc_id, section, piece, level, header_path, is_subchunk, text, h1..h6``."""
     check_parameters(max_header_level, max_chars, piece, overlap, prefix, min_chars, target)
     if max_header_level:
         leveled = docs.select("doc_id", F.lit(max_header_level).alias("level"), "text")
@@ -282,11 +282,14 @@ def chunk_documents(
     over = F.length("content") > max_chars
     sections = sections.withColumn("block", F.when(over, block)).withColumn("remainder", F.when(over & (F.trim(rest) != ""), rest))
     head = F.when(F.lit(with_path) & (F.col("header_path") != ""), F.concat(F.lit(prefix), "header_path", F.lit("\n\n"))).otherwise("")
-    whole = sections.filter("remainder IS NULL").select("doc_id", "section", F.lit(0).alias("piece"), "level", "header_path", F.lit(False).alias("is_subchunk"), F.concat(head, "content").alias("text"))
-    cut = split_oversize(sections.filter("remainder IS NOT NULL"), piece, overlap, separators).select("*", F.posexplode("pieces").alias("piece", "body"))
-    parts = F.array(F.rtrim(F.regexp_replace(head, r"\s+$", "")), F.col("block"), F.trim("body"))
-    text = F.concat(F.array_join(F.filter(parts, lambda p: p != ""), "\n\n"), F.lit("\n"))
-    return whole.unionByName(cut.select("doc_id", "section", "piece", "level", "header_path", F.lit(True).alias("is_subchunk"), text.alias("text")))
+    # one pass: a section that fits is its own only piece
+    cut = split_oversize(sections, piece, overlap, separators)
+    bodies = F.when(F.col("remainder").isNull(), F.array("content")).otherwise(F.col("pieces"))
+    rows = cut.select("doc_id", "section", "level", "headers", "header_path", head.alias("head"), "block", F.col("remainder").isNotNull().alias("is_subchunk"), F.posexplode_outer(bodies).alias("piece", "body"))
+    parts = F.array(F.rtrim(F.regexp_replace("head", r"\s+$", "")), F.col("block"), F.trim("body"))
+    text = F.when(F.col("is_subchunk"), F.concat(F.array_join(F.filter(parts, lambda p: p != ""), "\n\n"), F.lit("\n"))).otherwise(F.concat("head", "body"))
+    stack = [F.get("headers", F.lit(k)).alias(f"h{k + 1}") for k in range(6)]
+    return rows.filter("body IS NOT NULL").select("doc_id", "section", "piece", "level", "header_path", "is_subchunk", text.alias("text"), *stack)
 
 
 HEADERS_SQL = r"""

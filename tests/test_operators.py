@@ -142,7 +142,7 @@ def test_labels(spark):
 def test_inline_marks(spark):
     edges = spark.createDataFrame([("a", "b", "field"), ("b", "a", "extends"), ("a", "gone", "choice"), ("b", "c", "field"), ("c", "d", "field")], "src string, dst string, role string")
     known = spark.createDataFrame([(x,) for x in "abcd"], "entity_id string")
-    got = {tuple(r.path): r.status for r in graph.inline_entities(edges, known, spark.createDataFrame([("a",)], "entity_id string"), 3).collect()}
+    got = {tuple(r.path): r.status for r in graph.inline_entities(edges, known, spark.createDataFrame([("a",)], "entity_id string"), 2).collect()}
     assert got == {("a",): "ok", ("a", "b"): "ok", ("a", "b", "a"): "cycle", ("a", "gone"): "missing", ("a", "b", "c"): "ok", ("a", "b", "c", "d"): "depth_cutoff"}
 
 
