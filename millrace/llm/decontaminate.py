@@ -4,10 +4,11 @@ Windows are ``window`` consecutive item words (one shorter window for a shorter
 document exactly if all its word shingles do, in place, so one shingle of each window is a sufficient prefix:
 
 1. One pass over the corpus keeps the positions of shingles that some window has (an inverted list restricted
-   to the benchmark's vocabulary) and so gives exact corpus counts.
+   to the benchmark's vocabulary) and so gives exact corpus counts; a mark of its own brings every document's word count.
 2. Each window's shingles are ordered by that rarity; its rarest one is joined with the lists.
 3. Length and position bounds drop windows that would start before or end after the document.
-4. The remaining (document, start, window) candidates are compared word by word with the document.
+4. The remaining (document, start, window) candidates are compared word by word with the document. Only texts of
+   documents with candidates are read for that; all others travel as a key and a count.
 
 Defined cases: null or wordless texts have no words and are clean; an item without words has no window; repeated
 documents give repeated rows; repeated items share windows and are all reported; null item_ids are not reported
@@ -25,8 +26,13 @@ from millrace.llm._common import hinted, materialise, text_key
 
 WINDOW = 10
 SHINGLE = 5
-#: Rows of the benchmark's shingle tables up to which they are broadcast (about 16 bytes a row); shuffled beyond.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which tables of hashes and counts are broadcast (8 to 24 bytes a row); shuffled beyond.
+BROADCAST_ROWS = 2_000_000
+#: Rows of windows with their words and items up to which they are broadcast, if their bytes stay below the next bound.
+BROADCAST_WINDOWS = 200_000
+BROADCAST_BYTES = 64 << 20
+#: Stands for the end of a document in its list of shingles.
+MARK = 0
 #: Everything that is not a word character, after A-Z have become a-z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -93,7 +99,10 @@ def contamination(
     window: int = WINDOW,
     keep: bool = False,
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, n_items, items, contaminated`` (``keep``: beside its columns)."""
+    """One row per document: ``doc_id, n_words, n_hit, n_items, items, contaminated``.
+
+    With ``keep``: ``_row`` (all its columns), ``n_words`` (null where nothing hit), ``n_hit, contaminated``.
+    """
     spark = docs.sparkSession
     wins = materialise(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
     sizes = sorted((r.k for r in wins.select("k").distinct().collect()), reverse=True) or [SHINGLE]
@@ -102,15 +111,20 @@ def contamination(
     size, pos = _position(sizes)
     shingles = parts.select("wtext", "w_len", "items", "k", "_n", F.posexplode("_sh").alias("_i", "h")).select("wtext", "w_len", "items", "k", "h", size.alias("size"), pos.alias("off")).filter("size = k").drop("size", "k")
     shingles = materialise(shingles, "shingles")
-    vocabulary = shingles.select("h").distinct()
+    # one more "shingle" in every document's list brings its word count
+    vocabulary = materialise(shingles.select("h").unionByName(spark.range(1).select(F.lit(MARK).cast("long").alias("h"))).distinct(), "vocabulary")
     n_vocabulary = vocabulary.count()
 
     base = docs.select(F.col(doc_col).alias("_doc"), text_key(text_col).alias("_tk"), word_array(F.col(text_col)).alias("_w"))
     # the outer form: for the inner one Catalyst infers a filter on the array's size and computes the array twice
-    exploded = with_shingles(base, "_w", sizes).select("_doc", "_tk", "_n", F.posexplode_outer("_sh").alias("_i", "h"))
-    lists = exploded.join(hinted(vocabulary, n_vocabulary, BROADCAST_ROWS), "h", "left_semi")
+    exploded = with_shingles(base, "_w", sizes).withColumn("_sh", F.concat("_sh", F.array(F.lit(MARK).cast("long")))).select("_doc", "_tk", "_n", F.posexplode_outer("_sh").alias("_i", "h"))
     size, pos = _position(sizes)
-    lists = materialise(lists.select("_doc", "_tk", "_n", "h", pos.alias("pos")), "lists")
+    last = F.lit(0).cast("long")
+    for k in sizes:
+        last = last + F.greatest(F.col("_n") - (k - 1), F.lit(0))
+    known = exploded.join(hinted(vocabulary, n_vocabulary, BROADCAST_ROWS), "h", "left_semi")
+    listed = materialise(known.select("_doc", "_tk", "_n", "h", pos.alias("pos"), (F.col("_i") == last).alias("end")), "lists")
+    lists = listed.filter("NOT end").drop("end")
 
     rarity = lists.groupBy("h").agg(F.count(F.lit(1)).alias("seen"))
     prefix = shingles.join(hinted(rarity, n_vocabulary, BROADCAST_ROWS), "h")
@@ -119,33 +133,50 @@ def contamination(
         F.min(F.struct("seen", "off", "h")).alias("p"), F.count(F.lit(1)).alias("found"), F.first("w_len").alias("w_len"), F.first("items").alias("items"),
         F.first(F.size(F.split("wtext", " "))).alias("words"),
     ).filter(F.col("found") == F.col("words") - F.least("words", F.lit(SHINGLE)) + 1)
-    prefix = prefix.select("wtext", "w_len", "items", F.col("p.h").alias("h"), F.col("p.off").alias("off"))
-    n_windows = wins.count()
-    cands = lists.join(hinted(prefix, n_windows * 8, BROADCAST_ROWS), "h").withColumn("start", F.col("pos") - F.col("off"))
+    prefix = materialise(prefix.select("wtext", "w_len", "items", F.col("p.h").alias("h"), F.col("p.off").alias("off")), "prefix")
+    sizes_of = prefix.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("wtext") + 16 * F.size("items")).alias("bytes")).first()
+    small = (sizes_of.bytes or 0) <= BROADCAST_BYTES
+    cands = lists.join(hinted(prefix, sizes_of.n, BROADCAST_WINDOWS if small else -1), "h").withColumn("start", F.col("pos") - F.col("off"))
     cands = cands.filter("start >= 0 and start + w_len <= _n")
-    cands = cands.groupBy("_doc", "_tk").agg(F.collect_set(F.struct("start", "w_len", "wtext", "items")).alias("_c"))
+    cands = materialise(cands.groupBy("_doc", "_tk").agg(F.collect_set(F.struct("start", "w_len", "wtext", "items")).alias("_c")), "candidates")
 
-    work = docs.select(*([F.struct(*[F.col(c) for c in docs.columns]).alias("_row")] if keep else []), F.col(doc_col).alias("_d"), F.col(text_col).alias("_t"), text_key(text_col).alias("_k"))
-    joined = work.join(cands, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_tk")), "left").withColumn("_w", word_array(F.col("_t")))
+    n_cands = cands.count()
+    asked = cands.select(F.col("_doc").alias("_ad"), F.col("_tk").alias("_ak"))
+    work = docs.select(F.col(doc_col).alias("_d"), F.col(text_col).alias("_t"), text_key(text_col).alias("_k"))
+    work = work.join(hinted(asked, n_cands, BROADCAST_ROWS), F.col("_d").eqNullSafe(F.col("_ad")) & (F.col("_k") == F.col("_ak")), "left_semi").dropDuplicates(["_d", "_k"])
+    joined = work.join(cands, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_tk"))).withColumn("_w", word_array(F.col("_t")))
     same = lambda c: F.array_join(F.slice("_w", c["start"] + 1, c["w_len"]), " ") == c["wtext"]
-    joined = joined.withColumn("n_words", F.size("_w").cast("long")).withColumn("_v", F.when(F.col("_c").isNotNull(), F.array_sort(F.filter("_c", same))))
+    joined = joined.withColumn("_v", F.array_sort(F.filter("_c", same)))
 
     def cover(acc, c):
         end = c["start"] + c["w_len"]
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["hit"] + F.greatest(end - F.greatest(acc["end"], c["start"]), F.lit(0))).cast("long").alias("hit"))
 
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
-    hit = F.coalesce(F.aggregate("_v", zero, cover, lambda a: a["hit"]), F.lit(0).cast("long"))
-    items = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("_v", lambda c: c["items"])))), F.array().cast("array<string>"))
-    out = joined.withColumn("n_hit", hit).withColumn("items", items)
-    lead = [F.col("_row")] if keep else [F.col("_d").alias("doc_id")]
-    return out.select(*lead, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    hit = F.aggregate("_v", zero, cover, lambda a: a["hit"])
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("_v", lambda c: c["items"]))))
+    # the words are used twice, else Catalyst would move their expression into the filter and split a text for every candidate
+    joined = joined.withColumn("_words", F.size("_w").cast("long"))
+    hits = materialise(joined.select(F.col("_d").alias("_hd"), F.col("_k").alias("_hk"), "_words", hit.alias("n_hit"), items.alias("items")).filter("n_hit > 0"), "hits")
+    same_doc = lambda d, k: F.col(d).eqNullSafe(F.col("_hd")) & (F.col(k) == F.col("_hk"))
+    counts = listed.filter("end").select("_doc", "_tk", F.col("_n").alias("n_words"))
+    if keep:
+        row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(doc_col).alias("_doc"), text_key(text_col).alias("_tk"))
+        found = hits.select("_hd", "_hk", "n_hit", F.col("_words").alias("n_words"))
+        out = row.join(hinted(found, n_cands, BROADCAST_ROWS), same_doc("_doc", "_tk"), "left")
+        return out.select("_row", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.col("n_hit").isNotNull().alias("contaminated"))
+    out = counts.join(hits.drop("_words"), same_doc("_doc", "_tk"), "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        F.col("_doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.0, min_hit: int = 1) -> DataFrame:
     """Documents without benchmark windows (or below both limits), with all their columns."""
     scored = contamination(docs, benchmark, keep=True)
-    bad = (F.col("n_hit") >= min_hit) & (F.col("n_hit") > max_hit_share * F.col("n_words"))
+    bad = (F.col("n_hit") >= min_hit) & (F.col("n_hit") > max_hit_share * F.coalesce("n_words", F.lit(0)))
     return scored.filter(~bad).select("_row.*")
 
 
