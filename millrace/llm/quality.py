@@ -5,8 +5,8 @@ bars; repetition of words and lines; lengths), fitted on a bounded sample of lab
 probability p of being good.
 
 Sites: p is summed per host and per path below it by grouped aggregation. Host rates are drawn from a Beta whose
-mean and strength come from the spread of the hosts (method of moments); a path's prior is its host's posterior. So a
-sparse path falls back to its host and a sparse host to the global mean. A document's own odds are multiplied by the
+mean and strength come from the spread of the hosts (method of moments); a path's prior is its host's posterior, with a
+strength that comes in the same way from the spread of paths around their hosts. So a sparse path falls back to its host and a sparse host to the global mean. A document's own odds are multiplied by the
 odds of its path's posterior rate over those of the global mean, an influence bounded by ``max_shift``.
 
 Defined cases: null texts count as empty; empty and wordless texts have p near 0 as their features say; a null host
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import discard, held_out, hinted, materialise, table, worker_memory
+from millrace.llm._common import held_out, hinted, materialise, table, worker_memory
 from millrace.llm._linear import fit_logistic, predict_logistic
 
 #: The most labelled rows the model is fitted on, the first by a hash of doc_id.
@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: in
         for f in frames:
             yield pd.DataFrame({"y": f["y"], "x": list(_features(f["text"]))})
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).limit(2 * rows).select("y", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"]).select("y", "text")
     got = sample.mapInPandas(run, "y int, x array<double>").toPandas()
     if got["y"].nunique() < 2:
         return None
@@ -96,22 +96,30 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     """
     paths = materialise(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum(F.pow(F.col("hs") / F.col("hn"), 2) * F.col("hn")).alias("q"), F.count(F.lit(1)).alias("k"), F.sum(F.col("hn") * F.col("hn")).alias("n2")).first()
+    total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum(F.pow(F.col("hs") / F.col("hn"), 2) * F.col("hn")).alias("q"), F.count(F.lit(1)).alias("k")).first()
     n = total.n or 0
     mean = min(0.999, max(0.001, total.s / n)) if n else 0.5
-    # variance of host rates beyond what counting alone gives, then the Beta's strength
-    spread = max(0.0, total.q / n - mean * mean) if n else 0.0
-    beyond = max(1e-6, spread - mean * (1 - mean) * (total.k or 0) / n) if n else 1e-6
-    strength = min(1e5, max(2.0, mean * (1 - mean) / beyond - 1))
+
+    def strength_of(spread: float, groups: int) -> float:
+        """The Beta's strength from a variance of rates, less what counting alone gives."""
+        beyond = max(1e-6, spread - mean * (1 - mean) * groups / n) if n else 1e-6
+        return min(1e5, max(2.0, mean * (1 - mean) / beyond - 1))
+
+    strength = strength_of(max(0.0, total.q / n - mean * mean) if n else 0.0, total.k or 0)
     hosts = hosts.withColumn("host_rate", (F.col("hs") + strength * mean) / (F.col("hn") + strength)).select(F.col("host").alias("_h"), "host_rate")
-    out = paths.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).withColumn("rate", (F.col("s") + strength * F.col("host_rate")) / (F.col("n") + strength))
+    out = paths.join(hosts, F.col("host").eqNullSafe(F.col("_h")))
+    around = out.agg(F.sum(F.pow(F.col("s") / F.col("n") - F.col("host_rate"), 2) * F.col("n")).alias("q"), F.count(F.lit(1)).alias("k")).first()
+    below = strength_of((around.q or 0.0) / n if n else 0.0, around.k or 0)
+    out = out.withColumn("rate", (F.col("s") + below * F.col("host_rate")) / (F.col("n") + below))
     rate = F.least(F.greatest("rate", F.lit(0.001)), F.lit(0.999))
     return out.select("host", "path", (F.log(rate / (1 - rate)) - float(np.log(mean / (1 - mean)))).alias("shift"))
 
 
-def score(docs: DataFrame, weights: np.ndarray | None, host: str = "source", path: str = "lang", max_shift: float = 1.0) -> DataFrame:
-    """``docs`` with all columns in ``_row`` and ``p, posterior``."""
-    with_p = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), document_evidence(F.col("text"), weights).alias("p"))
+def score(docs: DataFrame, weights: np.ndarray | None, host: str = "source", path: str = "lang", max_shift: float = 1.0, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` with all columns (or those asked for) in ``_row`` and ``p, posterior``; texts are measured once."""
+    row = F.struct(*[F.col(c) for c in columns or docs.columns]).alias("_row")
+    with_p = docs.select(row, F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), document_evidence(F.col("text"), weights).alias("p"))
+    with_p = materialise(with_p, "evidence")
     sites = materialise(site_posteriors(with_p.select(F.col("_host").alias("host"), F.col("_path").alias("path"), "p")), "shifts")
     joined = with_p.join(hinted(sites, sites.count(), BROADCAST_SITES), F.col("_host").eqNullSafe(F.col("host")) & F.col("_path").eqNullSafe(F.col("path")), "left")
     shift = F.least(F.greatest(F.coalesce("shift", F.lit(0.0)), F.lit(-max_shift)), F.lit(max_shift))
@@ -126,5 +134,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, at_least: float = KEEP) -> Dat
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), columns=["doc_id"])
     return scored.select("_row.doc_id", F.round("p", 6).alias("p"), F.round("posterior", 6).alias("posterior"), (F.col("posterior") >= KEEP).alias("keep"))
