@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that ``written`` made and nobody discarded.
+_WRITTEN: set[str] = set()
 #: Where spark.checkpoint.dir is unset on one machine: a temporary folder for each application.
 _LOCAL: dict[str, str] = {}
 
@@ -30,14 +32,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _WRITTEN.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes tables that ``written`` made, once nothing will read them any more."""
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def tables_so_far() -> frozenset[str]:
+    return frozenset(_WRITTEN)
+
+
+def discard_since(spark: SparkSession, earlier: frozenset[str]) -> None:
+    """Deletes the tables made since ``tables_so_far`` gave ``earlier``: for a job whose steps are each written elsewhere."""
+    for path in _WRITTEN - earlier:
+        _delete(spark, path)
