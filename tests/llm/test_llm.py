@@ -514,3 +514,52 @@ def test_pipeline_stages(spark):
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and before > 0
     total = docs.agg(F.max(F.col("start") + F.col("n_tokens")).alias("a"), F.sum("n_tokens").alias("b")).first()
     assert total.a == total.b
+
+
+def test_pipeline_on_odd_documents(spark):
+    import corpus_pipeline
+
+    for docs in (odd_docs(spark), odd_docs(spark).limit(0)):
+        every = {tuple(r) for r in docs.collect()}
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            if k < 4:
+                assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= every
+                # a stage that drops everything shouldn't keep the next ones from their cases
+                path = scratch(spark, "odd")
+                (out if k == 1 or not every else docs).write.parquet(path)
+                docs = spark.read.parquet(path)
+            else:
+                assert out.count() == docs.count()
+
+
+def test_quality_posteriors_by_hand(spark):
+    rows = [("a", "x", 0.9)] * 8 + [("a", "y", 0.2)] * 2 + [("b", "x", 0.4)] * 5 + [(None, None, 0.5)]
+    got = {(r.host, r.path): r["shift"] for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
+    paths, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for h, x, p in rows:
+        paths[h, x].append(p)
+        hosts[h].append(p)
+    n, mean = len(rows), sum(p for *_, p in rows) / len(rows)
+
+    def strength(spread, groups):
+        return min(1e5, max(2.0, mean * (1 - mean) / max(1e-6, spread - mean * (1 - mean) * groups / n) - 1))
+
+    s1 = strength(sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in hosts.values()) / n, len(hosts))
+    rate = {h: (sum(v) + s1 * mean) / (len(v) + s1) for h, v in hosts.items()}
+    s2 = strength(sum(len(v) * (sum(v) / len(v) - rate[h]) ** 2 for (h, _), v in paths.items()) / n, len(paths))
+    odds = lambda p: np.log(p / (1 - p))
+    for (h, x), v in paths.items():
+        assert abs(got[h, x] - (odds((sum(v) + s2 * rate[h]) / (len(v) + s2)) - odds(mean))) < 1e-9
+
+
+def test_topics_are_not_languages():
+    rng = random.Random(2)
+    themes = [[f"{t}{i}" for i in range(40)] for t in ("star", "ship", "bread")]
+    common = {lang: [f"{lang}word{i}" for i in range(20)] for lang in ("xx", "yy")}
+    rows = [(lang, k, " ".join(rng.choices(theme, k=40) + rng.choices(common[lang], k=30))) for lang in common for k, theme in enumerate(themes) for _ in range(15)]
+    topics = mixing.Topics([r[0] for r in rows], np.stack([mixing.term_vector(r[2]) for r in rows]), 3)
+    found = collections.defaultdict(set)
+    for lang, k, text in rows:
+        found[k].add(topics.nearest(text, lang))
+    assert all(len(v) == 1 for v in found.values()) and len(set.union(*found.values())) == 3
