@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,23 +46,30 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{digest}')}>"
+
+
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload."""
-    body = b"" if refers_to is not None else payload
+    """One WARC/1.1 record around an HTTP answer; a revisit has the answer's head, no payload."""
+    http = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}", "", ""]).encode()
+    body = http + (b"" if refers_to is not None else payload)
     kind = "response" if refers_to is None else "revisit"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}')}>"]
-    head += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {(url or '').replace(chr(13), '').replace(chr(10), '')}", f"WARC-Payload-Digest: sha256:{digest}"]
-    head += [f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {size}", "Content-Type: text/html; charset=utf-8"]
+    own = record_id(page_id, digest) if refers_to is None else f"<urn:uuid:{uuid.uuid4()}>"
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {time.strftime('%Y-%m-%dT%H:%M:%SZ', time.gmtime())}"]
+    head += [f"WARC-Target-URI: {(url or '').replace(chr(13), '').replace(chr(10), '')}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head += [f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     head += [f"Content-Length: {len(body)}", "", ""]
     return CRLF.join(head).encode() + body + b"\r\n\r\n"
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """The record's header fields and the payload behind the HTTP head of its block."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split(CRLF)[1:] if ": " in x)
-    return fields, rest[: int(fields["Content-Length"])]
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def with_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -69,7 +77,9 @@ def with_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
     html = F.coalesce("html", F.lit(""))
     base = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
     repeats = base.filter(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    joined = base.join(repeats, "payload_digest", "left")
+    # payloads too small to be revisits, such as the many empty ones, get keys of their own that meet nothing
+    base = base.withColumn("_key", F.when(F.col("payload_bytes") >= min_revisit, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))))
+    joined = base.join(repeats.withColumnRenamed("payload_digest", "_key"), "_key", "left").drop("_key")
     return joined.withColumn("refers_to", F.when(~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first"))).drop("_first")
 
 
