@@ -169,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int
     picked = usable.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     some = docs.select("doc_id").join(known.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
     picked = picked.unionByName(some.select(F.col("doc_id").alias("_id"), F.lit(None).cast("int").alias("y")))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("y", "text")
-    sample = materialise(sample.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "sample")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"]).select("y", "text")
+    sample = materialise(sample, "sample")
     names = mine_voters(sample)
     if not names:
         return {"names": [], "weights": None, "prior": 0.1}
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int
             votes, lens = voters.matrix(f["text"].tolist())
             yield pd.DataFrame({"y": f["y"].astype("float64"), "n": lens, "v": [np.flatnonzero(r).tolist() for r in votes]})
 
-    got = sample.limit(2 * (rows + unlabelled)).mapInPandas(cast, "y double, n double, v array<int>").toPandas()
+    got = sample.mapInPandas(cast, "y double, n double, v array<int>").toPandas()
     votes = np.zeros((len(got), len(names)), np.float32)
     for r, v in enumerate(got["v"]):
         votes[r, np.asarray(v, int)] = 1
