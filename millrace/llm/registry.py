@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bsi_topk, decontaminate, mixing, pii_surrogates, probminhash, quality, rendezvous, token_store, toxicity, warc
+from millrace.llm import bsi_topk, conversations, decontaminate, line_dedup, mixing, pii_surrogates, probminhash, quality, rendezvous, spelling, token_store, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_toxicity": toxicity.op1,
@@ -19,9 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": token_store.op8,
     "op9_pii_surrogates": pii_surrogates.op9,
     "op10_decontaminate": decontaminate.op10,
+    "op11_spelling_variants": spelling.op11,
+    "op12_conversation_repair": conversations.op12,
+    "op13_line_dedup": line_dedup.op13,
 }
 SQL: dict[str, str] = {
     "op2_bit_sliced_topk": bsi_topk.OP2_SQL,
     "op3_warc_index": warc.OP3_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op13_line_dedup": line_dedup.OP13_SQL,
 }
