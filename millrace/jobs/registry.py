@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.lineage import shared
-from millrace.operators import chunking, classes, convert, detect, docs, graph, ir, labels, outline, ranking, schema_ir, schemas, trees
+from millrace.operators import chunking, classes, convert, detect, docs, glossary, graph, ir, labels, outline, ranking, schema_ir, schemas, trees
 from millrace.sources import files, views
 from millrace.streaming.convert import stream_convert_and_chunk
 
@@ -691,14 +691,17 @@ def field_fact_docs(spark, sf_dir):
     return docs.field_fact_docs(fields, entities, constraints).drop("name", "path")
 
 
-@query(_IR + "SELECT bundle, lower(name) AS name_key, entity_id, '- ' || name || ' (' || kind || ') id=' || entity_id || coalesce(' — ' || description, '') AS line FROM entities")
+_LINES = "SELECT bundle, lower(name) AS name_key, entity_id, '- ' || name || ' (' || kind || ') id=' || entity_id || coalesce(' — ' || description, '') AS line FROM entities"
+
+
+@query(_IR + _LINES)
 def glossary_lines(spark, sf_dir):
-    return docs.glossary_lines(views.star_ir(spark, sf_dir)[0])
+    return glossary.glossary_lines(views.star_ir(spark, sf_dir)[0])
 
 
-@query()
+@query(f"WITH RECURSIVE {views.STAR_IR.strip()}, lines AS ({_LINES}), {glossary.GLOSSARY_SQL}")
 def glossary_docs(spark, sf_dir):
-    return docs.glossary_docs(views.star_ir(spark, sf_dir)[0])
+    return glossary.glossary_docs(views.star_ir(spark, sf_dir)[0])
 
 
 @query(

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.glossary import glossary_docs
 from millrace.operators.ir import KEYS, cardinality_text, display_name, entity_edges, entity_refs, safe_id, type_text
 
 # fixed values: limits of a document
-MAX_FIELDS, MAX_CHARS, GLOSSARY_CHARS, DESCRIPTION, INLINE_LINES, ENUM_VALUES = 30, 8000, 8000, 120, 1200, 20
-#: Entries of a glossary that are packed by one task: a larger bundle is cut into ranges of names.
-GLOSSARY_RANGE = 5000
+MAX_FIELDS, MAX_CHARS, INLINE_LINES, ENUM_VALUES = 30, 8000, 1200, 20
 
 
 def _lines(*parts: Column) -> Column:
@@ -160,47 +159,6 @@ def field_fact_docs(fields: DataFrame, entities: DataFrame, constraints: DataFra
     return rows.select(*KEYS, F.lit("field_fact").alias("type"), F.col("pos").alias("part"), text.alias("text"), "name", F.concat("shown", F.lit("."), "name").alias("path"))
 
 
-def glossary_lines(entities: DataFrame) -> DataFrame:
-    """``bundle, name_key, entity_id, line``."""
-    name, text = display_name(F.col("name"), F.col("entity_id")), F.trim("description")
-    short = F.when(F.length(text) > DESCRIPTION, F.concat(F.substring(text, 1, DESCRIPTION), F.lit("…"))).otherwise(text)
-    tail = F.when(short != "", F.concat(F.lit(" — "), short)).otherwise("")
-    return entities.select("bundle", F.lower(name).alias("name_key"), "entity_id", F.concat(F.lit("- "), name, F.lit(" ("), "kind", F.lit(") id="), "entity_id", F.coalesce(tail, F.lit(""))).alias("line"))
-
-
-def glossary_docs(entities: DataFrame, max_chars: int = GLOSSARY_CHARS, in_range: int = GLOSSARY_RANGE) -> DataFrame:
-    """Pages of a bundle's entities by name, packed to a character budget.
-
-    The budget is a sequential fold; ranges of names (by rank, so of bounded size) are folded apart, each range
-    starting a page of its own. A range holds ``in_range`` entries whatever the bundle's size.
-    """
-    rows = glossary_lines(entities)
-    # ranks without one task per bundle: counts by a prefix of the name, then ranks inside a prefix
-    head = F.substring("name_key", 1, 10)
-    rows = rows.withColumn("_p", head)
-    sizes = rows.groupBy("bundle", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("bundle").orderBy("_p")) - F.col("_n")).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("bundle", "_p").orderBy("name_key", "entity_id"))
-    rows = rows.withColumn("_i", inside).join(sizes, ["bundle", "_p"]).withColumn("rank", F.col("_before") + F.col("_i") - 1)
-    groups = rows.groupBy("bundle", F.floor(F.col("rank") / in_range).cast("int").alias("range")).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
-    title = F.length(F.concat(F.lit("# Glossary\nBundle: "), "bundle")) + 1
-    zero = F.struct(F.lit(1).alias("page"), F.lit(0).alias("count"), title.alias("chars"), F.array().cast("array<int>").alias("pages"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = F.length(x["line"]) + 1
-        full = (acc["count"] > 1) & (acc["chars"] + n > max_chars)
-        page = acc["page"] + full.cast("int")
-        start = title + F.length(F.lit(" (cont.)"))
-        return F.struct(page.alias("page"), (F.when(full, 0).otherwise(acc["count"]) + 1).alias("count"), (F.when(full, start).otherwise(acc["chars"]) + n).alias("chars"), F.concat(acc["pages"], F.array(page)).alias("pages"))
-
-    folded = groups.withColumn("a", F.aggregate("l", zero, step)["pages"])
-    flat = folded.select("bundle", "range", F.explode_outer(F.arrays_zip("l", F.col("a").alias("p"))).alias("z")).select("bundle", "range", F.col("z.l.rank").alias("rank"), F.col("z.l.line").alias("line"), F.col("z.p").alias("page"))
-    pages = flat.groupBy("bundle", "range", "page").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
-    top = F.when((F.col("range") == 0) & (F.col("page") == 1), "# Glossary").otherwise("# Glossary (cont.)")
-    pages = pages.withColumn("number", F.row_number().over(Window.partitionBy("bundle").orderBy("range", "page"))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("bundle")))
-    return pages.select("bundle", "range", "page", "number", "total", _lines(top, F.concat(F.lit("Bundle: "), "bundle"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
-
-
 def entity_inline_docs(inlined: DataFrame, entities: DataFrame, fields: DataFrame, most: int = INLINE_LINES) -> DataFrame:
     """``root, text``: the expanded tree of each root as an outline of at most ``most`` lines.
 
