@@ -73,6 +73,24 @@ def route_rejects(spark, sf_dir):
     return detect.route_rejects(rows).groupBy("status", F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Texts whose kind hangs on a detail, and their kinds; a number is put in for %.
+_KIND_TEXTS = (
+    ("# Notes %\n\n<xs:schema xmlns:xs=\"http://www.w3.org/2001/XMLSchema\">\n", "none"), ("title: x %\nbody: <xs:schema xmlns:xs=\"http://www.w3.org/2001/XMLSchema\">\n", "yaml_instance"),
+    ("{\"a\":\"<schema xmlns='http://www.w3.org/2001/XMLSchema'> %\"}", "json_instance"), ("<?xml version=\"1.0\"?>\n<!-- <a> % -->\n<xs:schema xmlns:xs=\"http://www.w3.org/2001/XMLSchema\"/>", "xsd_schema"),
+    ("<page n=\"%\"><schema xmlns=\"http://www.w3.org/2001/XMLSchema\"/></page>", "xml_instance"), ("<schema note=\"a > %\" xmlns=\"http://www.w3.org/2001/XMLSchema\"></schema>", "xsd_schema"),
+    ("<?xml version=\"1.0\"?><xs:schema xmlns:xsd=\"http://www.w3.org/2001/XMLSchema\" n=\"%\"/>", "xml_instance"), ("{\"a\":1,\"a\":%}", "json_instance"), ("{\"$schema\":1,\"$schema\":%}", "json_schema"),
+    ("class M(BaseModel):\n    n: int = %\n", "pydantic_model"), ("@dataclass\nclass M:\n    n: int = %\n", "dataclass_model"), ("{\"type\":\"array\",\"items\":%}", "json_schema"),
+)
+
+
+@query(f"SELECT p_partkey, list_extract({[k for _, k in _KIND_TEXTS]}, (p_partkey % {len(_KIND_TEXTS)})::INT + 1) AS kind FROM part")
+def detect_kind_details(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part").select("p_partkey")
+    template = F.element_at(F.array(*[F.lit(t) for t, _ in _KIND_TEXTS]), (F.col("p_partkey") % len(_KIND_TEXTS)).cast("int") + 1)
+    rows = detect.detect_kind(part.withColumn("text", F.replace(template, F.lit("%"), F.col("p_partkey").cast("string"))))
+    return rows.select("p_partkey", F.coalesce("kind", F.lit("none")).alias("kind"))
+
+
 # --- outlines
 
 _SECTIONS = _with(views.ORDER_JSON, outline.JSON_OUTLINE_SQL)
@@ -113,8 +131,8 @@ def _part_schema(spark, sf_dir) -> DataFrame:
 
 @query("""
 SELECT p_partkey AS doc_id, 0 AS pos, 'brand' AS name, 'string' AS type, 'maxLength=12' AS constraints, true AS required, p_brand || ', a, b, ... (total: 4)' AS enums, 1 AS card_min, '1' AS card_max FROM part
-UNION ALL SELECT p_partkey, 1, 'kind', 'const', '', false, '', 0, '1' FROM part
-UNION ALL SELECT p_partkey, 2, 'size', 'integer | null', 'minimum=1; maximum=' || p_size, true, '', 1, '1' FROM part
+UNION ALL SELECT p_partkey, 2, 'kind', 'const', '', false, '', 0, '1' FROM part
+UNION ALL SELECT p_partkey, 1, 'size', 'integer | null', 'minimum=1; maximum=' || p_size, true, '', 1, '1' FROM part
 UNION ALL SELECT p_partkey, 3, 'tags', 'array', '', false, '', 0, '*' FROM part""")
 def json_schema_fields(spark, sf_dir):
     return outline.schema_fields(_part_schema(spark, sf_dir))
@@ -461,7 +479,7 @@ def json_schema_entities(spark, sf_dir):
 @query(
     _PART_IDS
     + """SELECT bundle, e AS entity_id, pos::INT AS pos, n AS name, e || '.' || n AS type_ref, r AS required, r::INT AS card_min, 1 AS card_max, 'schemas/part.json :: properties.' || n AS locator
-    FROM p, (VALUES (0, 'brand', true), (1, 'kind', false), (2, 'size', true), (3, 'tags', false)) t(pos, n, r)"""
+    FROM p, (VALUES (0, 'brand', true), (2, 'kind', false), (1, 'size', true), (3, 'tags', false)) t(pos, n, r)"""
 )
 def json_schema_field_rows(spark, sf_dir):
     out = schema_ir.json_schema_ir(_schema_files(spark, sf_dir))["fields"]

@@ -1,8 +1,7 @@
 """Documents as outlines: a JSON tree becomes section rows, section rows become markdown.
 
-The walk goes level by level with variant_explode: a text is parsed once, each level is written once and the next one
-starts from it, until one is empty. Only sampled list elements are exploded and nothing is shuffled before the sections
-of a document are put together.
+A text is parsed once into nodes in the order of its sections (json_tree); types and examples are column expressions.
+Nothing is shuffled before the sections of a document are put together.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.lineage import discard, written
+from millrace.operators.json_tree import json_nodes, property_rows
 
 # fixed values: what counts as a date, a number in text, and cuts
 DATE = r"^(\d{4}|\d{2})[-/](0[1-9]|1[0-2])[-/](0[1-9]|[12]\d|3[01])$"
@@ -22,14 +22,10 @@ EXAMPLE = 100
 ENUMS = 20
 
 
-def value_type(v: Column) -> Column:
-    """object, list, integer, float, date or string of a variant; booleans and null count as strings."""
-    kind = F.schema_of_variant(v)
-    text = F.trim(F.try_variant_get(v, "$", "string"))
-    return (
-        F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "list").when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT)$"), "integer")
-        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float").when((kind == "STRING") & text.rlike(DATE), "date").otherwise("string")
-    )
+def value_type(kind: Column, text: Column) -> Column:
+    """object, list, integer, float, date or string of a JSON node; booleans and null count as strings."""
+    named = F.when(kind == "array", "list").when(kind.isin("object", "integer", "float"), kind)
+    return F.coalesce(named, F.when((kind == "string") & F.trim(text).rlike(DATE), "date").otherwise("string"))
 
 
 def text_value_type(text: Column) -> Column:
@@ -44,14 +40,13 @@ def one_line(text: Column, most: int = EXAMPLE) -> Column:
     return F.when(F.lit(most) == 0, "").when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("..."))).otherwise(flat)
 
 
-def example_text(v: Column, most: int = EXAMPLE, nested: int = 3) -> Column:
-    """A value as a one-line example: null for objects, a preview of the first element for lists."""
-    kind = F.schema_of_variant(v)
-    text = F.try_variant_get(v, "$", "string")
-    first = F.try_variant_get(v, "$[0]", "variant")
-    inner = F.coalesce(example_text(first, most, nested - 1), F.lit("{...}")) if nested else F.lit("...")
-    shown = F.when(first.isNull(), "[]").otherwise(F.concat(F.lit("["), inner, F.lit(", ...]")))
-    return F.when(kind.startswith("OBJECT"), None).when(kind.startswith("ARRAY"), shown).when(F.is_variant_null(v), "null").when(kind == "STRING", one_line(text, most)).otherwise(text)
+def example_text(most: int = EXAMPLE, sample_lists: bool = True) -> Column:
+    """A JSON node as a one-line example: null for objects, for lists a preview of what their first elements lead to."""
+    leaf = lambda kind, text: F.when(kind == "string", one_line(text, most)).otherwise(text)
+    levels, end = F.col("levels"), F.col("leaf_kind")
+    inner = F.when(end == "object", "{...}").when(end == "array", "[]").otherwise(leaf(end, F.col("leaf")))
+    shown = F.concat(F.repeat(F.lit("["), levels), inner, F.repeat(F.lit(", ...]"), levels)) if sample_lists else F.when(levels == 0, "[]").otherwise("[...]")
+    return F.when(F.col("kind") == "array", shown).when(F.col("kind") != "object", leaf(F.col("kind"), F.col("value")))
 
 
 def by_levels(level: DataFrame, below: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -71,15 +66,10 @@ def children_of(rows: DataFrame) -> DataFrame:
     return rows.lateralJoin(members)
 
 
-def walk(docs: DataFrame, root: str, sample_lists: bool) -> DataFrame:
-    """``doc_id, ord, depth, name, v``: the sections of JSON texts at any depth; keys are sorted, lists sampled at 0."""
-
-    def below(level: DataFrame) -> DataFrame:
-        rows = children_of(level).filter(F.col("_key").isNotNull() | ((F.col("_pos") == 0) & F.lit(sample_lists)))
-        return rows.select("doc_id", F.concat("ord", F.array("_pos")).alias("ord"), (F.col("depth") + 1).alias("depth"), F.coalesce("_key", F.lit("items")).alias("name"), F.col("_value").alias("v"))
-
-    first = docs.select("doc_id", F.array().cast("array<int>").alias("ord"), F.lit(1).alias("depth"), F.lit(root).alias("name"), F.try_parse_json("text").alias("v"))
-    return by_levels(first.filter("v IS NOT NULL"), below)
+def sections(docs: DataFrame, root: str, sample_lists: bool) -> DataFrame:
+    """JSON nodes as sections: ``ord, name`` beside their columns; keys are sorted, of a list at most its first element shows."""
+    nodes = json_nodes(docs, sort_keys=True, elements="first" if sample_lists else "none")
+    return nodes.withColumn("ord", F.col("place")).withColumn("name", F.when(F.col("parent") < 0, root).otherwise(F.coalesce("key", F.lit("items"))))
 
 
 def json_outline(docs: DataFrame, root: str = "json instance", most: int = EXAMPLE, sample_lists: bool = True) -> DataFrame:
@@ -87,8 +77,8 @@ def json_outline(docs: DataFrame, root: str = "json instance", most: int = EXAMP
 
     Texts that are no JSON give no rows.
     """
-    rows = walk(docs, root, sample_lists)
-    return rows.select("doc_id", "ord", "depth", "name", value_type(F.col("v")).alias("type"), example_text(F.col("v"), most).alias("example"))
+    rows = sections(docs, root, sample_lists)
+    return rows.select("doc_id", "ord", "depth", "name", value_type(F.col("kind"), F.col("value")).alias("type"), example_text(most, sample_lists).alias("example"))
 
 
 def render_markdown(sections: DataFrame) -> DataFrame:
@@ -135,17 +125,14 @@ def enum_preview(values: Column, most: int = ENUMS) -> Column:
 
 
 def schema_fields(schemas: DataFrame) -> DataFrame:
-    """Properties of JSON Schema texts as field rows: type, constraints, required, enumeration, cardinality."""
-    parsed = schemas.select("doc_id", F.try_parse_json("text").alias("parent"))
-    members = children_of(parsed.withColumn("v", F.try_variant_get("parent", "$.properties", "variant")))
-    rows = members.select("doc_id", "parent", F.col("_pos").alias("pos"), F.col("_key").alias("name"), F.col("_value").alias("v"))
-    required = F.coalesce(F.array_contains(F.try_variant_get("parent", "$.required", "array<string>"), F.col("name")), F.lit(False))
+    """Properties of JSON Schema texts as field rows, in the order of the file: type, constraints, required, enumeration, cardinality."""
+    rows = property_rows(schemas.select("doc_id", "text")).select("doc_id", "pos", "name", "required", F.try_parse_json("own").alias("v"))
     kind = schema_type(F.col("v"))
     return rows.select(
-        "doc_id", "pos", "name", kind.alias("type"), schema_constraints(F.col("v")).alias("constraints"), required.alias("required"),
+        "doc_id", "pos", "name", kind.alias("type"), schema_constraints(F.col("v")).alias("constraints"), "required",
         F.coalesce(enum_preview(F.try_variant_get("v", "$.enum", "array<string>"), 3), F.lit("")).alias("enums"),
-        F.when(required, 1).otherwise(0).alias("card_min"), F.when(kind == "array", "*").otherwise("1").alias("card_max"),
-    )
+        F.when(F.col("required"), 1).otherwise(0).alias("card_min"), F.when(kind == "array", "*").otherwise("1").alias("card_max"),
+    )
 
 
 JSON_OUTLINE_SQL = """

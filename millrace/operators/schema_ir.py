@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.lineage import written
+from millrace.functions.lineage import discard, written
 from millrace.operators.ir import resolve_names, safe_id
-from millrace.operators.outline import by_levels, children_of
+from millrace.operators.json_tree import schema_objects
 from millrace.operators.schemas import XSD, xsd_nodes
 
 # fixed values: primitive types, the keywords that keep a primitive from being just its type, names of unions
@@ -22,6 +22,8 @@ XSD_PRIMITIVES = {
     "string": "string", "normalizedString": "string", "token": "string", "boolean": "boolean", "decimal": "number", "float": "number", "double": "number", "integer": "integer", "int": "integer", "long": "integer",
     "short": "integer", "nonNegativeInteger": "integer", "positiveInteger": "integer", "date": "string", "dateTime": "string", "time": "string", "anyURI": "string",
 }
+#: The pointer of an empty schema that stands in no file.
+NOTHING = "-"
 CONSTRAINT_COLUMNS = "kind string, values array<string>, pattern string, format string, minimum string, maximum string, min_length string, max_length string, const string"
 
 
@@ -42,15 +44,8 @@ def _map(values: dict, key: Column) -> Column:
 
 
 def pointer_nodes(files: DataFrame) -> DataFrame:
-    """``bundle, path, ptr, v``: all objects of JSON files by their pointer (``#/a/0/b``)."""
-
-    def below(level: DataFrame) -> DataFrame:
-        rows = children_of(level).filter(_is(F.col("_value"), "OBJECT") | _is(F.col("_value"), "ARRAY"))
-        step = F.coalesce(F.replace(F.replace("_key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("_pos").cast("string"))
-        return rows.select("bundle", "path", F.concat("ptr", F.lit("/"), step).alias("ptr"), F.col("_value").alias("v"))
-
-    start = files.select("bundle", "path", F.lit("#").alias("ptr"), F.try_parse_json("text").alias("v"))
-    return by_levels(start.filter(_is(F.col("v"), "OBJECT")), below).filter(_is(F.col("v"), "OBJECT"))
+    """``bundle, path, ptr, v, names``: all objects of JSON files by their pointer (``#/a/0/b``), objects below them being empty."""
+    return schema_objects(files).select("bundle", "path", "ptr", F.try_parse_json("own").alias("v"), "names")
 
 
 def ref_target(path: Column, ref: Column, mapped: Column) -> Column:
@@ -117,24 +112,29 @@ def json_schema_ir(files: DataFrame, catalog: DataFrame | None = None) -> dict[s
 
     Every file is asked for its root. An entity's id is its title or what its place suggests; of schemas with one id the
     first counts, by round and then by path. Bare primitives are types, not entities; what can't be resolved is ``any``.
-    Fields come in the order of their names, as variants keep them.
+    Fields come in the order of their file. Questions travel as pointers; each round looks up the objects they ask for.
     """
     nodes = written(pointer_nodes(files), "pointers")
-    who = ["bundle", "owner", "role", "pos"]
-    asks = nodes.filter("ptr = '#'").select("bundle", F.lit("").alias("owner"), F.lit("root").alias("role"), F.lit(0).alias("pos"), "path", safe_id(_stem(F.col("path"))).alias("suggested"), "v", F.array().cast("array<string>").alias("via"))
+    who, spot = ["bundle", "owner", "role", "pos"], ["bundle", "path", "ptr"]
+    no_path = F.array().cast("array<string>").alias("via")
+    asks = nodes.filter("ptr = '#'").select("bundle", F.lit("").alias("owner"), F.lit("root").alias("role"), F.lit(0).alias("pos"), "path", "ptr", safe_id(_stem(F.col("path"))).alias("suggested"), no_path)
     asks = written(asks, "asks")
     answers, found, fields, unresolved = [], [], [], []
+    known = nodes.select("bundle", F.lit("").alias("entity_id")).limit(0)
     while asks.limit(1).count():
         v = F.col("v")
         ref = _get(v, "$['$ref']")
-        pointing = resolve_schema_refs(asks.filter(ref.isNotNull()).withColumn("ref", ref).drop("v"), nodes, catalog)
+        # an array without items has elements of an empty schema; what is no object isn't among the nodes
+        asked = asks.join(nodes, spot, "left").withColumn("v", F.when(F.col("ptr") == NOTHING, F.parse_json(F.lit("{}"))).otherwise(v))
+        asked = written(asked, "asked")
+        pointing = resolve_schema_refs(asked.filter(ref.isNotNull()).withColumn("ref", ref).drop("v", "names"), nodes.drop("names"), catalog)
         hop = F.concat_ws("", "target_path", "target_ptr")
-        pointing = written(pointing.withColumn("lost", F.col("target").isNull() | F.array_contains("via", hop)), "refs")
-        again = pointing.filter("NOT lost").select(*who, F.col("target_path").alias("path"), safe_id(F.concat(_stem(F.col("target_path")), "target_ptr")).alias("suggested"), F.col("target").alias("v"), F.concat("via", F.array(hop)).alias("via"))
+        pointing = written(pointing.withColumn("lost", F.col("target").isNull() | F.array_contains("via", hop)).drop("target"), "refs")
+        again = pointing.filter("NOT lost").select(*who, F.col("target_path").alias("path"), F.col("target_ptr").alias("ptr"), safe_id(F.concat(_stem(F.col("target_path")), "target_ptr")).alias("suggested"), F.concat("via", F.array(hop)).alias("via"))
         unresolved.append(pointing.filter("lost").select(*who, "path", "ref"))
         answers.append(pointing.filter("lost").select(*who, F.lit("any").alias("type"), F.lit(False).alias("is_ref")))
 
-        plain = asks.filter(ref.isNull())
+        plain = asked.filter(ref.isNull())
         answers.append(plain.filter(~_is(v, "OBJECT")).select(*who, F.lit("any").alias("type"), F.lit(False).alias("is_ref")))
         named = F.coalesce(F.nullif(F.trim(_get(v, "$.title")), F.lit("")), F.col("suggested"))
         bare = _get(v, "$.type").isin(*PRIMITIVES) & _get(v, "$.properties", "variant").isNull() & _get(v, "$.enum", "variant").isNull()
@@ -144,25 +144,27 @@ def json_schema_ir(files: DataFrame, catalog: DataFrame | None = None) -> dict[s
         answers.append(objects.select(*who, F.when(F.col("bare"), _get(v, "$.type")).otherwise(F.col("entity_id")).alias("type"), (~F.col("bare")).alias("is_ref")))
 
         first = F.row_number().over(Window.partitionBy("bundle", "entity_id").orderBy("path", "owner", "role", "pos"))
-        new = objects.filter("NOT bare").withColumn("_n", first).filter("_n = 1")
-        for earlier in found:
-            new = new.join(earlier.select("bundle", "entity_id"), ["bundle", "entity_id"], "left_anti")
+        new = objects.filter("NOT bare").withColumn("_n", first).filter("_n = 1").join(known, ["bundle", "entity_id"], "left_anti")
         enum = _is(_get(v, "$.enum", "variant"), "ARRAY")
         union = F.coalesce(*[F.when(_is(_get(v, f"$.{k}", "variant"), "ARRAY"), k) for k in UNIONS])
         base = F.when(enum, "enum").otherwise(_kind(v))
-        new = written(new.select("bundle", "entity_id", "path", base.alias("base"), union.alias("union"), "v", "via"), "entities")
-        found.append(new)
-
-        own = lambda what, path: children_of(new.filter(what).withColumn("schema", F.col("v")).withColumn("v", path))
-        props = own("base = 'object'", _get(v, "$.properties", "variant")).filter("_key IS NOT NULL")
-        props = written(props.select("bundle", "entity_id", "path", F.col("_pos").cast("int").alias("pos"), F.col("_key").alias("name"), F.coalesce(F.array_contains(_get(F.col("schema"), "$.required", "array<string>"), F.col("_key")), F.lit(False)).alias("required"), F.col("_value").alias("v")), "fields")
-        fields.append(props)
-        options = own("union IS NOT NULL", F.coalesce(*[F.when(F.col("union") == k, _get(v, f"$.{k}", "variant")) for k in UNIONS])).filter("_key IS NULL AND _value IS NOT NULL")
-        items = new.filter("base = 'array'").withColumn("v", F.coalesce(_get(v, "$.items", "variant"), F.parse_json(F.lit("{}"))))
-        empty = F.array().cast("array<string>").alias("via")
-        below = props.select("bundle", F.col("entity_id").alias("owner"), F.lit("field").alias("role"), "pos", "path", F.concat("entity_id", F.lit("."), "name").alias("suggested"), "v", empty)
-        below = below.unionByName(items.select("bundle", F.col("entity_id").alias("owner"), F.lit("element").alias("role"), F.lit(0).alias("pos"), "path", F.concat("entity_id", F.lit(".items")).alias("suggested"), "v", empty))
-        below = below.unionByName(options.select("bundle", F.col("entity_id").alias("owner"), F.lit("choice").alias("role"), F.col("_pos").cast("int").alias("pos"), "path", F.concat("entity_id", F.lit("."), "union", F.lit("."), F.col("_pos").cast("string")).alias("suggested"), F.col("_value").alias("v"), empty))
+        new = written(new.select("bundle", "entity_id", "path", "ptr", base.alias("base"), union.alias("union"), "v", "names"), "entities")
+        found.append(new.select("bundle", "entity_id", "path", "base", "union", "v"))
+        earlier, known = known, written(known.unionByName(new.select("bundle", "entity_id")), "known")
+        discard(earlier)
+
+        required = F.coalesce(F.array_contains(_get(v, "$.required", "array<string>"), F.col("name")), F.lit(False))
+        props = new.filter("base = 'object'").select("bundle", "entity_id", "path", "ptr", "v", F.posexplode("names").alias("pos", "name"))
+        step = F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        props = props.select("bundle", "entity_id", "path", "pos", "name", required.alias("required"), F.concat("ptr", F.lit("/properties/"), step).alias("ptr"))
+        props = written(props.join(nodes.drop("names"), spot, "left"), "fields")
+        fields.append(props.select("bundle", "entity_id", "path", "pos", "name", "required", "v"))
+        options = F.coalesce(*[F.when(F.col("union") == k, F.size(_get(v, f"$.{k}", "array<variant>"))) for k in UNIONS])
+        options = new.filter("union IS NOT NULL").withColumn("n", options).filter("n > 0").select("bundle", "entity_id", "path", "ptr", "union", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+        items = new.filter("base = 'array'").withColumn("at", F.when(_get(v, "$.items", "variant").isNull(), NOTHING).otherwise(F.concat("ptr", F.lit("/items"))))
+        below = props.select("bundle", F.col("entity_id").alias("owner"), F.lit("field").alias("role"), "pos", "path", "ptr", F.concat("entity_id", F.lit("."), "name").alias("suggested"), no_path)
+        below = below.unionByName(items.select("bundle", F.col("entity_id").alias("owner"), F.lit("element").alias("role"), F.lit(0).alias("pos"), "path", F.col("at").alias("ptr"), F.concat("entity_id", F.lit(".items")).alias("suggested"), no_path))
+        below = below.unionByName(options.select("bundle", F.col("entity_id").alias("owner"), F.lit("choice").alias("role"), "pos", "path", F.concat("ptr", F.lit("/"), "union", F.lit("/"), F.col("pos").cast("string")).alias("ptr"), F.concat("entity_id", F.lit("."), "union", F.lit("."), F.col("pos").cast("string")).alias("suggested"), no_path))
         asks = written(below.unionByName(again), "asks")
 
     def union_all(tables: list[DataFrame], empty: DataFrame) -> DataFrame:
@@ -173,11 +175,12 @@ def json_schema_ir(files: DataFrame, catalog: DataFrame | None = None) -> dict[s
 
     no = asks.limit(0)
     typed = union_all(answers, no.select(*who, F.lit("any").alias("type"), F.lit(False).alias("is_ref")))
-    every = union_all(found, no.select("bundle", F.col("owner").alias("entity_id"), "path", F.lit("").alias("base"), F.lit("").alias("union"), "v", "via"))
+    no_v = no.withColumn("v", F.parse_json(F.lit("{}")))
+    every = union_all(found, no_v.select("bundle", F.col("owner").alias("entity_id"), "path", F.lit("").alias("base"), F.lit("").alias("union"), "v"))
     v, key = F.col("v"), ["bundle", "entity_id"]
     kind = F.when(F.col("union").isNotNull(), "union").otherwise(F.col("base"))
     entities = every.select(*key, kind.alias("kind"), _get(v, "$.title").alias("name"), _get(v, "$.description").alias("description"), F.col("path").alias("source_file"), _map(UNIONS, F.col("union")).alias("choice"))
-    rows = union_all(fields, no.select("bundle", F.col("owner").alias("entity_id"), "path", "pos", F.lit("").alias("name"), F.lit(False).alias("required"), "v"))
+    rows = union_all(fields, no_v.select("bundle", F.col("owner").alias("entity_id"), "path", "pos", F.lit("").alias("name"), F.lit(False).alias("required"), "v"))
     of_field = typed.filter("role = 'field'").select("bundle", F.col("owner").alias("entity_id"), "pos", "type", "is_ref")
     ref = _get(v, "$['$ref']")
     place = F.concat("path", F.lit(" :: "), F.coalesce(F.concat(F.lit("$ref="), ref), F.concat(F.lit("properties."), "name")))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.outline import EXAMPLE, example_text, one_line, text_value_type, value_type, walk
+from millrace.operators.outline import EXAMPLE, example_text, one_line, sections, text_value_type, value_type
 
 NODES = "doc_id string, ord array<int>, nth array<int>, many array<int>, name string, text string, inner boolean"
 #: Marks a native YAML date: it is text, not a date in the outline's sense.
@@ -79,16 +79,13 @@ def _yaml_to_json(text: str | None) -> str | None:
         return None
 
 
-def _yaml_type(v: Column) -> Column:
-    text = F.try_variant_get(v, "$", "string")
-    is_text = F.schema_of_variant(v) == "STRING"
-    return F.when(is_text & text.startswith(NATIVE), "string").when(is_text, text_value_type(text)).otherwise(value_type(v))
+def _yaml_type(kind: Column, text: Column) -> Column:
+    return F.when((kind == "string") & text.startswith(NATIVE), "string").when(kind == "string", text_value_type(text)).otherwise(value_type(kind, text))
 
 
 def yaml_outline(docs: DataFrame, most: int = EXAMPLE, sample_lists: bool = True) -> DataFrame:
     """As json_outline, from YAML: quoted numbers and dates are typed by their text, native dates are strings."""
     as_json = F.pandas_udf(lambda s: s.map(_yaml_to_json), "string")
-    level = docs.select("doc_id", as_json("text").alias("text"))
-    rows = walk(level, "yaml instance", sample_lists)
-    example = F.replace(example_text(F.col("v"), most), F.lit(NATIVE), F.lit(""))
-    return rows.select("doc_id", "ord", "depth", "name", _yaml_type(F.col("v")).alias("type"), example.alias("example"))
+    rows = sections(docs.select("doc_id", as_json("text").alias("text")), "yaml instance", sample_lists)
+    example = F.replace(example_text(most, sample_lists), F.lit(NATIVE), F.lit(""))
+    return rows.select("doc_id", "ord", "depth", "name", _yaml_type(F.col("kind"), F.col("value")).alias("type"), example.alias("example"))
