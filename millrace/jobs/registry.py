@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.lineage import shared
-from millrace.operators import chunking, classes, convert, detect, docs, glossary, graph, ir, labels, outline, ranking, schema_ir, schemas, trees
+from millrace.operators import chunking, classes, closure, convert, detect, docs, glossary, graph, ir, ir_file, labels, outline, rank_models, ranking, schema_ir, schemas, trees
 from millrace.sources import files, views
 from millrace.streaming.convert import stream_convert_and_chunk
 
@@ -390,6 +390,56 @@ def rerank_top(spark, sf_dir):
     return ranking.rerank(q, p, listwise_most=_GUARD, top=5).withColumn("score", F.round("score", 6))
 
 
+@query(_RANK + "SELECT query_id, passage_id, round(score, 6) AS score, rank, lang, md5(p.text) AS digest, n_chars FROM ranked JOIN passages p USING (query_id, passage_id) JOIN documents ON doc_id = p.pos")
+def rerank_passages(spark, sf_dir):
+    q, p = views.query_candidates(spark, sf_dir)
+    p = p.join(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "lang", "n_chars"), "pos")
+    return ranking.rerank_passages(q, p, listwise_most=_GUARD).select("query_id", "passage_id", F.round("score", 6).alias("score"), "rank", "lang", F.md5("text").alias("digest"), "n_chars")
+
+
+@query(_RANK + """
+SELECT c.query_id, CASE WHEN error IS NULL THEN 200 ELSE 422 END AS status, coalesce(error, '') AS detail, coalesce(string_agg(passage_id || ':' || rank || ':' || lang, ' ' ORDER BY rank), '') AS results
+FROM checked c LEFT JOIN ranked r ON r.query_id = c.query_id LEFT JOIN documents d ON d.doc_id::VARCHAR = r.passage_id GROUP BY c.query_id, error""")
+def rerank_answers(spark, sf_dir):
+    q, p = views.query_candidates(spark, sf_dir)
+    p = p.join(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "lang"), "pos")
+    held = p.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text", "lang"))), lambda x: F.struct(x["pos"].alias("id"), x["text"].alias("text"), F.struct(x["lang"].alias("lang")).alias("meta"), F.lit(0.5).alias("score"))).alias("passages"))
+    requests = q.join(held, "query_id", "left").select("query_id", F.to_json(F.struct("query", "model", "max_length", "passages")).alias("request"))
+    out = ranking.rerank_requests(requests, listwise_most=_GUARD).withColumn("r", F.from_json("response", "detail string, results array<struct<id string, meta struct<lang string>, score double>>"))
+    results = F.array_join(F.transform("r.results", lambda x, i: F.concat(x["id"], F.lit(":"), (i + 1).cast("string"), F.lit(":"), x["meta"]["lang"])), " ")
+    return out.select("query_id", "status", F.coalesce("r.detail", F.lit("")).alias("detail"), F.coalesce(results, F.lit("")).alias("results"))
+
+
+_WEIGHTS = (-1.0, 2.5, 0.75, 3.0)
+
+
+@query(_RANK + f"""
+, t AS (SELECT c.query_id, passage_id, pos, c.max_length AS n, regexp_extract_all(lower(query), '[a-z0-9]+') AS q, regexp_extract_all(lower(text), '[a-z0-9]+') AS p FROM checked c JOIN passages USING (query_id) WHERE error IS NULL AND text <> ''),
+o AS (SELECT *, least(greatest(0, len(q) + len(p) - n), abs(len(q) - len(p))) AS first, greatest(0, len(q) + len(p) - n) AS total FROM t),
+u AS (SELECT query_id, passage_id, pos, q[1 : len(q) - CASE WHEN len(q) > len(p) THEN first ELSE 0 END - (total - first) // 2] AS q, p[1 : len(p) - CASE WHEN len(q) > len(p) THEN 0 ELSE first END - (total - first + 1) // 2] AS p FROM o),
+f AS (SELECT query_id, passage_id, pos, list_distinct(q) AS a, list_distinct(p) AS b, list_distinct(list_transform(range(1, len(q)), lambda i: q[i] || ' ' || q[i + 1])) AS aa, list_distinct(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) AS bb FROM u),
+s AS (SELECT *, 1 / (1 + exp(-({_WEIGHTS[0]} + {_WEIGHTS[1]} * coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0) + {_WEIGHTS[2]} * coalesce(len(list_intersect(a, b)) / nullif(len(b), 0), 0) + {_WEIGHTS[3]} * coalesce(len(list_intersect(aa, bb)) / nullif(len(aa), 0), 0)))) AS score FROM f)
+SELECT query_id, passage_id, round(score, 6) AS score FROM s""")
+def rerank_batch_model(spark, sf_dir):
+    q, p = views.query_candidates(spark, sf_dir)
+    scorer = rank_models.batch_scorer(lambda: rank_models.linear_model(_WEIGHTS))
+    return ranking.rerank(q, p, scorer, listwise_most=_GUARD).select("query_id", "passage_id", F.round("score", 6).alias("score"))
+
+
+def _by_overlap():
+    def order(query, passages):
+        asked = set(rank_models.tokens(query))
+        return sorted(range(len(passages)), key=lambda i: -len(asked & set(rank_models.tokens(passages[i]))))
+
+    return order
+
+
+@query()
+def rank_lists(spark, sf_dir):
+    q, p = views.query_candidates(spark, sf_dir)
+    return rank_models.rank_lists(q, p, _by_overlap)
+
+
 # --- labels
 
 _SOFT = _with(labels.LOGITS_SQL)
@@ -535,6 +585,49 @@ def xsd_fields(spark, sf_dir):
     return out.select("bundle", "entity_id", "pos", "name", F.coalesce("type_ref", "type_prim").alias("type"), "required", "card_min", F.coalesce(F.col("card_max").cast("string"), F.lit("*")).alias("card_max"))
 
 
+_BUNDLE_FILES = """
+n AS (SELECT n_nationkey AS n, 'r' || n_regionkey AS bundle FROM nation), s AS (SELECT s_suppkey AS s, n.n, bundle FROM supplier JOIN n ON n.n = s_nationkey),
+edges AS (
+    SELECT bundle, 'main.xsd' AS src, 'nations/n' || n || '.xsd' AS dst FROM n WHERE n % 4 <> 3
+    UNION ALL SELECT bundle, 'nations/n' || n || '.xsd', 'common.xsd' FROM n
+    UNION ALL SELECT bundle, 'nations/n' || n || '.xsd', 'suppliers/s' || s || '.json' FROM s WHERE s % 3 < 2
+    UNION ALL SELECT bundle, 'suppliers/s' || s || '.json', 'suppliers/s' || (s // 2) || '.json' FROM s WHERE s > 0
+    UNION ALL SELECT bundle, 'common.xsd', 'main.xsd' FROM n),
+files AS (SELECT bundle, 'main.xsd' AS path FROM n UNION SELECT bundle, 'common.xsd' FROM n UNION SELECT bundle, 'nations/n' || n || '.xsd' FROM n UNION SELECT bundle, 'suppliers/s' || s || '.json' FROM s),
+real AS (SELECT DISTINCT e.* FROM edges e JOIN files f ON f.bundle = e.bundle AND f.path = e.dst)"""
+
+
+def _bundle_files(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A bundle of schema files per region: main > nations > suppliers by include, import, URL and $ref; and the catalogue."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    n = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), text("r", F.col("n_regionkey")).alias("bundle"))
+    s = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n")).join(n, "n")
+    top, end = f'<?xml version="1.0"?><xs:schema xmlns:xs="{detect.XSD}">', '<xs:complexType name="T"><xs:sequence><xs:include schemaLocation="no.xsd"/></xs:sequence></xs:complexType></xs:schema>'
+    url = text("https://e.org/", F.col("s"))
+    lines = F.array_join(F.array_sort(F.collect_list("line")), "")
+    main = n.withColumn("line", F.when(F.col("n") % 4 != 3, text('<xs:include schemaLocation="./nations/n', F.col("n"), '.xsd"/>'))).groupBy("bundle").agg(text(top, lines, end).alias("text")).withColumn("path", F.lit("main.xsd"))
+    common = n.select("bundle", F.lit("common.xsd").alias("path"), text(top, '<xs:include schemaLocation="nations/../main.xsd"/>', end).alias("text")).distinct()
+    place = F.when(F.col("s") % 3 == 0, text("../suppliers/s", F.col("s"), ".json")).otherwise(url)
+    held = n.join(s.select("n", "s"), "n", "left").withColumn("line", F.when(F.col("s").isNotNull(), text('<xs:import namespace="u" schemaLocation="', place, '"/>')))
+    nations = held.groupBy("bundle", "n").agg(text(top, '<xs:include schemaLocation="../common.xsd"/>', lines, end).alias("text")).select("bundle", text("nations/n", F.col("n"), ".xsd").alias("path"), "text")
+    half = text("s", F.floor(F.col("s") / 2), ".json")
+    suppliers = s.select("bundle", text("suppliers/s", F.col("s"), ".json").alias("path"), text('{"properties":{"up":{"$ref":"', half, '#/properties/up"},"me":{"$ref":"#/properties/up"}}}').alias("text"))
+    files_ = main.select("bundle", "path", "text").unionByName(common).unionByName(nations).unionByName(suppliers)
+    return files_, s.filter("s % 3 = 1").select("bundle", url.alias("url"), text("suppliers/s", F.col("s"), ".json").alias("mapped"))
+
+
+@query(f"WITH {_BUNDLE_FILES.strip()} SELECT DISTINCT bundle, src AS path, dst AS target FROM edges")
+def schema_file_edges(spark, sf_dir):
+    out = closure.schema_edges(*_bundle_files(spark, sf_dir)).filter("target IS NOT NULL")
+    return out.select("bundle", "path", "target").distinct()
+
+
+@query(f"WITH RECURSIVE {_BUNDLE_FILES.strip()}, r AS (SELECT DISTINCT bundle, 'main.xsd' AS path FROM n UNION SELECT r.bundle, real.dst FROM r JOIN real ON real.bundle = r.bundle AND real.src = r.path) SELECT bundle, path FROM r")
+def schema_bundle_closure(spark, sf_dir):
+    files_, catalog = _bundle_files(spark, sf_dir)
+    return closure.schema_file_closure(files_, files_.filter("path = 'main.xsd'").select("bundle", "path"), catalog)
+
+
 # --- entity tables
 
 _IR = _with(views.STAR_IR)
@@ -637,6 +730,78 @@ def write_and_read_ir(spark, sf_dir):
     return rows.withColumn("type_prim", F.coalesce("type_prim", F.lit(""))).withColumn("type_ref", F.coalesce("type_ref", F.lit("")))
 
 
+_BUNDLES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_EXAMPLES = f"""
+ex AS (SELECT list_extract({list(_BUNDLES)}, (p_partkey % 5)::INT + 1) AS bundle, p_partkey AS p, CASE WHEN p_partkey < 4 THEN 'ORDERS' WHEN p_partkey % 3 = 0 THEN p_partkey::VARCHAR END AS hint,
+       'e' || p_partkey || CASE WHEN p_partkey < 4 THEN '.xml' ELSE '.json' END AS file, CASE WHEN p_partkey < 4 THEN 'xml' ELSE 'json' END AS kind FROM part),
+idx AS (SELECT DISTINCT e.bundle, e.entity_id, ex.file, ex.kind, ex.hint FROM entities e JOIN ex ON ex.bundle = e.bundle AND (lower(ex.hint) = 'orders' OR ex.hint = substr(e.entity_id, 8)))"""
+
+
+def _example_files(spark, sf_dir) -> DataFrame:
+    """An example file per part: XML, JSON with one key, JSON with two, broken JSON."""
+    p = F.col("p_partkey")
+    key = p.cast("string")
+    text = F.when(p < 4, F.concat(F.lit('<?xml version="1.0"?><x:ORDERS xmlns:x="urn:x"><a>'), key, F.lit("</a></x:ORDERS>"))).when(p % 3 == 0, F.concat(F.lit('{"'), key, F.lit('":{"a":1}}')))
+    text = text.when(p % 3 == 1, F.concat(F.lit('{"'), key, F.lit('":1,"b":2}'))).otherwise(F.concat(F.lit('{"'), key, F.lit('":1')))
+    bundle = F.element_at(F.array(*map(F.lit, _BUNDLES)), (p % 5).cast("int") + 1)
+    return views.table(spark, sf_dir, "part").select(bundle.alias("bundle"), F.concat(F.lit("ex/e"), key, F.when(p < 4, ".xml").otherwise(".json")).alias("path"), text.alias("text"))
+
+
+@query(_with(views.STAR_IR, _EXAMPLES) + "SELECT bundle, entity_id, string_agg(file || ' ' || kind || ' ' || hint, ', ' ORDER BY file) AS examples FROM idx GROUP BY 1, 2")
+def examples_index(spark, sf_dir):
+    out = ir.examples_index(views.star_ir(spark, sf_dir)[0], ir.example_hints(_example_files(spark, sf_dir)))
+    return out.select("bundle", "entity_id", F.array_join(F.transform("examples", lambda x: F.concat_ws(" ", x["file"], x["kind"], x["hint"])), ", ").alias("examples"))
+
+
+def _ir_rows(tables) -> DataFrame:
+    """All entity tables as rows (what, bundle, entity_id, pos, text)."""
+    line = lambda *cs: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cs])
+    shape = lambda df, what, pos, text: df.select(F.lit(what).alias("what"), "bundle", "entity_id", pos.cast("int").alias("pos"), text.alias("text"))
+    out = shape(tables["entities"], "entity", F.lit(0), line("kind", "name", "description", "source_file", "source_id", "version"))
+    out = out.unionByName(shape(tables["fields"], "field", F.col("pos"), line("name", "type_prim", "type_ref", "description", "required", "card_min", "card_max")))
+    limits = tables["constraints"].withColumn("values", F.array_join("values", ","))
+    out = out.unionByName(shape(limits, "constraint", F.col("pos"), line("field_name", "kind", "minimum", "maximum", "min_length", "pattern", "format", "const", "message", "target", "values")))
+    out = out.unionByName(shape(tables["relations"], "relation", F.col("pos"), line("role", "target")))
+    return out.unionByName(shape(tables["examples"], "examples", F.lit(0), F.array_join(F.transform("examples", lambda x: F.concat_ws(" ", x["file"], x["kind"], x["hint"])), ", ")))
+
+
+_IR_ROWS = """
+ir_rows AS (
+    SELECT 'entity' AS what, bundle, entity_id, 0 AS pos, concat_ws('|', kind, name, coalesce(description, ''), source_file, source_id, version) AS text FROM entities
+    UNION ALL SELECT 'field', bundle, entity_id, pos, concat_ws('|', name, coalesce(type_prim, ''), coalesce(type_ref, ''), coalesce(description, ''), required::VARCHAR, card_min, coalesce(card_max::VARCHAR, '')) FROM fields
+    UNION ALL SELECT 'constraint', bundle, entity_id, pos, concat_ws('|', coalesce(field_name, ''), kind, coalesce(minimum::VARCHAR, ''), coalesce(maximum::VARCHAR, ''), coalesce(min_length::VARCHAR, ''), coalesce(pattern, ''), coalesce(format, ''),
+        coalesce(const, ''), coalesce(message, ''), coalesce(target, ''), coalesce(array_to_string(values, ','), '')) FROM rich
+    UNION ALL SELECT 'relation', bundle, entity_id, pos, role || '|' || target FROM relations
+    UNION ALL SELECT 'examples', bundle, entity_id, 0, string_agg(file || ' ' || kind || ' ' || hint, ', ' ORDER BY file) FROM idx GROUP BY bundle, entity_id)"""
+
+
+def _written_ir(spark, sf_dir, documents: bool) -> dict[str, DataFrame]:
+    entities, fields, _ = views.star_ir(spark, sf_dir)
+    hints = ir.example_hints(_example_files(spark, sf_dir))
+    texts = ir_file.entity_texts(entities, fields, views.star_constraints(spark, sf_dir), views.star_relations(spark, sf_dir), ir.examples_index(entities, hints))
+    path = shared(spark, "ir")
+    write, read = (ir_file.write_ir_documents, ir_file.read_ir_documents) if documents else (ir_file.write_ir, ir_file.read_ir)
+    write(texts, ir_file.bundle_headers(entities, hints), path)
+    return ir_file.ir_tables(*read(spark, path))
+
+
+@query(_with(views.STAR_IR, views.STAR_CONSTRAINTS, views.STAR_RELATIONS, _EXAMPLES, _IR_ROWS) + "SELECT what, bundle, entity_id, pos, text FROM ir_rows")
+def ir_lines_round_trip(spark, sf_dir):
+    return _ir_rows(_written_ir(spark, sf_dir, False))
+
+
+@query(_with(views.STAR_IR, views.STAR_CONSTRAINTS, views.STAR_RELATIONS, _EXAMPLES, _IR_ROWS) + "SELECT what, bundle, entity_id, pos, text FROM ir_rows")
+def ir_documents_round_trip(spark, sf_dir):
+    return _ir_rows(_written_ir(spark, sf_dir, True))
+
+
+@query(_with(views.STAR_IR, _EXAMPLES) + """
+SELECT bundle, count(*) AS entities, 0::BIGINT AS xsd_files, count(DISTINCT source_file) AS json_files, coalesce(any_value(n), 0)::BIGINT AS examples
+FROM entities LEFT JOIN (SELECT bundle, count(DISTINCT file) AS n FROM ex WHERE hint IS NOT NULL GROUP BY 1) USING (bundle) GROUP BY bundle""")
+def ir_bundle_headers(spark, sf_dir):
+    return _written_ir(spark, sf_dir, False)["counts"]
+
+
 # --- documents
 
 _DOC = "bundle, entity_id"

@@ -17,9 +17,12 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``start, node`` for all nodes reached over edges (src, dst): semi-naive, only new pairs go on, until none is new."""
+    """``start, node`` for all nodes reached over edges (src, dst): semi-naive, only new pairs go on, until none is new.
+
+    Starts are nodes; those with one ``start`` of their own are followed together.
+    """
     edges = _small(edges.select("src", "dst").distinct())
-    new = written(starts.select(F.col("node").alias("start"), "node").distinct(), "frontier")
+    new = written(starts.select(F.col("start" if "start" in starts.columns else "node").alias("start"), "node").distinct(), "frontier")
     seen = new
     while True:
         found = new.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()

@@ -91,11 +91,44 @@ def enrich_with_examples(entities: DataFrame, examples: DataFrame) -> DataFrame:
     return tokens.join(hints, "token").groupBy(*KEYS).agg(F.array_sort(F.collect_set("example_id")).alias("examples"))
 
 
+def example_hints(files: DataFrame) -> DataFrame:
+    """``bundle, file, kind, hint`` of example files (bundle, path, text): the only key of a JSON object, the root's name of an XML text.
+
+    Which one is asked by the file's ending; other files, other JSON values and texts that can't be parsed give no hint.
+    """
+    from xml.etree import ElementTree
+
+    def root(text: str | None) -> str | None:
+        try:
+            return None if text is None else ElementTree.fromstring(text).tag.rpartition("}")[2]
+        except (ElementTree.ParseError, ValueError):
+            return None
+
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    keys = F.array_distinct(F.json_object_keys(F.when(kind == "json", F.col("text"))))
+    of_xml = F.pandas_udf(lambda s: s.map(root), "string")(F.when(kind == "xml", F.col("text")))
+    hint = F.when(kind == "json", F.when(F.size(keys) == 1, keys[0])).otherwise(of_xml)
+    return files.select("bundle", name.alias("file"), kind.alias("kind"), hint.alias("hint"), "path").filter("hint IS NOT NULL")
+
+
+def examples_index(entities: DataFrame, hints: DataFrame) -> DataFrame:
+    """``bundle, entity_id, examples`` (file, kind, hint, by path): the bundle's examples whose hint is a token of the id, without case.
+
+    A token's examples are gathered before entities meet them: one row a token, so a frequent token's entities can be split.
+    """
+    by_token = hints.groupBy("bundle", F.lower("hint").alias("token")).agg(F.collect_list(F.struct("path", "file", "kind", "hint")).alias("of"))
+    words = F.array_distinct(F.transform(F.filter(F.split("entity_id", r"[#.:/]+"), lambda t: t != ""), F.lower))
+    tokens = entities.select(*KEYS, F.explode_outer(words).alias("token")).join(by_token, ["bundle", "token"])
+    met = tokens.groupBy(*KEYS).agg(F.array_sort(F.flatten(F.collect_list("of"))).alias("of"))
+    return met.select(*KEYS, F.transform("of", lambda x: F.struct(x["file"].alias("file"), x["kind"].alias("kind"), x["hint"].alias("hint"))).alias("examples"))
+
+
 def apply_mappings(rules: DataFrame, entities: DataFrame) -> DataFrame:
     """Rules (from_bundle, from_entity, to_bundle, to_entity, relation) of known source entities, with ``warning``
     where the target bundle is loaded but lacks the entity."""
     ids = entities.select("bundle", "entity_id").distinct()
-    loaded = F.broadcast(entities.select(F.col("bundle").alias("_loaded")).distinct())
+    loaded = entities.select(F.col("bundle").alias("_loaded")).distinct()
     kept = rules.join(ids, (F.col("from_bundle") == F.col("bundle")) & (F.col("from_entity") == F.col("entity_id")), "left_semi")
     there = ids.select(F.col("bundle").alias("to_bundle"), F.col("entity_id").alias("to_entity"), F.lit(True).alias("_there"))
     out = kept.join(there, ["to_bundle", "to_entity"], "left").join(loaded, F.col("to_bundle") == F.col("_loaded"), "left")
