@@ -1,7 +1,8 @@
 """PII replaced by keyed, type-consistent surrogates.
 
-Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards (by issuer digit and check digit),
-social security numbers, secrets (long hex strings, keys with a vendor's prefix) and persons behind a title. A surrogate
+Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards (by issuer digit and check digit, also
+before or behind other numbers), account numbers (IBAN, by their check digits), social security numbers, secrets (long hex
+strings, keys with a vendor's prefix) and persons behind a title in any case. A surrogate
 comes from a keyed permutation of the entity's own format: every character moves within its class (vowels, consonants,
 digits, hex digits, by script and case), so lengths, punctuation and scripts stay, and two entities of a format never
 share a surrogate. Cards keep their valid check digit, addresses their private or public range, e-mails a consistent
@@ -14,8 +15,8 @@ gender, some ten million for each, in Latin or Cyrillic; in other scripts the ow
 
 Coreference: the surrogate depends on key, type and canonical value alone. Distinctness is checked over the table of all
 distinct entities: where two share a surrogate, or one equals its original, all but the smallest try again with the
-next tweak until none is left; from ``LAST`` tweaks on, what is left takes keyed letters instead of its own format. Such
-exceptions travel with the replacing tasks up to a bound, beyond it they are joined to the documents that hold them.
+next tweak until none is left; from ``LAST`` tweaks on, names and e-mails take keyed letters instead of their own format,
+after ``ATTEMPTS`` whatever is left takes its kind and a long digest, which is always free. Such exceptions travel with the replacing tasks up to a bound, beyond it they are joined to the documents that hold them.
 
 Defined cases: null texts stay null with 0 entities; repeated rows give equal texts; an empty table gives no rows;
 entities may be of any length. Extra columns are ignored.
@@ -48,7 +49,13 @@ SLICE_BYTES = 4 << 20
 KEY = "development key: pass your own"
 
 # fixed values: titles by gender, n for either
-TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"), "n": ("Dr", "Prof", "Professor")}
+TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "M."), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"), "n": ("Dr", "Prof", "Professor")}
+#: Capitalised words that may follow a name and are none.
+NO_NAMES = frozenset(
+    "I He She They It We You His Her Their My Our Your The A An And But Or If In On At To For From With As By Of When While Then There This That These Those Was Is Has Had Will Would "
+    "Er Sie Es Wir Ihr Ich Der Die Das Ein Eine Und Aber Oder Im Am Zu Mit Als Wenn Dann Il Elle Ils Elles Nous Vous Je Le La Les Un Une Et Mais Ou Dans Sur Pour Avec Comme Quand "
+    "El Ella Ellos Nosotros Yo Los Las Una Y Pero En Con Por Para Cuando Он Она Они Мы Вы Я И Но В На С По К От Для Как Когда".split()
+)
 #: Onsets and vowels of given names by script, and endings by gender.
 SYLLABLES = {"latin": ("b c d f g k l m n p r s t v".split(), "a e i o u".split()), "cyrillic": ("б в г д к л м н п р с т ф".split(), "а е и о у".split())}
 ENDINGS = {("m", "latin"): "n s r rd x l".split(), ("f", "latin"): "na la ra lia sa tta".split(), ("m", "cyrillic"): "н р л с й м".split(), ("f", "cyrillic"): "на ла ра са ня та".split()}
@@ -60,23 +67,95 @@ _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]++@(?:[\w-]++\.)+[^\W\d_]{2,}")
 _NUMBERS = (
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])")),
     ("key", re.compile(r"(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{16}|gh[opsur]_[0-9A-Za-z]{30,}+|sk-[0-9A-Za-z_-]{20,}+|xox[abprs]-[0-9A-Za-z-]{10,}+)(?![0-9A-Za-z_-])")),
-    ("card", re.compile(r"(?<![\d+])[2-6](?:[ -]?\d){12,18}(?!\d)")),
-    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
+    ("ssn", re.compile(r"(?<![\d-])\d{3}([- ])\d{2}\1\d{4}(?![\d-])")),
     ("ipv4", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)")),
     ("ipv6", re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]{1,34}(?![\w:])")),
     ("phone", re.compile(r"(?<![\w])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)")),
+    ("phone", re.compile(r"(?<!\w)\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d(?:[ .-]?\d{2}){4}(?!\d)")),
+    ("phone", re.compile(r"(?<![\w+.-])0\d([ .-])\d{2}(?:\1\d{2}){3}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+.-])(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}([ .-])\d{3}\1\d{4}|0\d{2,4} \d{3,4} \d{3,4})(?![\w-])")),
 )
+_RUN = re.compile(r"(?<![\d+])\d(?:[ -]?\d)*+")
+_GROUP = re.compile(r"\d+")
+_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{1,4}){3,9}+")
+_WORD = re.compile(r"[0-9A-Z]+")
 _ALL_TITLES = tuple(t for ts in TITLES.values() for t in ts)
+_TITLED = {t.rstrip(".").lower(): g for g, ts in TITLES.items() for t in ts}
 _NAME = r"[^\W\d_]+(?:['’-](?![^\W\d_]\b)[^\W\d_]+)*"
-_PERSON = re.compile(rf"\b({'|'.join(map(re.escape, _ALL_TITLES))})\.? ({_NAME}(?: {_NAME}){{0,2}})")
+_SOME_TITLE = re.compile("|".join(re.escape(t.rstrip(".")) for t in _ALL_TITLES), re.I)
+_INITIAL = re.compile(r"(?<!\w)[^\W\d_]\. ?\Z")
+_PERSON = re.compile(rf"(?<![\w.-])({'|'.join(re.escape(t.rstrip('.')) for t in _ALL_TITLES)})(\.?) ((?:{_NAME})(?: (?:{_NAME})){{0,2}})", re.I)
+
+
+def find_cards(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of digit groups are tried at every end with 13 to 19 digits, the longest first; what is no card is tried again inside.
+
+    A card in several groups begins with four digits, has one kind of separator and no group below three but the last.
+    """
+    for run in _RUN.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        i = 0
+        while i < len(groups):
+            digits, ends, sign = "", [], None
+            for j in range(i, len(groups)):
+                size = groups[j][1] - groups[j][0]
+                if j > i:
+                    sign = sign or text[groups[j][0] - 1]
+                    if groups[i][1] - groups[i][0] != 4 or text[groups[j][0] - 1] != sign or j > i + 1 and groups[j - 1][1] - groups[j - 1][0] < 3:
+                        break
+                digits += text[slice(*groups[j])] if size <= 19 else "0" * 20
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 13:
+                    ends.append((j, digits))
+            hit = next((j for j, d in reversed(ends) if "2" <= d[0] <= "6" and luhn_digit(d[:-1]) == int(d[-1])), None)
+            if hit is not None:
+                yield groups[i][0], groups[hit][1]
+            i = i + 1 if hit is None else hit + 1
+
+
+def iban_check(country: str, rest: str) -> str:
+    """The two check digits of an account number."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
+
+
+def find_ibans(text: str) -> Iterator[tuple[int, int]]:
+    for run in _IBAN.finditer(text):
+        ends = [m.end() for m in _WORD.finditer(text, *run.span())]
+        for end in reversed(ends):
+            value = text[run.start() : end].replace(" ", "")
+            if 15 <= len(value) <= 34 and iban_check(value[:2], value[4:]) == value[2:4] and not text[end : end + 1].isalnum():
+                yield run.start(), end
+                break
+
+
+def find_persons(text: str) -> Iterator[tuple[int, int, str]]:
+    """Names behind a title. Their case tells where they end: a title in capitals has names in capitals, any other capitalised ones."""
+    for m in _PERSON.finditer(text):
+        title, dot, words = m[1], m[2], m[3].split(" ")
+        shouted, whispered = title.isupper() and len(title) > 1, title.islower()
+        if title.lower() == "m" and (not dot or not title.isupper() or _INITIAL.search(text, max(0, m.start() - 4), m.start())):
+            continue
+        names: list[str] = []
+        behind = [*words[1:], text[m.end(3) : m.end(3) + 2].strip()]
+        for w, after in zip(words, behind, strict=True):
+            # such a word is a name only as the first one, and if no sentence goes on behind it
+            no_name = w.capitalize() in NO_NAMES and (names or after[:1].islower())
+            if no_name or w[0].islower() or shouted and w != w.upper():
+                break
+            names.append(w)
+        if not names and whispered and title in ("mr", "mrs") and words[0].islower() and words[0].capitalize() not in NO_NAMES:
+            names = words[:1]
+        if not names and shouted and words[0][0].isupper() and words[0].capitalize() not in NO_NAMES:
+            names = words[:1]
+        if names:
+            yield m.start(3), m.start(3) + len(" ".join(names)), "person_" + _TITLED[title.lower()]
 
 
 def is_entity(kind: str, value: str) -> bool:
-    """What a pattern alone can't tell: a card's check digit, and that an address is one."""
-    if kind == "card":
-        digits = re.sub(r"\D", "", value)
-        return luhn_digit(digits[:-1]) == int(digits[-1])
+    """What a pattern alone can't tell: that an address is one."""
     if kind == "ipv6":
         try:
             return bool(_DIGIT.search(value)) and ipaddress.IPv6Address(value) != 0
@@ -94,16 +173,11 @@ def find_entities(text: str | None) -> list[tuple[int, int, str]]:
     for kind, pattern in _NUMBERS:
         if digits or kind == "key":
             found += [(*m.span(), kind) for m in pattern.finditer(t) if is_entity(kind, m[0])]
-    if any(title in t for title in _ALL_TITLES):
-        for m in _PERSON.finditer(t):
-            names = []
-            for name in m[2].split(" "):
-                if name[:1].islower():
-                    break
-                names.append(name)
-            if names:
-                found.append((m.start(2), m.start(2) + len(" ".join(names)), "person_" + next(g for g, ts in TITLES.items() if m[1] in ts)))
-    order = {"email": 0, "secret": 1, "key": 2, "card": 3, "ssn": 4, "ipv4": 5, "ipv6": 6, "phone": 7}
+    if digits:
+        found += [(*span, "card") for span in find_cards(t)] + [(*span, "iban") for span in find_ibans(t)]
+    if _SOME_TITLE.search(t):
+        found += find_persons(t)
+    order = {"email": 0, "secret": 1, "key": 2, "iban": 3, "card": 4, "ssn": 5, "ipv4": 6, "ipv6": 7, "phone": 8}
     out, end = [], 0
     for s, e, kind in sorted(found, key=lambda x: (x[0], order.get(x[2], 9), -x[1])):
         if s >= end:
@@ -112,6 +186,11 @@ def find_entities(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
+def _shouted(name: str) -> bool:
+    """Written in capitals, initials apart."""
+    return name.isupper() and any(len(w) > 1 for w in name.split(" "))
+
+
 def canonical(kind: str, value: str) -> str:
     """What makes two mentions the same entity."""
     if kind == "email" or kind == "secret":
@@ -120,8 +199,12 @@ def canonical(kind: str, value: str) -> str:
         return str(ipaddress.IPv6Address(value))
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", value)
+    if kind == "iban":
+        return value.replace(" ", "")
     if kind == "phone":
         return re.sub(r"[^\d+]", "", value)
+    if kind.startswith("person") and (_shouted(value) or value.islower()):
+        return value.title()
     return value
 
 
@@ -218,6 +301,11 @@ def given_name(value: str, gender: str, script: str, key: str, tweak: str) -> st
 def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
     """The surrogate of a canonical value."""
     tweak = f"{kind}|{attempt}"
+    if attempt >= ATTEMPTS - 1:  # no value of its own format is free
+        return f"{kind}-{hashlib.blake2b(value.encode(), key=_round_key(key, kind), digest_size=16).hexdigest()}"
+    if kind == "iban":
+        rest = permute_text(value[4:], key, tweak + value[:2])
+        return value[:2] + iban_check(value[:2], rest) + rest
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
@@ -266,9 +354,15 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
 
 def fit_layout(kind: str, mention: str, new: str) -> str:
     """The surrogate in the mention's case and with its separators."""
-    if kind in ("card", "ssn", "phone"):
-        digits = iter(re.sub(r"\D", "", new))
-        return re.sub(r"\d", lambda _: next(digits), mention)
+    if kind in ("card", "ssn", "phone", "iban"):
+        signs = re.findall("[0-9A-Z]" if kind == "iban" else r"\d", mention)
+        own = new if kind == "iban" else re.sub(r"\D", "", new)
+        if len(own) != len(signs) or new.startswith(f"{kind}-"):
+            return new
+        given = iter(own)
+        return re.sub("[0-9A-Z]" if kind == "iban" else r"\d", lambda _: next(given), mention)
+    if kind.startswith("person"):
+        return new.upper() if _shouted(mention) else new.lower() if mention.islower() else new
     return new.upper() if kind in ("email", "secret", "ipv6") and mention.isupper() else new
 
 
@@ -304,7 +398,7 @@ def resolve_collisions(known: DataFrame, key: str) -> DataFrame:
         again = clash.withColumn("attempt", F.col("attempt") + 1).mapInPandas(draw, schema)
         before, now = now, materialise(now.join(clash.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(again), "surrogates")
         discard(before, clash)
-    raise ValueError("surrogates stay ambiguous: a format has too few values")
+    return now.filter("attempt > 0").select("kind", "value", "attempt")
 
 
 def replace_entities(text: str | None, key: str, exceptions: dict, memory: dict) -> tuple[str | None, int]:
