@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.lineage import shared
 from millrace.operators import chunking, classes, closure, convert, detect, docs, glossary, graph, ir, ir_file, labels, outline, rank_models, ranking, schema_ir, schemas, trees
 from millrace.sources import files, views
-from millrace.streaming.convert import stream_convert_and_chunk
+from millrace.streaming.convert import stream_convert_and_chunk, stream_payloads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -290,7 +290,7 @@ _SCHEMA_MD = """lower('# ' || p_name || chr(10) || '- type: object' || chr(10) |
     _with(views.ORDER_JSON, outline.JSON_OUTLINE_SQL, f"order_md AS ({outline.MARKDOWN_SQL})")
     + f"""SELECT 'order:' || doc_id AS doc_id, 'json_instance' AS kind, 200 AS status, md5(markdown) AS digest FROM order_md
     UNION ALL SELECT 'part:' || p_partkey, 'json_schema', 200, md5({_SCHEMA_MD}) FROM part
-    UNION ALL SELECT 'plain:' || p_partkey, '', 415, '' FROM part UNION ALL SELECT 'broken:' || p_partkey, '', 422, '' FROM part UNION ALL SELECT 'payload:' || p_partkey, '', 400, '' FROM part"""
+    UNION ALL SELECT 'plain:' || p_partkey, '', 415, '' FROM part UNION ALL SELECT 'broken:' || p_partkey, '', 500, '' FROM part UNION ALL SELECT 'payload:' || p_partkey, '', 400, '' FROM part"""
 )
 def convert_to_markdown(spark, sf_dir):
     named = lambda df, name: df.select(F.concat(F.lit(name), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.lit(None).cast("string").alias("error"))
@@ -927,3 +927,23 @@ def write_docs_jsonl(spark, sf_dir):
 def stream_convert_and_chunk_kinds(spark, sf_dir):
     out = stream_convert_and_chunk(spark, f"{sf_dir}/documents.parque[t]", "doc_id long, text string", shared(spark, "stream"))
     return spark.read.parquet(f"{out}/kinds").select("doc_id", "kind")
+
+
+_PAYLOADS = """
+p AS (SELECT s_suppkey AS k, 'f' || s_suppkey AS doc_id, s_name, s_suppkey % 6 AS m FROM supplier),
+md AS (SELECT doc_id, CASE m WHEN 0 THEN '# json instance' || chr(10) || '- type: object' || chr(10) || chr(10) || '## n' || chr(10) || '- type: float' || chr(10) || '- example: 1.0' || chr(10) || chr(10) || '## name' || chr(10) || '- type: string' || chr(10) || '- example: ' || lower(s_name)
+    WHEN 1 THEN '# T ' || k || chr(10) || 'plain ' || s_name ELSE '# yaml instance' || chr(10) || '- type: object' || chr(10) || chr(10) || '## k' || chr(10) || '- type: integer' || chr(10) || '- example: ' || k END AS text FROM p WHERE m IN (0, 1, 3))"""
+
+
+@query(f"WITH {_PAYLOADS.strip()} SELECT doc_id, CASE m WHEN 0 THEN 200 WHEN 3 THEN 200 WHEN 2 THEN 500 WHEN 4 THEN 400 ELSE 415 END AS status, coalesce(regexp_replace(text, '\\s+', ' ', 'g'), '') AS text FROM p LEFT JOIN md USING (doc_id)")
+def stream_payload_chunks(spark, sf_dir):
+    s = views.table(spark, sf_dir, "supplier")
+    k, m = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 6
+    text = F.when(m == 0, F.concat(F.lit('{"name":"'), "s_name", F.lit('","n":1.0}'))).when(m == 1, F.concat(F.lit("# T "), k, F.lit("\n\nplain "), "s_name")).when(m == 2, "<a><b>").when(m == 3, F.concat(F.lit("k: "), k)).otherwise("")
+    coded = F.when(m == 4, "*bad*").otherwise(F.base64(text.cast("binary")))
+    source, out = shared(spark, "payloads"), shared(spark, "stream")
+    s.select(F.concat(F.lit("f"), k).alias("filename"), coded.alias("content_base64")).write.json(source)
+    stream_payloads(spark, source, out, with_path=False)
+    chunks = spark.read.parquet(f"{out}/chunks").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "piece", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    known = s.select(F.concat(F.lit("f"), k).alias("doc_id")).join(spark.read.parquet(f"{out}/rejects").select("doc_id", "status"), "doc_id", "left").join(chunks, "doc_id", "left")
+    return known.select("doc_id", F.coalesce("status", F.lit(200)).alias("status"), F.coalesce(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("")).alias("text"))

@@ -10,9 +10,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.batches import byte_slices
+
 MARK = "\u0001"
 #: Headers as the scan sees them: the title may follow on a later line. Only \n ends a line; \s is Unicode.
 HEADER = r"(?dmU)^(#{1,6})\s+(.+?)\s*$"
@@ -184,17 +187,28 @@ def sections_of(text: str, deepest: int, strip_headers: bool) -> list[tuple[list
     return out
 
 
+#: What is known of a document's origin goes on to its sections and chunks.
+CARRIED = ("source_id", "source_file")
+
+
 def split_by_headers(docs: DataFrame, strip_headers: bool = False) -> DataFrame:
-    """Rows (doc_id, level, text) to ``doc_id, level, section, headers, content``."""
+    """Rows (doc_id, level, text) to ``doc_id, level, section, headers, content``, with ``source_id, source_file`` where they have them."""
+    carried = [c for c in CARRIED if c in docs.columns]
+    text = pa.string()
+    own = [("section", pa.int32()), ("headers", pa.list_(text)), ("content", text)]
+    schema = pa.schema([("doc_id", text), ("level", pa.int32()), *((c, text) for c in carried), *own])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for d, level, t in zip(f["doc_id"], f["level"], f["text"], strict=True):
-                rows += [(d, int(level), i, h, c) for i, (h, c) in enumerate(sections_of(t or "", int(level), strip_headers))]
-            yield pd.DataFrame(rows, columns=["doc_id", "level", "section", "headers", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, end in byte_slices(b.column("text")):
+                part, rows = b.slice(start, end - start), []
+                for d, level, *more, t in zip(*(part.column(c).to_pylist() for c in ("doc_id", "level", *carried, "text")), strict=True):
+                    rows += [(d, level, *more, i, h, c) for i, (h, c) in enumerate(sections_of(t or "", level, strip_headers))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "level", "text").mapInPandas(run, "doc_id string, level int, section int, headers array<string>, content string")
+    strings = [F.col(c).cast("string").alias(c) for c in ("doc_id", *carried)]
+    made = "doc_id string, level int, " + "".join(f"{c} string, " for c in carried) + "section int, headers array<string>, content string"
+    return docs.select(*strings, F.col("level").cast("int").alias("level"), "text").mapInArrow(run, made)
 
 
 def header_path(headers: Column) -> Column:
@@ -271,12 +285,14 @@ def chunk_documents(
     min_chars: int = 900,
     target: int | None = None,
 ) -> DataFrame:
-    """The whole job: ``doc_id, section, piece, level, header_path, is_subchunk, text, h1..h6``."""
+    """The whole job: ``doc_id, section, piece, level, header_path, is_subchunk, subchunk_index, text, h1..h6`` and the documents'
+    ``source_id, source_file`` where they have them. ``subchunk_index`` counts the pieces of a section that was cut."""
     check_parameters(max_header_level, max_chars, piece, overlap, prefix, min_chars, target)
+    carried = [c for c in CARRIED if c in docs.columns]
     if max_header_level:
-        leveled = docs.select("doc_id", F.lit(max_header_level).alias("level"), "text")
+        leveled = docs.select("doc_id", *carried, F.lit(max_header_level).alias("level"), "text")
     else:
-        leveled = level_scores(docs, max_chars, min_chars, target).select("doc_id", F.array_min("_scores")["level"].alias("level"), "text")
+        leveled = level_scores(docs, max_chars, min_chars, target).select("doc_id", *carried, F.array_min("_scores")["level"].alias("level"), "text")
     sections = split_by_headers(leveled, strip_headers).withColumn("header_path", header_path(F.col("headers")))
     block, rest = carry_header_block(F.col("content"))
     over = F.length("content") > max_chars
@@ -285,11 +301,17 @@ def chunk_documents(
     # one pass: a section that fits is its own only piece
     cut = split_oversize(sections, piece, overlap, separators)
     bodies = F.when(F.col("remainder").isNull(), F.array("content")).otherwise(F.col("pieces"))
-    rows = cut.select("doc_id", "section", "level", "headers", "header_path", head.alias("head"), "block", F.col("remainder").isNotNull().alias("is_subchunk"), F.posexplode_outer(bodies).alias("piece", "body"))
+    rows = cut.select("doc_id", *carried, "section", "level", "headers", "header_path", head.alias("head"), "block", F.col("remainder").isNotNull().alias("is_subchunk"), F.posexplode_outer(bodies).alias("piece", "body"))
     parts = F.array(F.rtrim(F.regexp_replace("head", r"\s+$", "")), F.col("block"), F.trim("body"))
     text = F.when(F.col("is_subchunk"), F.concat(F.array_join(F.filter(parts, lambda p: p != ""), "\n\n"), F.lit("\n"))).otherwise(F.concat("head", "body"))
     stack = [F.get("headers", F.lit(k)).alias(f"h{k + 1}") for k in range(6)]
-    return rows.filter("body IS NOT NULL").select("doc_id", "section", "piece", "level", "header_path", "is_subchunk", text.alias("text"), *stack)
+    index = F.when(F.col("is_subchunk"), F.col("piece"))
+    return rows.filter("body IS NOT NULL").select("doc_id", "section", "piece", "level", "header_path", "is_subchunk", index.alias("subchunk_index"), text.alias("text"), *stack, *carried)
+
+
+def number_chunks(chunks: DataFrame) -> DataFrame:
+    """Adds ``chunk_index``, the place of a chunk in its whole document, from 0."""
+    return chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "piece")) - 1)
 
 
 HEADERS_SQL = r"""

@@ -12,10 +12,11 @@ from millrace.operators.outline import ENUMS, EXAMPLE
 
 
 def convert_to_markdown(docs: DataFrame, max_enums: int = ENUMS, max_example: int = EXAMPLE) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, kind, markdown``), (``doc_id, status, error``) of rows (doc_id, text and perhaps error).
+    """(``doc_id, kind, markdown``), (``doc_id, status, error, kind``) of rows (doc_id, text and perhaps error).
 
-    Each text is in one of the two: 400 for a payload that was bad before, 415 where no kind is found, 422 where the
-    text is not what it looked like. The kinds are written once; each outline reads only its own.
+    Each text is in one of the two: 400 for a payload that was bad before, 415 where no kind is found, 500 where a parser
+    gives up on a text of its kind (XML, XSD and YAML that are broken), 422 where the text is not what it looked like. The
+    kinds are written once; each outline reads only its own.
     """
     rows = docs if "error" in docs.columns else docs.withColumn("error", F.lit(None).cast("string"))
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "error")
@@ -36,7 +37,8 @@ def convert_to_markdown(docs: DataFrame, max_enums: int = ENUMS, max_example: in
         out = out.unionByName(p.select("doc_id", "kind", "markdown"))
     out = written(out, "markdown")
     failed = found.join(out.select("doc_id"), "doc_id", "left_anti")
-    status = F.when(F.col("kind").isNull(), 415).otherwise(422)
-    error = F.when(F.col("kind").isNull(), "no kind fits").otherwise(F.concat(F.lit("not convertible as "), "kind"))
-    rejects = failed.select("doc_id", status.alias("status"), error.alias("error"))
-    return out, rejects.unionByName(rows.filter("error IS NOT NULL").select("doc_id", F.lit(400).alias("status"), "error"))
+    crashed = F.col("kind").isin(KINDS[2], KINDS[3], KINDS[6])
+    status = F.when(F.col("kind").isNull(), 415).when(crashed, 500).otherwise(422)
+    error = F.when(F.col("kind").isNull(), "no kind fits").otherwise(F.concat(F.when(crashed, "conversion crashed as ").otherwise("not convertible as "), "kind"))
+    rejects = failed.select("doc_id", status.alias("status"), error.alias("error"), "kind")
+    return out, rejects.unionByName(rows.filter("error IS NOT NULL").select("doc_id", F.lit(400).alias("status"), "error", F.lit(None).cast("string").alias("kind")))

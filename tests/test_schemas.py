@@ -117,7 +117,7 @@ def test_conversion_takes_each_text_once(spark):
     rows = [("j", '{"a": 1}', None), ("s", JSON_SCHEMA, None), ("x", XSD, None), ("m", "<a><b>1</b></a>", None), ("y", "k: v", None), ("p", "from dataclasses import dataclass\n@dataclass\nclass A:\n    x: int\n", None), ("n", "plain", None), ("b", "<a>", None), ("e", None, "bad payload"), ("0", "", None)]
     done, rejects = convert.convert_to_markdown(spark.createDataFrame(rows, "doc_id string, text string, error string"))
     assert {r.doc_id: r.kind for r in done.collect()} == {"j": "json_instance", "s": "json_schema", "x": "xsd_schema", "m": "xml_instance", "y": "yaml_instance", "p": "dataclass_model"}
-    assert {r.doc_id: r.status for r in rejects.collect()} == {"n": 415, "b": 422, "e": 400, "0": 415}
+    assert {r.doc_id: r.status for r in rejects.collect()} == {"n": 415, "b": 500, "e": 400, "0": 415}
 
 
 def test_packing_closes_after_the_field_that_fills(spark):
