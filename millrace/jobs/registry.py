@@ -498,6 +498,14 @@ def inline_entities(spark, sf_dir):
     return graph.inline_entities(e, known, roots, 3).withColumn("path", F.array_join("path", ">"))
 
 
+@query(graph.INLINE_SQL.format(edges=views.STAR_EDGES.strip()).replace("SELECT root, array_to_string(path, '>') AS path, depth, entity_id, role, status FROM x", "SELECT root, depth, entity_id, role, status, count(*)::BIGINT AS n FROM x GROUP BY ALL"))
+def inline_counts(spark, sf_dir):
+    e = views.star_edges(spark, sf_dir)
+    known = e.select(F.col("src").alias("entity_id")).union(e.select("dst")).filter("entity_id NOT LIKE 'missing:%'").distinct()
+    roots = e.filter("src LIKE 'region:%'").select(F.col("src").alias("entity_id")).distinct()
+    return graph.inline_counts(e, known, roots, 3).withColumn("n", F.col("n").cast("long"))
+
+
 @query(f"WITH RECURSIVE {views.STAR_EDGES.strip()}, r AS (SELECT DISTINCT src AS start, src AS node FROM star_edges WHERE src LIKE 'nation:%' UNION SELECT r.start, e.dst FROM r JOIN star_edges e ON e.src = r.node) SELECT start, count(*) AS n FROM r GROUP BY start")
 def schema_file_closure(spark, sf_dir):
     e = views.star_edges(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.lineage import discard, written
@@ -34,12 +34,16 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
         new, seen = fresh, both
 
 
-def inline_entities(edges: DataFrame, entities: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+def inline_entities(edges: DataFrame, entities: DataFrame, roots: DataFrame, max_depth: int | None = None, first: int | None = None) -> DataFrame:
     """Expands references from roots: ``root, path, depth, entity_id, role, status``, and ``places`` if edges have a ``pos``.
 
     status: ok, depth_cutoff (deeper than ``max_depth``, so not expanded), cycle (already on the path), missing (no such
     entity). A path never enters an entity twice, so without ``max_depth`` expansion ends by itself. Each level is
     written once and the next one starts from there.
+
+    With ``first`` at least the first so many rows of each root are complete, in the order of ``places`` (a node before what
+    is below it): of a level only that many can be among them, so shared sub-graphs, whose paths double from level to
+    level, cost no more than rows that are shown.
     """
     placed = "pos" in edges.columns
     edges = _small(edges if placed else edges.withColumn("pos", F.lit(0)))
@@ -49,7 +53,10 @@ def inline_entities(edges: DataFrame, entities: DataFrame, roots: DataFrame, max
         cycle = F.array_contains(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))), F.col("entity_id"))
         rows = rows.join(known, F.col("entity_id") == F.col("_known"), "left")
         status = F.when(F.lit(max_depth is not None and depth > (max_depth or 0)), "depth_cutoff").when(cycle, "cycle").when(F.col("_known").isNull(), "missing").otherwise("ok")
-        return written(rows.select("root", "path", F.lit(depth).alias("depth"), "entity_id", "role", status.alias("status"), "places"), "level")
+        rows = rows.select("root", "path", F.lit(depth).alias("depth"), "entity_id", "role", status.alias("status"), "places")
+        if first is not None:
+            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("places", "path"))).filter(F.col("_n") <= first).drop("_n")
+        return written(rows, "level")
 
     start = roots.select(F.col("entity_id").alias("root"), F.array("entity_id").alias("path"), "entity_id", F.lit("root").alias("role"), F.array().cast("array<int>").alias("places"))
     level = out = marked(start, 0)
@@ -63,6 +70,52 @@ def inline_entities(edges: DataFrame, entities: DataFrame, roots: DataFrame, max
     return out if placed else out.drop("places")
 
 
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """``node``: all nodes on cycles, and those between cycles; ends are peeled off until every node has a way in and out."""
+    left = written(edges.select("src", "dst").distinct(), "core")
+    n = left.count()
+    while n:
+        inner = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
+        inner = written(inner, "inner")
+        kept = left.join(inner.select(F.col("node").alias("src")), "src", "left_semi").join(inner.select(F.col("node").alias("dst")), "dst", "left_semi")
+        kept = written(kept.select("src", "dst"), "core")
+        before, n = n, kept.count()
+        discard(left, inner)
+        left = kept
+        if n == before:
+            break
+    return left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+
+
+def inline_counts(edges: DataFrame, entities: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``root, depth, entity_id, role, status, n``: how many rows of ``inline_entities`` there are of each, without listing paths.
+
+    What is below an entity depends on its path only through entities that can come again: those of the cyclic core. Rows
+    with the same entity, role and core entities on their path are one row with a count, so a graph without cycles needs
+    no more rows a level than it has edges, however many paths there are.
+    """
+    rows_of = _small(edges.select("src", "dst", "role"))
+    known = entities.select(F.col("entity_id").alias("_known")).distinct()
+    core = written(cyclic_core(edges).select(F.col("node").alias("_core")), "core")
+
+    def marked(rows: DataFrame, depth: int) -> DataFrame:
+        rows = rows.groupBy("root", "entity_id", "role", "marks").agg(F.sum("n").alias("n"))
+        rows = rows.join(known, F.col("entity_id") == F.col("_known"), "left").join(core, F.col("entity_id") == F.col("_core"), "left")
+        status = F.when(F.lit(max_depth is not None and depth > (max_depth or 0)), "depth_cutoff").when(F.array_contains("marks", F.col("entity_id")), "cycle").when(F.col("_known").isNull(), "missing").otherwise("ok")
+        marks = F.when(F.col("_core").isNotNull(), F.array_sort(F.array_union("marks", F.array("entity_id")))).otherwise(F.col("marks"))
+        return written(rows.select("root", F.lit(depth).alias("depth"), "entity_id", "role", status.alias("status"), marks.alias("marks"), "n"), "counts")
+
+    start = roots.select(F.col("entity_id").alias("root"), "entity_id", F.lit("root").alias("role"), F.array().cast("array<string>").alias("marks"), F.lit(1).cast("decimal(38,0)").alias("n"))
+    level, depth = marked(start, 0), 0
+    out = level
+    while level.filter("status = 'ok'").limit(1).count():
+        depth += 1
+        step = level.filter("status = 'ok'").select("root", "marks", "n", F.col("entity_id").alias("at")).join(rows_of, F.col("at") == F.col("src"))
+        level = marked(step.select("root", F.col("dst").alias("entity_id"), "role", "marks", F.col("n").cast("decimal(38,0)").alias("n")), depth)
+        out = out.unionByName(level)
+    return out.groupBy("root", "depth", "entity_id", "role", "status").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+
+
 INLINE_SQL = """
 WITH RECURSIVE {edges}, known AS (SELECT DISTINCT src AS e FROM star_edges UNION SELECT dst FROM star_edges WHERE dst NOT LIKE 'missing:%'),
 x AS (
