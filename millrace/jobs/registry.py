@@ -915,10 +915,37 @@ def entity_inline_docs(spark, sf_dir):
     return docs.entity_inline_docs(graph.inline_entities(edges, entities, roots, 2), entities, fields)
 
 
-@query()
+_ALL_DOCS = f"""
+kk AS (SELECT {_DOC}, pos, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS kinds FROM rich WHERE field_name IS NOT NULL GROUP BY ALL),
+links AS (SELECT DISTINCT {_DOC}, type_ref AS t FROM fields WHERE type_ref IS NOT NULL UNION SELECT {_DOC}, target FROM relations),
+en AS (SELECT e.*, coalesce(string_agg(t, ',' ORDER BY t), '') AS refs, string_agg('- ' || t, chr(10) ORDER BY t) AS listed FROM entities e LEFT JOIN links USING (bundle, entity_id) GROUP BY ALL),
+fd AS (SELECT f.*, e.name AS shown, e.refs, e.source_file, kinds FROM fields f JOIN en e USING (bundle, entity_id) LEFT JOIN kk ON kk.bundle = f.bundle AND kk.entity_id = f.entity_id AND kk.pos = f.pos),
+cl AS (SELECT r.bundle, r.entity_id, e.name AS shown, e.refs, e.source_file, pos, '  - kind=' || r.kind || coalesce(' target=' || coalesce(target, e.name || '.' || field_name), '')
+        || coalesce(' values=[' || array_to_string(list_transform(values[1:20], lambda v: chr(39) || v || chr(39)), ', ') || ']' || CASE WHEN len(values) > 20 THEN '...' ELSE '' END, '')
+        || coalesce(' pattern=' || pattern, '') || CASE WHEN minimum IS NOT NULL THEN ' range=[' || minimum || ',' || maximum || ']' ELSE '' END
+        || coalesce(' length=[' || min_length || ',None]', '') || coalesce(' format=' || format, '') || coalesce(' const=' || const, '') || coalesce(' message=' || message, '') AS line FROM rich r JOIN en e USING (bundle, entity_id)),
+lines AS ({_LINES}),
+{glossary.GLOSSARY_SQL.rstrip().replace("SELECT r.bundle, r.number::BIGINT", ", pages AS (SELECT r.bundle, r.number::BIGINT")}),
+docs AS (
+    SELECT {_DOC}, 'entity_header' AS type, 1 AS part, '' AS tail, '# Entity: ' || name || chr(10) || 'EntityId: ' || entity_id || chr(10) || 'Bundle: ' || bundle || ' | Source: star 1 | Kind: ' || kind || chr(10) || 'Source files: ' || source_file
+        || coalesce(chr(10) || chr(10) || 'Description:' || chr(10) || description, '') || chr(10) AS text, 'entity_name=' || name || ';kind=object;refs=' || refs || ';source_files=' || source_file AS meta FROM en
+    UNION ALL SELECT {_DOC}, 'entity_fields', 1, '::001', '## Fields for ' || shown || ' (1/1)' || chr(10) || string_agg({_BLOCK} || coalesce(chr(10) || '  - description: ' || description, '') || coalesce(chr(10) || '  - constraints: ' || kinds, ''), chr(10) ORDER BY pos) || chr(10),
+        'chunk_index=1;chunk_total=1;entity_name=' || shown || ';kind=object;paths=' || string_agg(shown || '.' || name, ',' ORDER BY pos) || ';refs=' || refs || ';source_files=' || source_file FROM fd GROUP BY bundle, entity_id, shown, refs, source_file
+    UNION ALL SELECT {_DOC}, 'entity_constraints', 1, '', '## Constraints for ' || shown || chr(10) || string_agg(line, chr(10) ORDER BY pos, line) || chr(10), 'entity_name=' || shown || ';kind=object;refs=' || refs || ';source_files=' || source_file FROM cl GROUP BY bundle, entity_id, shown, refs, source_file
+    UNION ALL SELECT e.bundle, e.entity_id, 'entity_relationships', 1, '', '## Relationships for ' || name || coalesce(chr(10) || 'Extends:' || chr(10) || '- ref:' || x.target, '') || coalesce(chr(10) || 'References:' || chr(10) || listed, '')
+        || chr(10) || 'Provenance files:' || chr(10) || '- ' || source_file || chr(10), 'entity_name=' || name || ';kind=object;refs=' || refs || ';source_files=' || source_file FROM en e LEFT JOIN (SELECT * FROM relations WHERE role = 'extends') x USING (bundle, entity_id)
+    UNION ALL SELECT {_DOC}, 'field_fact', pos, '::' || printf('%03d', pos), '# Field: ' || shown || '.' || name || chr(10) || 'Type: ' || {_TYPE} || ' ' || {_CARD} || coalesce(chr(10) || 'Description: ' || description, '') || coalesce(chr(10) || 'Constraints: ' || kinds, '') || chr(10),
+        'entity_name=' || shown || ';field=' || name || ';kind=object;path=' || shown || '.' || name || ';refs=' || refs || ';source_files=' || source_file FROM fd)
+SELECT bundle || '::' || type || '::' || entity_id || tail AS doc_id, bundle, entity_id, type, part::INT AS part, md5(text) AS digest, meta FROM docs
+UNION ALL SELECT bundle || '::glossary::' || printf('%03d', number), bundle, '', 'glossary', number::INT, md5(text), 'chunk_index=' || number || ';chunk_total=' || total FROM pages"""
+
+
+@query(f"WITH RECURSIVE {views.STAR_IR.strip()}, {views.STAR_CONSTRAINTS.strip()}, {views.STAR_RELATIONS.strip()}, {_ALL_DOCS.strip()}")
 def build_docs(spark, sf_dir):
     entities, fields, _ = views.star_ir(spark, sf_dir)
-    return docs.build_docs(entities, fields, views.star_constraints(spark, sf_dir), views.star_relations(spark, sf_dir))
+    out = docs.build_docs(entities, fields, views.star_constraints(spark, sf_dir), views.star_relations(spark, sf_dir))
+    meta = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+    return out.select("doc_id", "bundle", F.coalesce("entity_id", F.lit("")).alias("entity_id"), "type", "part", F.md5("text").alias("digest"), meta.alias("meta"))
 
 
 @query("SELECT o_orderkey::VARCHAR AS entity, count(*) OVER () > 0 AS written FROM orders")
