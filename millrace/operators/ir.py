@@ -135,6 +135,12 @@ def apply_mappings(rules: DataFrame, entities: DataFrame) -> DataFrame:
     return out.withColumn("warning", F.when(F.col("_loaded").isNotNull() & F.col("_there").isNull(), "target entity missing")).drop("_loaded", "_there")
 
 
+def entity_mappings(mapped: DataFrame) -> DataFrame:
+    """``bundle, entity_id, mappings``: applied mappings as a list per source entity, ordered by target: what its IR says of them."""
+    record = F.struct("to_bundle", "to_entity", "relation", "warning")
+    return mapped.groupBy(F.col("from_bundle").alias("bundle"), F.col("from_entity").alias("entity_id")).agg(F.array_sort(F.collect_list(record)).alias("mappings"))
+
+
 def resolve_names(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """References (bundle, ns, local) to the symbol of the smallest ``rank``; null where there is none."""
     best = symbols.groupBy("bundle", "ns", "local").agg(F.min(F.struct("rank", "entity_id")).alias("s"))
@@ -147,10 +153,17 @@ def select_entrypoints(files: DataFrame, listed: DataFrame) -> DataFrame:
     return files.join(listed, ["bundle", "path"], "left_semi").unionByName(files.join(has, "bundle", "left_anti"))
 
 
-def select_inline_roots(entities: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Entities asked for by exact id, or without case by name or short id (column ``wanted``)."""
-    rows = entities.select(*KEYS, F.explode(F.array(F.concat(F.lit("id:"), "entity_id"), F.concat(F.lit("n:"), F.lower("name")), F.concat(F.lit("n:"), F.lower(short_id(F.col("entity_id")))))).alias("k"))
-    keys = wanted.select(F.explode(F.array(F.concat(F.lit("id:"), "wanted"), F.concat(F.lit("n:"), F.lower("wanted")))).alias("k")).distinct()
+def select_inline_roots(entities: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Entities asked for by exact id, or without case by name or short id (column ``wanted``, blanks around it don't count).
+
+    Without a list: the entities that have been expanded before (column ``inlined``), none where that is unknown.
+    """
+    if wanted is None:
+        return entities.filter(F.col("inlined") if "inlined" in entities.columns else F.lit(False)).select(*KEYS).distinct()
+    name = display_name(F.col("name"), F.col("entity_id"))
+    rows = entities.select(*KEYS, F.explode(F.array(F.concat(F.lit("id:"), "entity_id"), F.concat(F.lit("n:"), F.lower(name)), F.concat(F.lit("n:"), F.lower(short_id(F.col("entity_id")))))).alias("k"))
+    asked = wanted.select(F.trim("wanted").alias("wanted")).filter("wanted <> ''")
+    keys = asked.select(F.explode(F.array(F.concat(F.lit("id:"), "wanted"), F.concat(F.lit("n:"), F.lower("wanted")))).alias("k")).distinct()
     return rows.join(keys, "k", "left_semi").select(*KEYS).distinct()
 
 
