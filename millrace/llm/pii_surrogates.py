@@ -75,16 +75,18 @@ _NUMBERS = (
     ("phone", re.compile(r"(?<![\w+.-])0\d([ .-])\d{2}(?:\1\d{2}){3}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+.-])(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}([ .-])\d{3}\1\d{4}|0\d{2,4} \d{3,4} \d{3,4})(?![\w-])")),
 )
-_RUN = re.compile(r"(?<![\d+])\d(?:[ -]?\d)*+")
+#: What a pattern must not follow is asked of its matches: they are few, and without it white space and words are passed over quickly.
+_RUN = re.compile(r"\d(?:[ -]?\d){12,}+")
 _GROUP = re.compile(r"\d+")
-_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{1,4}){3,9}+")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{1,4}){3,9}+")
 _WORD = re.compile(r"[0-9A-Z]+")
 _ALL_TITLES = tuple(t for ts in TITLES.values() for t in ts)
 _TITLED = {t.rstrip(".").lower(): g for g, ts in TITLES.items() for t in ts}
 _NAME = r"[^\W\d_]+(?:['’-](?![^\W\d_]\b)[^\W\d_]+)*"
-_SOME_TITLE = re.compile("|".join(re.escape(t.rstrip(".")) for t in _ALL_TITLES), re.I)
+#: Titles as they are written: as given, in capitals, in small letters; "M" only with its point.
+_FORMS = sorted({f for t in _ALL_TITLES if t != "M." for f in (t, t.upper(), t.lower())}, key=len, reverse=True)
 _INITIAL = re.compile(r"(?<!\w)[^\W\d_]\. ?\Z")
-_PERSON = re.compile(rf"(?<![\w.-])({'|'.join(re.escape(t.rstrip('.')) for t in _ALL_TITLES)})(\.?) ((?:{_NAME})(?: (?:{_NAME})){{0,2}})", re.I)
+_PERSON = re.compile(rf"({'|'.join(map(re.escape, _FORMS))}|M(?=\. ))(\.?) ((?:{_NAME})(?: (?:{_NAME})){{0,2}})")
 
 
 def find_cards(text: str) -> Iterator[tuple[int, int]]:
@@ -93,9 +95,7 @@ def find_cards(text: str) -> Iterator[tuple[int, int]]:
     A card in several groups begins with four digits, has one kind of separator and no group below three but the last.
     """
     for run in _RUN.finditer(text):
-        if run.end() - run.start() < 13:
-            continue
-        groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        groups = [m.span() for m in _GROUP.finditer(text, *run.span())][text[run.start() - 1 : run.start()] == "+" :]
         i = 0
         while i < len(groups):
             digits, ends, sign = "", [], None
@@ -122,21 +122,32 @@ def iban_check(country: str, rest: str) -> str:
 
 
 def find_ibans(text: str) -> Iterator[tuple[int, int]]:
-    for run in _IBAN.finditer(text):
+    at = 0
+    while run := _IBAN.search(text, at):
+        at = run.start() + 1
+        if text[run.start() - 1 : run.start()].isalnum():
+            continue
         ends = [m.end() for m in _WORD.finditer(text, *run.span())]
         for end in reversed(ends):
             value = text[run.start() : end].replace(" ", "")
             if 15 <= len(value) <= 34 and iban_check(value[:2], value[4:]) == value[2:4] and not text[end : end + 1].isalnum():
                 yield run.start(), end
+                at = end
                 break
 
 
 def find_persons(text: str) -> Iterator[tuple[int, int, str]]:
     """Names behind a title. Their case tells where they end: a title in capitals has names in capitals, any other capitalised ones."""
-    for m in _PERSON.finditer(text):
-        title, dot, words = m[1], m[2], m[3].split(" ")
+    at = 0
+    while m := _PERSON.search(text, at):
+        # inside a word it is no title, but one may follow
+        before = text[m.start() - 1 : m.start()]
+        at = m.start() + 1
+        if before.isalnum() or before in ("_", ".", "-") and before:
+            continue
+        title, words = m[1], m[3].split(" ")
         shouted, whispered = title.isupper() and len(title) > 1, title.islower()
-        if title.lower() == "m" and (not dot or not title.isupper() or _INITIAL.search(text, max(0, m.start() - 4), m.start())):
+        if title == "M" and _INITIAL.search(text, max(0, m.start() - 4), m.start()):
             continue
         names: list[str] = []
         behind = [*words[1:], text[m.end(3) : m.end(3) + 2].strip()]
@@ -151,7 +162,8 @@ def find_persons(text: str) -> Iterator[tuple[int, int, str]]:
         if not names and shouted and words[0][0].isupper() and words[0].capitalize() not in NO_NAMES:
             names = words[:1]
         if names:
-            yield m.start(3), m.start(3) + len(" ".join(names)), "person_" + _TITLED[title.lower()]
+            at = m.start(3) + len(" ".join(names))
+            yield m.start(3), at, "person_" + _TITLED[title.lower()]
 
 
 def is_entity(kind: str, value: str) -> bool:
@@ -175,8 +187,7 @@ def find_entities(text: str | None) -> list[tuple[int, int, str]]:
             found += [(*m.span(), kind) for m in pattern.finditer(t) if is_entity(kind, m[0])]
     if digits:
         found += [(*span, "card") for span in find_cards(t)] + [(*span, "iban") for span in find_ibans(t)]
-    if _SOME_TITLE.search(t):
-        found += find_persons(t)
+    found += find_persons(t)
     order = {"email": 0, "secret": 1, "key": 2, "iban": 3, "card": 4, "ssn": 5, "ipv4": 6, "ipv6": 7, "phone": 8}
     out, end = [], 0
     for s, e, kind in sorted(found, key=lambda x: (x[0], order.get(x[2], 9), -x[1])):
