@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -52,10 +55,18 @@ def byte_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
 def worker_memory(owner: Hashable = None, make: Callable[[], Any] = lambda: None) -> Any:
     """What this worker process keeps for the tasks of one owner: another owner's call drops it, none keeps nothing.
 
-    Spark reuses workers, so without this a stage would hold its memory for all stages after it.
+    Spark reuses workers, so without this a stage would hold its memory for all stages after it. What the one before has
+    freed goes back to the system, too, as far as the allocators can give it.
     """
     kept = sys.__dict__.get("_millrace_memory")
     if kept is None or kept[0] != owner:
         sys.__dict__.pop("_millrace_memory", None)
+        kept = None
+        gc.collect()
+    if owner is None or kept is None:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+    if kept is None:
         kept = sys.__dict__["_millrace_memory"] = (owner, make())
     return kept[1]
