@@ -35,7 +35,7 @@ END_ID = 1
 #: The public file that workers look up where no path is given.
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces remembered by a worker (about 200 bytes each); beyond it the memory starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 160_000
 #: Pieces encoded at once, to bound what the library holds.
 LEARN_AT_ONCE = 2_000
 #: Text bytes taken from a batch at once.
