@@ -9,8 +9,10 @@ contradict another dimension's targets, the budget is met and the targets as nea
 are drawn by a hash of doc_id and text, so a draw repeats exactly and never depends on partitioning.
 
 Topics are the clusters of a spherical k-means over hashed word frequencies (square roots, so that a frequent word does
-not drown the others) less their language's mean, so that topics don't repeat languages. They are fitted on a bounded
-sample of documents (``TOPIC_ROWS``, the first by a hash); every document goes to its nearest one. Give ``topic_col`` where the table has its own. Tokens are white-space separated words.
+not drown the others) less their language's mean, so that topics don't repeat languages. Every document with words
+counts: the first job writes its vector, and means, starts and rounds are jobs over all vectors. These are rounded to steps,
+so that their sums and products are exact and no centre depends on partitioning. Every document goes to its nearest centre.
+Give ``topic_col`` where the table has its own. Tokens are white-space separated words.
 
 Cells are few and raked on the driver up to a checked number; beyond it the same cap
 cycles, with the same sweeps, tolerance and final scale, run as grouped joins.
@@ -25,22 +27,27 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from millrace.llm._common import materialise, table, worker_memory
+from millrace.llm._common import discard, hinted, materialise, table, worker_memory
 
 DIMS = ("source", "lang", "topic")
-#: Topics, the hashed places of a text's words, and the most documents the topics are fitted on.
+#: Topics, and the hashed places of a text's words.
 TOPICS = 8
 PLACES = 256
-TOPIC_ROWS = 4000
+#: Steps of one in vectors (16 bits hold them) and in centres: a product of both has less than 53 bits.
+UNIT = 1 << 14
+FINE = 1 << 24
+#: Vectors that a task works on at once, languages whose sums and words whose places it holds.
+BLOCK = 2048
+HELD_LANGS = 1024
+HELD_WORDS = 1 << 16
 #: Exponents that temper the observed shares into targets.
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 #: Share of all tokens to keep; less only where the categories with a target have less.
@@ -55,27 +62,71 @@ STALLED = 1e-4
 DRIVER_CELLS = 200_000
 #: Categories of a dimension up to which their factors are broadcast in distributed raking.
 FEW_CATEGORIES = 10_000
-_MEASURED = StructType([StructField("topic", IntegerType()), StructField("tokens", LongType())])
+_MEASURED = StructType([StructField("tokens", LongType()), StructField("terms", BinaryType())])
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
-def term_vector(text: str) -> np.ndarray:
-    """Square roots of hashed word counts, of length one; all zero for a text without words."""
-    counts = Counter(_WORD.findall(text.lower()))
-    places = np.fromiter((zlib.crc32(w.encode()) % PLACES for w in counts), np.int64, len(counts))
-    v = np.sqrt(np.bincount(places, np.fromiter(counts.values(), float, len(counts)), PLACES))
+def term_vector(text: str, places: dict[str, int] | None = None) -> np.ndarray:
+    """Square roots of hashed word counts, of length one; all zero for a text without words. ``places`` remembers words."""
+    places = {} if places is None else places
+    found = []
+    for word in _WORD.findall(text.lower()):
+        place = places.get(word)
+        if place is None:
+            if len(places) >= HELD_WORDS:
+                places.clear()
+            place = places[word] = zlib.crc32(word.encode()) % PLACES
+        found.append(place)
+    v = np.sqrt(np.bincount(np.array(found, np.int64), minlength=PLACES))
     return v / max(1e-12, float(np.sqrt(v @ v)))
 
 
-def k_means(x: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in steps; rows of zeros stay."""
+    return np.rint(x / np.maximum(1e-12, np.sqrt((x * x).sum(axis=1, keepdims=True))) * UNIT).astype("<i2")
+
+
+def totals(x: np.ndarray) -> np.ndarray:
+    """Sums of the vectors with any word, and how many they are."""
+    x = x[x.any(axis=1)]
+    return np.append(x.sum(axis=0, dtype=np.int64), len(x))
+
+
+def mean_of(sums: np.ndarray) -> np.ndarray:
+    return sums[:PLACES] / (UNIT * max(1, int(sums[PLACES])))
+
+
+def apart(x: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Directions of vectors from their languages' means."""
+    return units(x / UNIT - means)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x / UNIT @ centres.T).argmax(axis=1)
+
+
+def farthest(x: np.ndarray, centres: np.ndarray) -> tuple[float, bytes]:
+    """The vector whose nearest centre is farthest, behind its closeness; of equal ones the first by bytes."""
+    near = (x / UNIT @ centres.T).max(axis=1) if len(centres) else np.zeros(len(x))
+    return float(near.min()), min(v.tobytes() for v in x[near == near.min()])
+
+
+def member_totals(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Sums and numbers of the vectors nearest to each centre."""
+    near = nearest(x, centres)
+    ones = (near == np.arange(len(centres))[:, None]).astype(float)
+    return np.rint(np.hstack([ones @ x, ones.sum(axis=1, keepdims=True)])).astype(np.int64)
+
+
+def k_means(far: Callable[[np.ndarray], bytes], members: Callable[[np.ndarray], np.ndarray], k: int, rounds: int = 30) -> np.ndarray:
     """Centres of length one; starts from rows that are far from the ones before, so equal input gives equal centres."""
-    centres = x[:1]
-    while len(centres) < min(k, len(x)):
-        centres = np.vstack([centres, x[int((x @ centres.T).max(axis=1).argmin())]])
+    centres = np.zeros((0, PLACES))
+    while len(centres) < k:
+        centres = np.vstack([centres, np.frombuffer(far(centres), "<i2") / UNIT])
     for _ in range(rounds):
-        near = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[near == j].sum(axis=0) if (near == j).any() else c for j, c in enumerate(centres)])
-        new = sums / np.maximum(1e-12, np.sqrt((sums * sums).sum(axis=1, keepdims=True)))
+        sums = members(centres)
+        directions = sums[:, :PLACES] / np.maximum(1e-12, np.sqrt((sums[:, :PLACES].astype(float) ** 2).sum(axis=1, keepdims=True)))
+        new = np.where(sums[:, PLACES:] > 0, np.rint(directions * FINE) / FINE, centres)
         if np.allclose(new, centres):
             break
         centres = new
@@ -83,46 +134,115 @@ def k_means(x: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
 
 
 class Topics:
-    """Centres of topics and the mean term vector of each language (under None: of all)."""
+    """Centres of topics and the mean term vector of each language (under None: of all), of vectors at hand."""
 
     def __init__(self, langs: list[str | None], x: np.ndarray, k: int):
-        self.means = {None: x.mean(axis=0) if len(x) else np.zeros(PLACES)}
+        x = units(x)
+        self.means = {None: mean_of(totals(x))}
         for lang in {v for v in langs if v is not None}:
-            self.means[lang] = x[[v == lang for v in langs]].mean(axis=0)
-        apart = x - np.stack([self.means[v] for v in langs]) if len(x) else x
-        self.centres = k_means(apart / np.maximum(1e-12, np.sqrt((apart * apart).sum(axis=1, keepdims=True))), k) if len(x) else np.eye(1, PLACES)
+            self.means[lang] = mean_of(totals(x[[v == lang for v in langs]]))
+        words = x.any(axis=1)
+        x = apart(x, np.stack([self.means[v] for v in langs]))[words] if len(x) else x
+        self.centres = k_means(lambda c: farthest(x, c)[1], lambda c: member_totals(x, c), min(k, len(x))) if len(x) else np.eye(1, PLACES)
 
     def nearest(self, text: str, lang: str | None) -> int:
-        apart = term_vector(text) - self.means.get(lang, self.means[None])
-        return int((self.centres @ apart).argmax())
+        mean = self.means.get(lang, self.means[None])
+        return int(nearest(apart(units(term_vector(text)[None]), mean[None]), self.centres)[0])
+
 
+def _blocks(*columns: pd.Series) -> Iterator[tuple[np.ndarray, ...]]:
+    """Vectors of binary columns, a bounded number of rows at a time; the first has steps, the others numbers."""
+    for at in range(0, len(columns[0]), BLOCK):
+        parts = [b"".join(c.iloc[at : at + BLOCK]) for c in columns]
+        yield tuple(np.frombuffer(p, "<f8" if n else "<i2").reshape(-1, PLACES) for n, p in enumerate(parts))
 
-def fit_topics(docs: DataFrame, k: int = TOPICS, rows: int = TOPIC_ROWS) -> Topics:
-    """Topics of at most ``rows`` documents with words; their vectors are all that reaches the driver."""
-    picked = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64(F.lit(29), F.col("_id").cast("string")), "_id").limit(rows)
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("_id"))).filter("text IS NOT NULL").dropDuplicates(["_id"])
+
+def language_means(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(``_lang, mean`` of each language with words, sums of all vectors) of ``lang, terms``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memory()
+        held: dict[str | None, np.ndarray] = {}
         for f in frames:
-            yield pd.DataFrame({"lang": f["lang"], "x": [term_vector(t) for t in f["text"]]})
-
-    got = sample.select("text", F.col("lang").cast("string").alias("lang")).mapInPandas(run, "lang string, x array<double>").toPandas()
-    x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, PLACES))
-    order = np.lexsort(np.round(x, 9).T[::-1])  # tasks return rows in any order
-    order = order[x[order].any(axis=1)]
-    langs = [None if pd.isna(v) else v for v in got["lang"].to_numpy()[order]]
-    return Topics(langs, x[order], k)
+            for lang, part in f.groupby("lang", dropna=False)["terms"]:
+                lang = None if pd.isna(lang) else lang
+                for (x,) in _blocks(part):
+                    held[lang] = held.get(lang, 0) + totals(x)
+                if len(held) >= HELD_LANGS:
+                    yield pd.DataFrame({"lang": list(held), "sums": list(held.values())})
+                    held = {}
+        yield pd.DataFrame({"lang": pd.Series(list(held), dtype=object), "sums": pd.Series(list(held.values()), dtype=object)})
+
+    @F.pandas_udf("binary")
+    def mean(sums: pd.Series) -> pd.Series:
+        return pd.Series([mean_of(s).astype("<f8").tobytes() for s in sums], dtype=object)
+
+    parts = rows.select("lang", "terms").filter("terms IS NOT NULL").mapInPandas(run, "lang string, sums array<long>")
+    each = parts.select("lang", F.posexplode("sums").alias("place", "s")).groupBy("lang", "place").agg(F.sum("s").alias("s"))
+    whole = each.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda p: p["s"]).alias("sums"))
+    means = materialise(whole.select(F.col("lang").alias("_lang"), "sums", mean("sums").alias("mean")), "means")
+    sums = np.zeros(PLACES + 1, np.int64)
+    for r in means.select(F.posexplode("sums").alias("place", "s")).groupBy("place").agg(F.sum("s").alias("s")).collect():
+        sums[r.place] = r.s
+    return means.filter(F.get("sums", F.lit(PLACES)) > 0).select("_lang", "mean"), sums
+
+
+def fit_topics(rows: DataFrame, k: int = TOPICS) -> tuple[DataFrame, Column, np.ndarray]:
+    """(``rows`` with the ``mean`` of their language, the number of their topic, centres), fitted on all ``lang, terms``.
+
+    Each start and each round is a job over all vectors that brings back one vector or the sums of each topic.
+    """
+    means, sums = language_means(rows)
+    near = hinted(means, means.count(), FEW_CATEGORIES)
+    rows = rows.join(near, F.col("lang") == F.col("_lang"), "left").withColumn("mean", F.coalesce("mean", F.lit(mean_of(sums).astype("<f8").tobytes()))).drop("_lang")
 
+    def directions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memory()
+        for f in frames:
+            for x, means in _blocks(f["terms"], f["mean"]):
+                yield pd.DataFrame({"v": pd.Series([v.tobytes() for v in apart(x, means)[x.any(axis=1)]], dtype=object)})
+
+    vectors = materialise(rows.filter("terms IS NOT NULL").select("terms", "mean").mapInPandas(directions, "v binary"), "vectors")
+
+    def far(centres: np.ndarray) -> bytes:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = [farthest(x, centres) for f in frames for (x,) in _blocks(f["v"])]
+            if found:
+                yield pd.DataFrame([min(found)], columns=["near", "v"])
+
+        return bytes(vectors.mapInPandas(run, "near double, v binary").agg(F.min(F.struct("near", "v")).alias("x")).first().x.v)
+
+    def members(centres: np.ndarray) -> np.ndarray:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = np.zeros((len(centres), PLACES + 1), np.int64)
+            for f in frames:
+                for (x,) in _blocks(f["v"]):
+                    found += member_totals(x, centres)
+            yield pd.DataFrame({"topic": range(len(found)), "sums": list(found)})
+
+        parts = vectors.mapInPandas(run, "topic int, sums array<long>").select("topic", F.posexplode("sums").alias("place", "s"))
+        out = np.zeros((len(centres), PLACES + 1), np.int64)
+        for r in parts.groupBy("topic", "place").agg(F.sum("s").alias("s")).collect():
+            out[r.topic, r.place] = r.s
+        return out
+
+    centres = k_means(far, members, min(k, int(sums[PLACES]))) if sums[PLACES] else np.eye(1, PLACES)
+    discard(vectors)
+
+    @F.pandas_udf("int")
+    def topic(terms: pd.Series, means: pd.Series) -> pd.Series:
+        worker_memory()
+        none = bytes(2 * PLACES)
+        found = [nearest(apart(x, m), centres) for x, m in _blocks(terms.map(lambda t: t or none), means)]
+        return pd.Series(np.concatenate(found) if found else [], dtype="int32")
 
-def topic_and_tokens(text: str | None, lang: str | None, topics: Topics) -> tuple[int, int]:
-    tokens = len((text or "").split())
-    return (topics.nearest(text, lang) if tokens else -1), tokens
+    return rows, topic("terms", "mean"), centres
 
 
 def measured(docs: DataFrame, topic_col: str | None = None, columns: list[str] | None = None, seed: int = 17) -> DataFrame:
     """``_row`` (all columns, or those asked for), ``source, lang, topic, tokens`` and the document's uniform draw ``u``.
 
-    Written once: texts are read here and not again.
+    Texts are read once here: what is measured of them is written, and the topics are fitted on that.
     """
     row = F.struct(*[F.col(c) for c in columns or docs.columns]).alias("_row")
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
@@ -132,15 +252,18 @@ def measured(docs: DataFrame, topic_col: str | None = None, columns: list[str] |
         tokens = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
         rows = docs.select(*names, F.col(topic_col).cast("string").alias("topic"), tokens.alias("tokens"), u.alias("u"))
         return materialise(rows, "measures")
-    topics = fit_topics(docs)
 
     @F.pandas_udf(_MEASURED)
-    def measure(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        worker_memory()
-        return pd.DataFrame([topic_and_tokens(t, v, topics) for t, v in zip(texts, langs, strict=True)], columns=["topic", "tokens"])
-
-    rows = docs.select(*names, measure("text", F.col("lang").cast("string")).alias("_m"), u.alias("u"))
-    return materialise(rows.select("_row", "source", "lang", F.col("_m.topic").cast("string").alias("topic"), F.col("_m.tokens").alias("tokens"), "u"), "measures")
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        places = worker_memory("mixing", dict)
+        tokens = [len((t or "").split()) for t in texts]
+        terms = [units(term_vector(t, places)[None]).tobytes() if n else None for t, n in zip(texts, tokens, strict=True)]
+        return pd.DataFrame({"tokens": pd.Series(tokens, dtype="int64"), "terms": pd.Series(terms, dtype=object)})
+
+    rows = docs.select(*names, measure("text").alias("_m"), u.alias("u"))
+    rows = materialise(rows.select("_row", "source", "lang", "_m.tokens", "_m.terms", "u"), "measures")
+    rows, topic, _ = fit_topics(rows)
+    return rows.select("_row", "source", "lang", F.when(F.col("tokens") > 0, topic).otherwise(-1).cast("string").alias("topic"), "tokens", "u")
 
 
 def cell_tokens(rows: DataFrame) -> DataFrame:

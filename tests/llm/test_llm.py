@@ -563,3 +563,18 @@ def test_topics_are_not_languages():
     for lang, k, text in rows:
         found[k].add(topics.nearest(text, lang))
     assert all(len(v) == 1 for v in found.values()) and len(set.union(*found.values())) == 3
+
+
+def test_topics_are_fitted_on_every_document(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"{a}{b}word" for a in "abcdefgh" for b in "abcdefghijklmnop"]
+    texts = [" ".join(rng.choices(words[(at := 13 * rng.randrange(9)) : at + 25], k=12)) for _ in range(4600)]
+    rows = [(i, t if i % 40 else ("", None, "!! 12")[i // 40 % 3], ("en", "de", None, f"l{i % 7}")[i % 4], "s") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    local = mixing.Topics([r[2] for r in rows], np.stack([mixing.term_vector(r[1] or "") for r in rows]), mixing.TOPICS)
+    want = {r[0]: str(local.nearest(r[1], r[2])) if (r[1] or "").split() else "-1" for r in rows}
+    assert len(set(want.values())) == mixing.TOPICS + 1
+    assert {r._row.doc_id: r.topic for r in mixing.measured(docs).collect()} == want
+    for name, value in (("FEW_CATEGORIES", 0), ("HELD_LANGS", 2), ("HELD_WORDS", 20), ("BLOCK", 100)):
+        monkeypatch.setattr(mixing, name, value)
+    assert {r._row.doc_id: r.topic for r in mixing.measured(docs.repartition(5)).collect()} == want
