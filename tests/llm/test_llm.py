@@ -578,3 +578,12 @@ def test_topics_are_fitted_on_every_document(spark, monkeypatch):
     for name, value in (("FEW_CATEGORIES", 0), ("HELD_LANGS", 2), ("HELD_WORDS", 20), ("BLOCK", 100)):
         monkeypatch.setattr(mixing, name, value)
     assert {r._row.doc_id: r.topic for r in mixing.measured(docs.repartition(5)).collect()} == want
+
+
+def test_pipeline_topics_take_every_document(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(i, f"word{'abcdefgh'[i % 8]} more{'xyz'[i % 3]} text", "en", "s") for i in range(4500)]
+    docs, seen, fit = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), [], mixing.k_means
+    monkeypatch.setattr(mixing, "k_means", lambda far, members, k, rounds=1: seen.append(int(members(np.ones((1, mixing.PLACES)))[:, mixing.PLACES].sum())) or fit(far, members, 1, 1))
+    assert corpus_pipeline.mixing_stage(spark, docs, SF).columns == docs.columns and seen == [4500]
