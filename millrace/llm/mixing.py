@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -427,8 +428,9 @@ def inclusion(cells: DataFrame, targets: dict[str, dict] | None = None, budget:
         known = known.astype({d: object for d in DIMS}).where(known.notna(), None)
         goals = targets or {d: tempered(known.groupby(d, dropna=False)["t"].sum().rename(lambda k: None if pd.isna(k) else k).to_dict(), TEMPER[d]) for d in DIMS}
         known["p"] = rake(known, goals, budget)
-        rows = [(*(None if pd.isna(x) else x for x in r[:3]), float(r[3])) for r in known[[*DIMS, "p"]].itertuples(index=False)]
-        return F.broadcast(spark.createDataFrame(rows, "source string, lang string, topic string, p double"))
+        columns = [pa.array([None if pd.isna(x) else x for x in known[d]], pa.string()) for d in DIMS]
+        # from Arrow: rows of Python objects would pass through Python workers of another kind, which stay on the executors
+        return F.broadcast(spark.createDataFrame(pa.table([*columns, pa.array(known["p"], pa.float64())], [*DIMS, "p"])))
     goal_tables = {}
     for d in DIMS:
         raw = marginals[d].select(d, F.pow("t", TEMPER[d]).alias("goal")) if targets is None else spark.createDataFrame(list(targets[d].items()), f"{d} string, goal double")

@@ -34,12 +34,12 @@ from millrace.llm._common import byte_slices, scratch, table, worker_memory
 END_ID = 1
 #: The public file that workers look up where no path is given.
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces remembered by a worker (about 200 bytes each); beyond it the memory starts anew.
+#: Pieces that a worker remembers, as Arrow text; beyond it the memory starts anew.
 CACHE_PIECES = 160_000
-#: Pieces encoded at once, to bound what the library holds.
+#: Pieces encoded at once, to bound the Python objects and what the library holds.
 LEARN_AT_ONCE = 2_000
 #: Text bytes taken from a batch at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _LOWER_ACCENTED = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _PLAIN = re.compile(f"[a-z{_LOWER_ACCENTED}]+")
@@ -79,24 +79,23 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts, self.lens, self.flat = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of new pieces; the model alone is enough for plain lower-case words."""
-        model, plain, rest = self.tokenizer.model.tokenize, [], []
-        for p in pieces:
-            (plain if _PLAIN.fullmatch(p) else rest).append(p)
-        got = [[t.id for t in model(p if p.isascii() else p.translate(self.as_bytes))] for p in plain]
-        for at in range(0, len(rest), LEARN_AT_ONCE):
-            got += [e.ids for e in self.tokenizer.encode_batch_fast(rest[at : at + LEARN_AT_ONCE], add_special_tokens=False)]
-        n = len(self.index)
-        self.index.update(zip(plain + rest, range(n, n + len(pieces)), strict=True))
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.int32, int(lens.sum()))
-        self.starts = np.concatenate([self.starts, self.flat.size + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, flat])
+        self.known = pa.array([], pa.string())
+        self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _learn(self, fresh: pa.Array) -> None:
+        """Remembers the ids of new pieces, a bounded number at once; the model alone is enough for plain lower-case words."""
+        model, lens, flat = self.tokenizer.model.tokenize, [self.lens], [self.flat]
+        for at in range(0, len(fresh), LEARN_AT_ONCE):
+            pieces = fresh.slice(at, LEARN_AT_ONCE).to_pylist()
+            got = [[t.id for t in model(p if p.isascii() else p.translate(self.as_bytes))] if _PLAIN.fullmatch(p) else None for p in pieces]
+            rest = [i for i, ids in enumerate(got) if ids is None]
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+                got[i] = e.ids
+            lens.append(np.fromiter(map(len, got), np.int32, len(got)))
+            flat.append(np.fromiter(chain.from_iterable(got), np.int32, int(lens[-1].sum())))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.lens, self.flat = np.concatenate(lens), np.concatenate(flat)
+        self.starts = np.cumsum(self.lens, dtype=np.int64) - self.lens
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the remembered pieces of all texts, and how many each text has."""
@@ -107,16 +106,16 @@ class PieceEncoder:
         split = pc.split_pattern(texts, " ")
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = [self.index.get(p, -1) for p in distinct]
-        fresh = [p for p, i in zip(distinct, known, strict=True) if i < 0]
-        if len(self.index) + len(fresh) > CACHE_PIECES and self.index:
+        distinct = coded.dictionary.cast(pa.string())
+        places = pc.index_in(distinct, value_set=self.known)
+        if len(self.known) + places.null_count > CACHE_PIECES and len(self.known):
             self._reset()
-            fresh = distinct
-        self._learn(fresh)
-        if fresh:
-            known = [self.index[p] for p in distinct]
-        return np.array(known, np.int64)[coded.indices.to_numpy(zero_copy_only=False)], counts
+            places = pc.index_in(distinct, value_set=self.known)
+        new = pc.is_null(places)
+        places = pc.fill_null(places, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        places[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(pc.sum(new).as_py() or 0)
+        self._learn(distinct.filter(new))
+        return places[coded.indices.to_numpy(zero_copy_only=False)], counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by the end id; and the offsets of the texts."""
@@ -127,7 +126,7 @@ class PieceEncoder:
         idx, counts = self._pieces(texts)
         lens = self.lens[idx]
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        running = np.concatenate([[0], np.cumsum(lens)])
+        running = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
         per_text = running[bounds[1:]] - running[bounds[:-1]] + 1
         offsets = np.concatenate([[0], np.cumsum(per_text)])
         out = np.full(int(offsets[-1]), END_ID, np.int32)

@@ -587,3 +587,27 @@ def test_pipeline_topics_take_every_document(spark, monkeypatch):
     docs, seen, fit = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), [], mixing.k_means
     monkeypatch.setattr(mixing, "k_means", lambda far, members, k, rounds=1: seen.append(int(members(np.ones((1, mixing.PLACES)))[:, mixing.PLACES].sum())) or fit(far, members, 1, 1))
     assert corpus_pipeline.mixing_stage(spark, docs, SF).columns == docs.columns and seen == [4500]
+
+
+def test_cell_probabilities_need_no_python_workers(spark):
+    cells = spark.createDataFrame([("s", "en", "1", 50), (None, "en", "1", 10), ("s", None, "2", 30)], "source string, lang string, topic string, t long")
+    p = mixing.inclusion(cells)
+    assert "PythonRDD" not in p._jdf.queryExecution().toRdd().toDebugString()
+    assert {tuple(r[:3]) for r in p.collect()} == {tuple(r[:3]) for r in cells.collect()}
+
+
+def test_remembered_pieces_take_few_bytes():
+    import tracemalloc
+
+    enc = token_store.PieceEncoder(token_store.tokenizer_file(token_store.TOKENIZER))
+    rng, before = random.Random(4), pa.total_allocated_bytes()
+    words = ["".join(rng.choices("abcdefghij", k=8)) + (",1" if i % 9 == 0 else "") for i in range(40_000)]
+    texts = pa.array([" ".join(words[at : at + 500]) for at in range(0, len(words), 500)])
+    tracemalloc.start()
+    try:
+        ids, offsets = enc.encode(texts)
+        del ids, offsets
+        assert tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before < 80 * len(set(words))
+    finally:
+        tracemalloc.stop()
+    assert enc.encode(texts)[0].tolist() == token_store.PieceEncoder(token_store.tokenizer_file(token_store.TOKENIZER)).encode(texts)[0].tolist()
