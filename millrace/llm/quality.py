@@ -1,8 +1,8 @@
 """Quality by hierarchical empirical Bayes.
 
 Evidence: a logistic model over shape features of a whole text (shares of letters, capitals, digits, symbols and
-bars; repetition of words and lines; lengths), fitted on a bounded sample of labelled rows. It gives each document a
-probability p of being good.
+bars; repetition of words and lines; lengths), fitted on every labelled row outside the held-out third. It gives each
+document a probability p of being good. Features are measured and written once; each step of the fit is a job over them.
 
 Sites: p is summed per host and per path below it by grouped aggregation. Host rates are drawn from a Beta whose
 mean and strength come from the spread of the hosts (method of moments); a path's prior is its host's posterior, with a
@@ -17,17 +17,17 @@ prior 0.5 and everything stays; empty tables give no rows. Extra columns are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from millrace.llm._common import held_out, hinted, materialise, table, worker_memory
-from millrace.llm._linear import fit_logistic, predict_logistic
+from millrace.llm._common import discard, held_out, hinted, materialise, table, worker_memory
+from millrace.llm._linear import logistic_sums, newton
 
-#: The most labelled rows the model is fitted on, the first by a hash of doc_id.
-FIT_ROWS = 8000
 #: Sites up to which their posteriors are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SITES = 500_000
 KEEP = 0.5
@@ -60,33 +60,49 @@ def _features(texts: pd.Series) -> np.ndarray:
     return np.stack([shape_features(t) for t in texts]) if len(texts) else np.zeros((0, FEATURES))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = FIT_ROWS) -> np.ndarray | None:
-    """Weights from at most ``rows`` labelled documents outside the held-out third."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out("_id"))
-    picked = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+@F.pandas_udf(ArrayType(DoubleType()))
+def features(texts: pd.Series) -> pd.Series:
+    worker_memory()
+    return pd.Series(list(_features(texts)), dtype=object)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"y": f["y"], "x": list(_features(f["text"]))})
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"]).select("y", "text")
-    got = sample.mapInPandas(run, "y int, x array<double>").toPandas()
-    if got["y"].nunique() < 2:
+def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality") -> np.ndarray | None:
+    """Weights from every labelled one of ``doc_id, x`` outside the held-out third; of repeated ids one row each."""
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out("_id"))
+    pairs = rows.select("doc_id", "x").join(known, F.col("doc_id") == F.col("_id"))
+    known = materialise(pairs.groupBy("_id").agg(F.min(F.struct("y", "x")).alias("_m")).select("_m.y", "_m.x"), "labelled")
+    if known.select("y").distinct().count() < 2:
+        discard(known)
         return None
-    return fit_logistic(np.stack(got["x"].to_numpy()), got["y"].to_numpy(float), l2=0.05)
+    n = FEATURES + 1
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            worker_memory()
+            grad, h = np.zeros(n), np.zeros((n, n))
+            for f in frames:
+                if len(f):
+                    g, c = logistic_sums(np.hstack([np.stack(f["x"].to_numpy()), np.ones((len(f), 1))]), f["y"].to_numpy(float), w)
+                    grad, h = grad + g, h + c
+            yield pd.DataFrame({"s": [np.concatenate([grad, h.ravel()])]})
 
+        parts = known.mapInPandas(run, "s array<double>").select(F.posexplode("s").alias("place", "s"))
+        out = np.zeros(n + n * n)
+        for r in parts.groupBy("place").agg(F.sum("s").alias("s")).collect():
+            out[r.place] = r.s
+        return out[:n], out[n:].reshape(n, n)
 
-def document_evidence(text: Column, weights: np.ndarray | None) -> Column:
-    """p of each text by the document model alone."""
+    weights = newton(sums, n, l2=0.05)
+    discard(known)
+    return weights
 
-    @F.pandas_udf("double")
-    def p(texts: pd.Series) -> pd.Series:
-        worker_memory()
-        if weights is None:
-            return pd.Series(np.full(len(texts), 0.5))
-        return pd.Series(predict_logistic(weights, _features(texts)))
 
-    return p(text)
+def document_evidence(weights: np.ndarray | None) -> Column:
+    """p of the features ``x`` by the document model alone."""
+    if weights is None:
+        return F.lit(0.5)
+    z = reduce(lambda a, b: a + b, [F.get("x", F.lit(i)) * F.lit(float(w)) for i, w in enumerate(weights[:-1])]) + F.lit(float(weights[-1]))
+    return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
 def site_posteriors(evidence: DataFrame) -> DataFrame:
@@ -115,11 +131,12 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     return out.select("host", "path", (F.log(rate / (1 - rate)) - float(np.log(mean / (1 - mean)))).alias("shift"))
 
 
-def score(docs: DataFrame, weights: np.ndarray | None, host: str = "source", path: str = "lang", max_shift: float = 1.0, columns: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_shift: float = 1.0, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with all columns (or those asked for) in ``_row`` and ``p, posterior``; texts are measured once."""
     row = F.struct(*[F.col(c) for c in columns or docs.columns]).alias("_row")
-    with_p = docs.select(row, F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), document_evidence(F.col("text"), weights).alias("p"))
-    with_p = materialise(with_p, "evidence")
+    measured = docs.select(row, "doc_id", F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), features("text").alias("x"))
+    measured = materialise(measured, "evidence")
+    with_p = measured.select("_row", "_host", "_path", document_evidence(fit(measured, labels)).alias("p"))
     sites = materialise(site_posteriors(with_p.select(F.col("_host").alias("host"), F.col("_path").alias("path"), "p")), "shifts")
     joined = with_p.join(hinted(sites, sites.count(), BROADCAST_SITES), F.col("_host").eqNullSafe(F.col("host")) & F.col("_path").eqNullSafe(F.col("path")), "left")
     shift = F.least(F.greatest(F.coalesce("shift", F.lit(0.0)), F.lit(-max_shift)), F.lit(max_shift))
@@ -129,10 +146,10 @@ def score(docs: DataFrame, weights: np.ndarray | None, host: str = "source", pat
 
 def keep_good(docs: DataFrame, labels: DataFrame, at_least: float = KEEP) -> DataFrame:
     """The documents whose posterior reaches ``at_least``, with their columns."""
-    return score(docs, fit(docs, labels)).filter(F.col("posterior") >= at_least).select("_row.*")
+    return score(docs, labels).filter(F.col("posterior") >= at_least).select("_row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), columns=["doc_id"])
+    scored = score(docs, table(spark, sf_dir, "labels"), columns=["doc_id"])
     return scored.select("_row.doc_id", F.round("p", 6).alias("p"), F.round("posterior", 6).alias("posterior"), (F.col("posterior") >= KEEP).alias("keep"))

@@ -611,3 +611,17 @@ def test_remembered_pieces_take_few_bytes():
     finally:
         tracemalloc.stop()
     assert enc.encode(texts)[0].tolist() == token_store.PieceEncoder(token_store.tokenizer_file(token_store.TOKENIZER)).encode(texts)[0].tolist()
+
+
+def test_quality_model_takes_every_labelled_document(spark):
+    from millrace.llm._linear import fit_logistic
+
+    texts = [("good words in a row, one after another. " * (1 + i % 5) if i % 3 else "BAD | 12 !! " * (1 + i % 4)) + "x" * (i % 11) for i in range(13_000)]
+    ys = [int(i % 3 != 0) if i % 10 else i // 10 % 2 for i in range(13_000)]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(ys)], "doc_id long, quality int")
+    known = [i for i in range(13_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    w = fit_logistic(np.stack([quality.shape_features(texts[i]) for i in known]), np.array([float(ys[i]) for i in known]), l2=0.05)
+    got = {r._row.doc_id: r.p for r in quality.score(docs, labels).collect()}
+    want = 1 / (1 + np.exp(-(np.stack([quality.shape_features(t) for t in texts]) @ w[:-1] + w[-1])))
+    assert len(known) > 8000 and max(abs(got[i] - want[i]) for i in range(13_000)) < 1e-6
