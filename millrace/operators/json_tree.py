@@ -107,8 +107,14 @@ def last_keys(text: str | None) -> str | None:
 
 
 def parsed(text: Column) -> Column:
-    """A variant of a JSON text; one with repeated keys, which variants refuse, is parsed with the last of each."""
-    v = F.try_parse_json(text)
+    """A variant of a JSON text; one with repeated keys, which variants refuse, is parsed with the last of each.
+
+    Spark's parser stops behind the first value and ignores what follows. So the text is parsed as the first of two
+    elements: the second, its own digest, is found right behind it only if the text was that one value and nothing else.
+    """
+    mark = F.md5(text)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    v = F.when(F.try_variant_get(both, "$[1]", "string") == mark, F.try_variant_get(both, "$[0]", "variant"))
     refused = F.when(v.isNull() & text.rlike(r"^\s*[\[{]"), text)
     return F.coalesce(v, F.try_parse_json(F.pandas_udf(lambda s: s.map(last_keys), "string")(refused)))
 

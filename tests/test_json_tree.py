@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import detect, json_tree, outline, schema_ir
 
@@ -52,3 +53,12 @@ def test_fields_come_in_the_order_of_the_file(spark):
 ])
 def test_kind_hangs_on_the_root(spark, text, kind):
     assert detect.detect_kind(one(spark, text)).first().kind == kind
+
+
+def test_json_has_nothing_behind_its_value(spark):
+    none = ["4397110767823743 +1 (654) 555-4136 That the as the.", "-12 a", '"a" b', '"a"], ["b"', "1, 2", '{"a":1} x', "[1] [2]", "null,", ""]
+    instance = [" 12 ", '"a"\n', "null", '{"a":1}\n', "[1, 2]", '{"a":1,"a":2} ']
+    kinds = dict.fromkeys(none) | dict.fromkeys(instance, "json_instance") | {"true\nk: v": "yaml_instance", '{"type":"object","required":[]} ': "json_schema"}
+    rows = detect.detect_kind(one(spark, *kinds)).withColumn("json", detect.looks_like_json(F.col("text"))).collect()
+    assert {r.text: r.kind for r in rows} == kinds
+    assert {r.text for r in rows if r.json} == {t for t, k in kinds.items() if k and k.startswith("json")}
