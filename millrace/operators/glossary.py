@@ -117,7 +117,8 @@ def glossary_pages(lines: DataFrame, max_chars: int = GLOSSARY_CHARS) -> tuple[D
 def glossary_docs(entities: DataFrame, max_chars: int = GLOSSARY_CHARS) -> DataFrame:
     """``bundle, number, total, text``: the pages of each bundle; only the first has the title without a mark."""
     pages, placed = glossary_pages(glossary_lines(entities), max_chars)
-    members = pages.select("bundle", "number", F.explode(F.sequence("start", F.col("next") - 1)).alias("i")).join(placed, ["bundle", "i"])
+    # a page stands for all its entries here: by the few bytes of its row Spark would broadcast them all
+    members = placed.join(pages.select("bundle", "number", F.explode(F.sequence("start", F.col("next") - 1)).alias("i")).hint("merge"), ["bundle", "i"])
     texts = members.groupBy("bundle", "number").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))
     totals = pages.groupBy("bundle").agg(F.max("number").alias("total"))
     top = F.concat(F.when(F.col("number") == 1, TOP).otherwise(TOP + MORE), F.lit("\nBundle: "), "bundle", F.lit("\n"))

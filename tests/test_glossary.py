@@ -52,3 +52,9 @@ def test_names_with_one_prefix_are_packed_by_many_tasks(spark):
 def test_no_entities(spark):
     df, _ = entities(spark, [("a", 1)], 60, 1)
     assert glossary.glossary_docs(df.limit(0)).collect() == []
+
+
+def test_entries_of_pages_are_not_broadcast(spark):
+    df, _ = entities(spark, [("a", 300)], 150, 2)
+    plan = glossary.glossary_docs(df, 150)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ", i#" in x] and "SortMergeJoin" in plan
