@@ -68,7 +68,7 @@ def resolve_schema_refs(asked: DataFrame, nodes: DataFrame, catalog: DataFrame |
     rows = asked.join(urls.select("bundle", F.col("url").alias("ref"), "mapped"), ["bundle", "ref"], "left").withColumn("_t", ref_target(F.col("path"), F.col("ref"), F.col("mapped")))
     rows = rows.withColumn("target_path", F.col("_t.path")).withColumn("target_ptr", F.col("_t.ptr")).drop("_t", "mapped")
     there = nodes.select("bundle", F.col("path").alias("target_path"), F.col("ptr").alias("target_ptr"), F.col("v").alias("target"))
-    return rows.join(there, ["bundle", "target_path", "target_ptr"], "left")
+    return rows.join(there.hint("merge"), ["bundle", "target_path", "target_ptr"], "left")
 
 
 def schema_constraint_rows(rows: DataFrame, keep: list[str], entity: bool) -> DataFrame:
@@ -113,8 +113,9 @@ def json_schema_ir(files: DataFrame, catalog: DataFrame | None = None) -> dict[s
     Every file is asked for its root. An entity's id is its title or what its place suggests; of schemas with one id the
     first counts, by round and then by path. Bare primitives are types, not entities; what can't be resolved is ``any``.
     Fields come in the order of their file. Questions travel as pointers; each round looks up the objects they ask for.
+    All sides grow with the files: without the hint Spark would broadcast some, by what few columns of a stored table seem to hold.
     """
-    nodes = written(pointer_nodes(files), "pointers")
+    nodes = written(pointer_nodes(files), "pointers").hint("merge")
     who, spot = ["bundle", "owner", "role", "pos"], ["bundle", "path", "ptr"]
     no_path = F.array().cast("array<string>").alias("via")
     asks = nodes.filter("ptr = '#'").select("bundle", F.lit("").alias("owner"), F.lit("root").alias("role"), F.lit(0).alias("pos"), "path", "ptr", safe_id(_stem(F.col("path"))).alias("suggested"), no_path)
@@ -144,7 +145,7 @@ def json_schema_ir(files: DataFrame, catalog: DataFrame | None = None) -> dict[s
         answers.append(objects.select(*who, F.when(F.col("bare"), _get(v, "$.type")).otherwise(F.col("entity_id")).alias("type"), (~F.col("bare")).alias("is_ref")))
 
         first = F.row_number().over(Window.partitionBy("bundle", "entity_id").orderBy("path", "owner", "role", "pos"))
-        new = objects.filter("NOT bare").withColumn("_n", first).filter("_n = 1").join(known, ["bundle", "entity_id"], "left_anti")
+        new = objects.filter("NOT bare").withColumn("_n", first).filter("_n = 1").join(known.hint("merge"), ["bundle", "entity_id"], "left_anti")
         enum = _is(_get(v, "$.enum", "variant"), "ARRAY")
         union = F.coalesce(*[F.when(_is(_get(v, f"$.{k}", "variant"), "ARRAY"), k) for k in UNIONS])
         base = F.when(enum, "enum").otherwise(_kind(v))
@@ -184,7 +185,7 @@ def json_schema_ir(files: DataFrame, catalog: DataFrame | None = None) -> dict[s
     of_field = typed.filter("role = 'field'").select("bundle", F.col("owner").alias("entity_id"), "pos", "type", "is_ref")
     ref = _get(v, "$['$ref']")
     place = F.concat("path", F.lit(" :: "), F.coalesce(F.concat(F.lit("$ref="), ref), F.concat(F.lit("properties."), "name")))
-    out_fields = rows.join(of_field, [*key, "pos"], "left").select(
+    out_fields = rows.join(of_field.hint("merge"), [*key, "pos"], "left").select(
         *key, "pos", "name", F.when(F.col("is_ref"), None).otherwise(F.coalesce("type", F.lit("any"))).alias("type_prim"), F.when(F.col("is_ref"), F.col("type")).alias("type_ref"), _get(v, "$.description").alias("description"), "required",
         F.col("required").cast("int").alias("card_min"), F.when(_get(v, "$.type").eqNullSafe(F.lit("array")), None).otherwise(F.lit(1)).alias("card_max"), _get(v, "$.default").alias("default"), _get(v, "$.examples", "array<string>").alias("examples"), place.alias("locator"),
     )

@@ -62,3 +62,10 @@ def test_json_has_nothing_behind_its_value(spark):
     rows = detect.detect_kind(one(spark, *kinds)).withColumn("json", detect.looks_like_json(F.col("text"))).collect()
     assert {r.text: r.kind for r in rows} == kinds
     assert {r.text for r in rows if r.json} == {t for t, k in kinds.items() if k and k.startswith("json")}
+
+
+def test_fields_meet_their_types_without_broadcasts(spark):
+    files = spark.createDataFrame([("b", "t.json", '{"title":"T","properties":{"a":{"$ref":"#/properties/z"},"z":{"type":"string"}}}')], "bundle string, path string, text string")
+    out = schema_ir.json_schema_ir(files)["fields"]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.name, r.type_prim) for r in out.collect()) == [("a", "string"), ("z", "string")]
