@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.lineage import written
 from millrace.operators.glossary import glossary_docs
+from millrace.operators.graph import of_few
 from millrace.operators.ir import KEYS, cardinality_text, display_name, entity_edges, entity_refs, safe_id, type_text
 
 # fixed values: limits of a document
@@ -180,6 +181,7 @@ def entity_inline_docs(inlined: DataFrame, entities: DataFrame, fields: DataFram
     # the order of lines: a node's header after the line of its field, fields by position
     order = F.flatten(F.transform("places", lambda p: F.array(p, F.lit(1))))
     ok = nodes.filter("status = 'ok'").select("root", "entity_id", "depth", order.alias("ord"))
+    shown, fields = of_few(shown, "entity_id", ok.select("entity_id")), of_few(fields, "entity_id", ok.select("entity_id"))
     indent = F.repeat(F.lit("    "), F.col("depth"))
     heads = ok.join(shown, "entity_id").select("root", "ord", F.concat(indent, F.lit("- "), "shown", F.lit(" ("), "kind", F.lit(")")).alias("line"))
     grown = nodes.filter("status = 'ok' AND depth > 0").select(F.col("root").alias("_root"), order.alias("_ord"))

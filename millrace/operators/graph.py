@@ -16,6 +16,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return F.broadcast(edges) if n <= BROADCAST_EDGES else edges
 
 
+def of_few(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose column is among ``ids``, if these are few (counted): found before anything is shuffled. Else all rows."""
+    ids = ids.distinct()
+    few = ids.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
+    return rows.join(F.broadcast(ids.toDF(column)), column, "left_semi") if few else rows
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, node`` for all nodes reached over edges (src, dst): semi-naive, only new pairs go on, until none is new.
 
@@ -43,27 +50,36 @@ def inline_entities(edges: DataFrame, entities: DataFrame, roots: DataFrame, max
 
     With ``first`` at least the first so many rows of each root are complete, in the order of ``places`` (a node before what
     is below it): of a level only that many can be among them, so shared sub-graphs, whose paths double from level to
-    level, cost no more than rows that are shown.
+    level, cost no more than rows that are shown; edges and entities that don't touch them are left out before any shuffle.
     """
     placed = "pos" in edges.columns
-    edges = _small(edges if placed else edges.withColumn("pos", F.lit(0)))
-    known = entities.select(F.col("entity_id").alias("_known")).distinct()
+    edges = edges if placed else edges.withColumn("pos", F.lit(0))
+    edges = _small(edges) if first is None else edges
+    every = entities.select(F.col("entity_id").alias("_known"))
 
     def marked(rows: DataFrame, depth: int) -> DataFrame:
+        known = every
+        if first is not None:
+            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("places", "path"))).filter(F.col("_n") <= first).drop("_n")
+            rows = step = written(rows, "step")
+            known = of_few(every, "_known", rows.select("entity_id"))
         cycle = F.array_contains(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))), F.col("entity_id"))
-        rows = rows.join(known, F.col("entity_id") == F.col("_known"), "left")
+        rows = rows.join(known.distinct(), F.col("entity_id") == F.col("_known"), "left")
         status = F.when(F.lit(max_depth is not None and depth > (max_depth or 0)), "depth_cutoff").when(cycle, "cycle").when(F.col("_known").isNull(), "missing").otherwise("ok")
         rows = rows.select("root", "path", F.lit(depth).alias("depth"), "entity_id", "role", status.alias("status"), "places")
+        out = written(rows, "level")
         if first is not None:
-            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("places", "path"))).filter(F.col("_n") <= first).drop("_n")
-        return written(rows, "level")
+            discard(step)
+        return out
 
     start = roots.select(F.col("entity_id").alias("root"), F.array("entity_id").alias("path"), "entity_id", F.lit("root").alias("role"), F.array().cast("array<int>").alias("places"))
     level = out = marked(start, 0)
     depth = 0
     while level.filter("status = 'ok'").limit(1).count():
         depth += 1
-        step = level.filter("status = 'ok'").select("root", "path", "places", F.col("entity_id").alias("at")).join(edges, F.col("at") == F.col("src"))
+        grown = level.filter("status = 'ok'").select("root", "path", "places", F.col("entity_id").alias("at"))
+        near = edges if first is None else of_few(edges, "src", grown.select("at"))
+        step = grown.join(near, F.col("at") == F.col("src"))
         places = F.concat("places", F.array(F.col("pos").cast("int")))
         level = marked(step.select("root", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("entity_id"), "role", places.alias("places")), depth)
         out = out.unionByName(level)

@@ -3,8 +3,9 @@
 import random
 
 from pyspark.sql import functions as F
-
-from millrace.operators import graph
+from conftest import SF
+from millrace.jobs import registry
+from millrace.operators import docs, graph
 
 
 def tables(spark, edges):
@@ -53,3 +54,11 @@ def test_cyclic_core(spark):
     edges, _ = tables(spark, [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "e"), ("e", "f"), ("x", "y")])
     assert {r.node for r in graph.cyclic_core(edges).collect()} == {"b", "c", "d", "e"}
     assert graph.cyclic_core(edges.limit(0)).count() == 0
+
+
+def test_levels_hold_no_more_than_shown_lines(spark, monkeypatch):
+    levels, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: levels.append(real(df, name)) or levels[-1] if name == "level" else real(df, name))
+    monkeypatch.setattr(docs, "INLINE_LINES", 10)
+    assert registry.QUERIES["entity_inline_docs"](spark, SF).count() == 25
+    assert len(levels) == 4 and all(r["count"] <= 10 for level in levels for r in level.groupBy("root").count().collect())
