@@ -110,8 +110,11 @@ def inline_counts(edges: DataFrame, entities: DataFrame, roots: DataFrame, max_d
     with the same entity, role and core entities on their path are one row with a count, so a graph without cycles needs
     no more rows a level than it has edges, however many paths there are.
     """
-    rows_of = _small(edges.select("src", "dst", "role"))
-    known = entities.select(F.col("entity_id").alias("_known")).distinct()
+    # every round reads them again: what makes them runs once
+    edges = written(edges.select("src", "dst", "role"), "edges")
+    rows_of = _small(edges)
+    stored = written(entities.select(F.col("entity_id").alias("_known")).distinct(), "known")
+    known = stored.hint("merge")
     core = written(cyclic_core(edges).select(F.col("node").alias("_core")), "core")
 
     def marked(rows: DataFrame, depth: int) -> DataFrame:
@@ -129,6 +132,7 @@ def inline_counts(edges: DataFrame, entities: DataFrame, roots: DataFrame, max_d
         step = level.filter("status = 'ok'").select("root", "marks", "n", F.col("entity_id").alias("at")).join(rows_of, F.col("at") == F.col("src"))
         level = marked(step.select("root", F.col("dst").alias("entity_id"), "role", "marks", F.col("n").cast("decimal(38,0)").alias("n")), depth)
         out = out.unionByName(level)
+    discard(edges, stored, core)
     return out.groupBy("root", "depth", "entity_id", "role", "status").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
 
 

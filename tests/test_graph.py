@@ -62,3 +62,12 @@ def test_levels_hold_no_more_than_shown_lines(spark, monkeypatch):
     monkeypatch.setattr(docs, "INLINE_LINES", 10)
     assert registry.QUERIES["entity_inline_docs"](spark, SF).count() == 25
     assert len(levels) == 4 and all(r["count"] <= 10 for level in levels for r in level.groupBy("root").count().collect())
+
+
+def test_counts_take_the_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    note = F.udf(lambda x: seen.add(1) or x, "string")
+    edges = spark.createDataFrame([("a", "b", "field"), ("b", "c", "field"), ("c", "d", "field"), ("d", "b", "field"), ("a", "e", "field")], "src string, dst string, role string")
+    known = spark.createDataFrame([(x,) for x in "abcde"], "entity_id string")
+    rows = graph.inline_counts(edges.withColumn("dst", note("dst")), known, known.filter("entity_id = 'a'")).collect()
+    assert seen.value == 5 and {(r.depth, r.entity_id, r.status) for r in rows} == {(0, "a", "ok"), (1, "b", "ok"), (1, "e", "ok"), (2, "c", "ok"), (3, "d", "ok"), (4, "b", "cycle")}
