@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import detect, json_tree, outline, schema_ir
+from millrace.operators import detect, json_tree, outline, schema_ir, trees
 
 
 def one(spark, *texts):
@@ -69,3 +69,15 @@ def test_fields_meet_their_types_without_broadcasts(spark):
     out = schema_ir.json_schema_ir(files)["fields"]
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.name, r.type_prim) for r in out.collect()) == [("a", "string"), ("z", "string")]
+
+
+def test_xml_is_parsed_once_and_only_first_siblings_leave(spark):
+    docs = one(spark, '<a x="1">' + "<b><c>1</c><c>2</c></b>" * 500 + "<d>t</d></a>")
+    assert trees.xml_nodes(docs).count() == 5
+    out = trees.xml_outline(docs)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = [(r.ord, r.depth, r.name, r.type, r.example) for r in out.orderBy("ord").collect()]
+    assert rows == [
+        ([0], 1, "a", "object", None), ([0, 0], 2, "@x", "integer", "1"), ([0, 1], 2, "b", "list", "[{...}, ...]"), ([0, 1, 0], 3, "items", "object", None),
+        ([0, 1, 0, 0], 4, "c", "list", "[1, ...]"), ([0, 1, 0, 0, 0], 5, "items", "integer", "1"), ([0, 501], 2, "d", "string", "t"),
+    ]
